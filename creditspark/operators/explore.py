@@ -103,7 +103,8 @@ def pair_bins(df: DataFrame, cols: Sequence[str], label: str = "loan_status", bi
         if hi == lo:
             return F.when(F.col(c).isNotNull(), F.lit(0))
         raw = F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(hi - lo) * bins).cast("int")
-        return F.least(raw, F.lit(bins - 1))
+        # least() skips NULLs, so keep NULL inputs out of the last bin explicitly
+        return F.when(F.col(c).isNotNull(), F.least(raw, F.lit(bins - 1)))
 
     binned = df.select(*[b(i, c).alias(f"b{i}") for i, c in enumerate(cols)], F.col(label))
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]

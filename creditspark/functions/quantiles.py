@@ -46,8 +46,11 @@ def _solve(data: DataFrame, counts: list[int],
     targets: dict[tuple[int, int], dict] = {}
     for (i, r), br in init.items():
         n = counts[i]
-        if n <= max_collect or br is None:
-            targets[(i, r)] = {"L": _OPEN, "U": _OPEN, "below": 0, "within": n, "ok": n <= max_collect}
+        if n <= max_collect or br == "all":
+            # whole column, grouped: small, or few distinct values
+            targets[(i, r)] = {"L": _OPEN, "U": _OPEN, "below": 0, "within": n, "ok": True}
+        elif br is None:
+            targets[(i, r)] = {"L": _OPEN, "U": _OPEN, "ok": False}
         else:
             targets[(i, r)] = {"L": br[0], "U": br[1], "ok": False}
 
@@ -127,34 +130,58 @@ def _solve(data: DataFrame, counts: list[int],
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *,
-                    accuracy: int = 10000, max_collect: int = 100000,
-                    max_rounds: int = 8) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}`` over non-NULL values (NULL if none)."""
-    cols, probs = list(cols), [float(p) for p in probs]
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] | dict, *,
+                    accuracy: int = 10000, max_collect: int = 100000, max_rounds: int = 8,
+                    extra_aggs: Sequence | None = None, extra_out: dict | None = None
+                    ) -> dict[str, list[float | None]]:
+    """``{column: [quantile per prob]}`` over non-NULL values (NULL if none).
+
+    ``probs`` is one list for every column or ``{column: [probs]}``.
+    ``extra_aggs`` are aggregate columns computed in the same first pass; their
+    values are stored in ``extra_out`` (fuses e.g. mean/std/min/max with the
+    quantile sketch). Columns with few distinct values (HyperLogLog estimate
+    well below ``max_collect``) skip the brackets: their grouped values are
+    collected directly.
+    """
+    cols = list(cols)
+    per_col = {c: [float(p) for p in (probs[c] if isinstance(probs, dict) else probs)] for c in cols}
     data = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)])
     eps = 2.0 / accuracy
-    sketch_probs = sorted({min(1.0, max(0.0, p + s)) for p in probs for s in (-eps, eps)})
-    first = data.agg(*[F.count(f"_q{i}").alias(f"n{i}") for i in range(len(cols))],
-                     *[F.percentile_approx(f"_q{i}", sketch_probs, accuracy).alias(f"a{i}")
-                       for i in range(len(cols))]).first()
+    sk_probs = {c: sorted({min(1.0, max(0.0, p + s)) for p in per_col[c] for s in (-eps, eps)}) for c in cols}
+    extra_aggs = list(extra_aggs or [])
+    src = df.select(*[F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(cols)], "*") \
+        if extra_aggs else data
+    first = src.agg(*[F.count(f"_q{i}").alias(f"n{i}") for i in range(len(cols))],
+                    *[F.approx_count_distinct(f"_q{i}", 0.05).alias(f"d{i}") for i in range(len(cols))],
+                    *[F.percentile_approx(f"_q{i}", sk_probs[c], accuracy).alias(f"a{i}")
+                      for i, c in enumerate(cols)],
+                    *[e.alias(f"x{j}") for j, e in enumerate(extra_aggs)]).first()
+    if extra_out is not None:
+        for j in range(len(extra_aggs)):
+            extra_out[j] = first[f"x{j}"]
     counts = [first[f"n{i}"] for i in range(len(cols))]
-    sketches = [dict(zip(sketch_probs, first[f"a{i}"])) if first[f"a{i}"] else None
-                for i in range(len(cols))]
     init: dict[tuple[int, int], tuple | None] = {}
-    for i in range(len(cols)):
-        if counts[i]:
-            for p in probs:
-                lo, hi, _ = _ranks(counts[i], p)
-                sk = sketches[i]
-                br = None if sk is None else (sk[max(0.0, p - eps)], sk[min(1.0, p + eps)])
-                init.setdefault((i, lo), br)
-                init.setdefault((i, hi), br)
+    for i, c in enumerate(cols):
+        if not counts[i]:
+            continue
+        few = first[f"d{i}"] is not None and first[f"d{i}"] * 2 <= max_collect
+        sk = dict(zip(sk_probs[c], first[f"a{i}"])) if first[f"a{i}"] and not few else None
+        for p in per_col[c]:
+            lo, hi, _ = _ranks(counts[i], p)
+            br = None if sk is None else (sk[max(0.0, p - eps)], sk[min(1.0, p + eps)])
+            init.setdefault((i, lo), br)
+            init.setdefault((i, hi), br)
+    # with no bracket, a column's grouped values are collected whole: allowed
+    # when it is small or has few distinct values
+    big = [i for i, c in enumerate(cols) if counts[i] and counts[i] > max_collect]
+    for (i, r), br in list(init.items()):
+        if br is None and i in big:
+            init[(i, r)] = "all"
     stats = _solve(data, counts, init, accuracy, max_collect, max_rounds)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         vals: list[float | None] = []
-        for p in probs:
+        for p in per_col[c]:
             if not counts[i]:
                 vals.append(None)
                 continue

@@ -27,6 +27,26 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep_min
     return df.groupBy(*subset).agg(F.min(keep_min).alias(keep_min)).select(*df.columns)
 
 
+def fit_stats(df: DataFrame, means: Sequence[str] = (), quantiles: dict[str, Sequence[float]] | None = None
+              ) -> tuple[dict[str, float | None], dict[str, list[float | None]]]:
+    """Means and exact quantiles of several columns in one set of passes
+    (the means ride on the quantile sketch's aggregate)."""
+    quantiles = dict(quantiles or {})
+    extra = [F.avg(F.col(c).cast("double")) for c in means]
+    if not quantiles:
+        row = df.agg(*[e.alias(f"m{i}") for i, e in enumerate(extra)]).first() if extra else None
+        return {c: row[f"m{i}"] for i, c in enumerate(means)}, {}
+    got: dict[int, float] = {}
+    q = exact_quantiles(df, list(quantiles), quantiles, extra_aggs=extra, extra_out=got)
+    return {c: got[i] for i, c in enumerate(means)}, q
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage before several fitting passes: a reliable checkpoint in
+    the shared checkpoint folder (survives executor loss; never local)."""
+    return df.checkpoint(eager=True)
+
+
 def fit_mean(df: DataFrame, col: str) -> float | None:
     return df.agg(F.avg(F.col(col).cast("double"))).first()[0]
 

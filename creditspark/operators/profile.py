@@ -108,13 +108,15 @@ def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def numeric_describe(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 6) -> DataFrame:
     """P8 count, mean, sample std, min, exact 25/50/75 %, max per numeric column."""
     cols = list(cols or numeric_columns(df))
-    aggs = []
+    aggs, names = [], []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(c).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*aggs).first()
-    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        aggs += [F.count(c), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x)]
+        names += [f"n{i}", f"m{i}", f"s{i}", f"lo{i}", f"hi{i}"]
+    got: dict[int, object] = {}
+    # moments ride on the first quantile pass: two scans in total
+    q = exact_quantiles(df, cols, [0.25, 0.5, 0.75], extra_aggs=aggs, extra_out=got)
+    row = {n: got[j] for j, n in enumerate(names)}
     r = lambda v: None if v is None else round(float(v), digits)
     data = [(c, int(row[f"n{i}"]), r(row[f"m{i}"]), r(row[f"s{i}"]), r(row[f"lo{i}"]),
              r(q[c][0]), r(q[c][1]), r(q[c][2]), r(row[f"hi{i}"])) for i, c in enumerate(cols)]

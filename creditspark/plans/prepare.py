@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import clean as C
 from ..operators import features as Fe
@@ -21,12 +22,37 @@ RAW_FEATURES = [c for c in RAW_COLUMNS if c != LABEL]
 IQR_COLUMN = "cb_person_cred_hist_length"
 
 
-def clean_loans(raw: DataFrame, iqr_column: str = IQR_COLUMN) -> DataFrame:
+MEAN_COLUMN = "loan_int_rate"
+MEDIAN_COLUMN = "person_emp_length"
+
+
+def impute_loans(raw: DataFrame, extra_quantiles: dict[str, list[float]] | None = None,
+                 materialize: bool = True) -> tuple[DataFrame, dict[str, list[float | None]]]:
+    """C1 -> C2 -> C3. The deduplicated table is checkpointed once; the mean,
+    the median and any extra quantiles of untouched columns are fitted in one
+    set of passes over it."""
+    dd = C.drop_duplicates(raw, subset=RAW_COLUMNS, keep_min=KEY)
+    if materialize:
+        dd = C.materialize(dd)
+    qs = {MEDIAN_COLUMN: [0.5], **(extra_quantiles or {})}
+    means, quants = C.fit_stats(dd, [MEAN_COLUMN], qs)
+    df = C.fill(C.fill(dd, MEAN_COLUMN, means[MEAN_COLUMN]), MEDIAN_COLUMN, quants[MEDIAN_COLUMN][0])
+    return df, quants
+
+
+def clean_loans(raw: DataFrame, iqr_column: str = IQR_COLUMN, materialize: bool = True) -> DataFrame:
     """C1 -> C2 -> C3 -> C4 -> C5 (``data_outlier``)."""
-    df = C.drop_duplicates(raw, subset=RAW_COLUMNS, keep_min=KEY)
-    df = C.impute_mean(df, "loan_int_rate")
-    df = C.impute_median(df, "person_emp_length")
-    df = C.iqr_filter(df, iqr_column)
+    if iqr_column in (MEAN_COLUMN, MEDIAN_COLUMN):
+        df, _ = impute_loans(raw, materialize=materialize)
+        df = C.iqr_filter(df, iqr_column)
+    else:
+        # imputation does not touch the IQR column: fit its quartiles in the same passes
+        df, quants = impute_loans(raw, {iqr_column: [0.25, 0.75]}, materialize)
+        q1, q3 = quants[iqr_column]
+        if q1 is None:
+            df = df.where("false")
+        else:
+            df = df.where(F.col(iqr_column).between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
     return C.age_filter(df)
 
 

@@ -42,8 +42,7 @@ def register(name: str, sql: str | None = None):
 
 # ---- shared Spark stages ------------------------------------------------------
 def imputed(spark: SparkSession, sf: str) -> DataFrame:
-    df = C.drop_duplicates(loan_book(spark, sf), subset=RAW_COLUMNS, keep_min=KEY)
-    return C.impute_median(C.impute_mean(df, "loan_int_rate"), "person_emp_length")
+    return PR.impute_loans(loan_book(spark, sf))[0]
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:

@@ -122,15 +122,26 @@ def _vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df).select("features")
 
 
+def spark_tolerance(df: DataFrame, features: Sequence[str], tol: float = 1e-4) -> float:
+    """The reference library's tolerance is relative (tol x mean feature
+    variance, on the squared centre shift); Spark's is an absolute shift per
+    centre. Map one to the other with one aggregate."""
+    row = df.agg(*[F.var_pop(F.col(f).cast("double")).alias(f) for f in features]).first()
+    vals = [row[f] for f in features if row[f] is not None]
+    mean_var = sum(vals) / len(vals) if vals else 0.0
+    return max(1e-12, (tol * mean_var) ** 0.5)
+
+
 def fit_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42, max_iter: int = 300,
                init: str = "k-means++", n_init: int = 1, tol: float = 1e-4,
-               vectors: DataFrame | None = None) -> KMeansModel:
+               vectors: DataFrame | None = None, spark_tol: float | None = None) -> KMeansModel:
     """M4 K-means; ``n_init`` restarts with seeds seed..seed+n_init-1, lowest cost wins."""
     vec = vectors if vectors is not None else _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    eps = spark_tol if spark_tol is not None else spark_tolerance(df, features, tol)
     best = None
     try:
         for r in range(max(1, n_init)):
-            m = KMeans(k=k, seed=seed + r, maxIter=max_iter, initMode=_INIT[init], tol=tol,
+            m = KMeans(k=k, seed=seed + r, maxIter=max_iter, initMode=_INIT[init], tol=eps,
                        featuresCol="features").fit(vec)
             if best is None or m.summary.trainingCost < best.summary.trainingCost:
                 best = m
@@ -170,13 +181,14 @@ def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(1, 1
           max_iter: int = 300) -> DataFrame:
     """M5 inertia for each k."""
     vec = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    eps = spark_tolerance(df, features)
     rows = []
     try:
         for k in ks:
             if k == 1:
                 rows.append((1, total_sum_of_squares(df, features)))
             else:
-                m = fit_kmeans(df, features, k=k, seed=seed, max_iter=max_iter, vectors=vec)
+                m = fit_kmeans(df, features, k=k, seed=seed, max_iter=max_iter, vectors=vec, spark_tol=eps)
                 rows.append((int(k), float(m.summary.trainingCost)))
     finally:
         vec.unpersist()
@@ -189,12 +201,13 @@ def kmeans_tuning(df: DataFrame, features: Sequence[str], grid: dict[str, list]
     grid = grid or KMEANS_GRID
     names = list(grid)
     vec = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
+    eps = spark_tolerance(df, features)
     rows, best, best_score = [], None, -1.0
     try:
         for values in itertools.product(*[grid[n] for n in names]):
             p = dict(zip(names, values))
             m = fit_kmeans(df, features, k=p["n_clusters"], seed=seed, max_iter=p["max_iter"],
-                           init=p["init"], n_init=p["n_init"], vectors=vec)
+                           init=p["init"], n_init=p["n_init"], vectors=vec, spark_tol=eps)
             assigned = assign_nearest(df.select(*features), features, centroid_table(m))
             s = silhouette_sq(assigned, features, "cluster").first()[0]
             rows.append((*values, s))

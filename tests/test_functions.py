@@ -72,3 +72,18 @@ def test_income_bins_fixture(spark):
 def test_safe_div_zero_is_null(spark):
     df = spark.createDataFrame([(1.0, 0.0), (1.0, 4.0), (None, 2.0)], "a double, b double")
     assert [r[0] for r in df.select(safe_div("a", "b")).collect()] == [None, 0.25, None]
+
+
+def test_quantiles_few_distinct_large_n(spark):
+    # n above max_collect with few distinct values: grouped values are collected whole
+    df = spark.range(5000).select((F.col("id") % 37).cast("double").alias("x"))
+    pdf = df.toPandas()
+    got = exact_quantiles(df, ["x"], [0.1, 0.5, 0.9], max_collect=1000)["x"]
+    assert np.allclose(got, np.quantile(pdf.x, [0.1, 0.5, 0.9]))
+
+
+def test_quantiles_extra_aggs_fused(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 2, 3, 4]], "x double")
+    extra = {}
+    q = exact_quantiles(df, ["x"], {"x": [0.5]}, extra_aggs=[F.avg("x"), F.max("x")], extra_out=extra)
+    assert q["x"] == [2.5] and extra == {0: 2.5, 1: 4.0}

@@ -41,10 +41,13 @@ def fit_stats(df: DataFrame, means: Sequence[str] = (), quantiles: dict[str, Seq
     return {c: got[i] for i, c in enumerate(means)}, q
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage before several fitting passes: a reliable checkpoint in
-    the shared checkpoint folder (survives executor loss; never local)."""
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
+    """Cut the lineage before several fitting passes: write the table as
+    parquet below the shared checkpoint folder and read it back (survives
+    executor loss; columnar, so each later pass reads only its columns)."""
+    from ..session import shared_path
+    from ..sources.files import write_stage
+    return write_stage(df, name, shared_path(df.sparkSession, "stages", name, unique=True))
 
 
 def fit_mean(df: DataFrame, col: str) -> float | None:

@@ -103,13 +103,13 @@ class OneHotModel:
         return df.select(*keep, *enc)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, i, v) for c, vals in self.categories.items() for i, v in enumerate(vals)]
-        return spark.createDataFrame(rows, "column_name string, code int, value string")
+        rows = [(p, c, i, v) for p, (c, vals) in enumerate(self.categories.items()) for i, v in enumerate(vals)]
+        return spark.createDataFrame(rows, "col_pos int, column_name string, code int, value string")
 
     @staticmethod
     def from_df(df: DataFrame) -> "OneHotModel":
         cats: dict[str, list[str]] = {}
-        for r in sorted(df.collect(), key=lambda r: (r["column_name"], r["code"])):
+        for r in sorted(df.collect(), key=lambda r: (r["col_pos"], r["code"])):
             cats.setdefault(r["column_name"], []).append(r["value"])
         return OneHotModel(cats)
 
@@ -136,14 +136,23 @@ class LabelEncoderModel:
         return df.select(*cols)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, i, v) for c, vals in self.classes.items() for i, v in enumerate(vals)]
-        return spark.createDataFrame(rows, "column_name string, code int, value string")
+        return OneHotModel(self.classes).to_df(spark)
 
     @staticmethod
     def from_df(df: DataFrame) -> "LabelEncoderModel":
         return LabelEncoderModel(OneHotModel.from_df(df).categories)
 
 
+def fit_encoders(df: DataFrame, one_hot_cols: Sequence[str] = ONE_HOT_COLUMNS,
+                 label_cols: Sequence[str] = LABEL_ENCODED_COLUMNS,
+                 max_categories: int = 1000) -> tuple[OneHotModel, "LabelEncoderModel"]:
+    """F3 + F4 fitted from one distinct pass over all categorical columns."""
+    cols = list(dict.fromkeys([*one_hot_cols, *label_cols]))
+    found = _distinct_values(df, cols, max_categories)
+    return (OneHotModel({c: found[c] for c in one_hot_cols}),
+            LabelEncoderModel({c: found[c] for c in label_cols}))
+
+
 def fit_label_encoder(df: DataFrame, cols: Sequence[str] = LABEL_ENCODED_COLUMNS,
                       max_categories: int = 1000) -> LabelEncoderModel:
     found = _distinct_values(df, cols, max_categories)

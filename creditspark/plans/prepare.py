@@ -33,7 +33,7 @@ def impute_loans(raw: DataFrame, extra_quantiles: dict[str, list[float]] | None
     set of passes over it."""
     dd = C.drop_duplicates(raw, subset=RAW_COLUMNS, keep_min=KEY)
     if materialize:
-        dd = C.materialize(dd)
+        dd = C.materialize(dd, "dedup")
     qs = {MEDIAN_COLUMN: [0.5], **(extra_quantiles or {})}
     means, quants = C.fit_stats(dd, [MEAN_COLUMN], qs)
     df = C.fill(C.fill(dd, MEAN_COLUMN, means[MEAN_COLUMN]), MEDIAN_COLUMN, quants[MEDIAN_COLUMN][0])
@@ -66,7 +66,7 @@ def engineer(cleaned: DataFrame, encoders: Encoders | None = None) -> tuple[Data
     """F1 -> F2 -> F3 -> F4. Encoders are fitted here unless given (scoring)."""
     df = Fe.discretize(Fe.add_ratios(cleaned))
     if encoders is None:
-        encoders = Encoders(Fe.fit_one_hot(df), Fe.fit_label_encoder(df))
+        encoders = Encoders(*Fe.fit_encoders(df))
     df = encoders.labels.transform(encoders.one_hot.transform(df))
     return df, encoders
 

@@ -85,3 +85,12 @@ def test_silhouette_and_inertia_fixture(spark):
     assert V.inertia(df, ["x", "y"], cents).first()[0] == pytest.approx(28.83333, abs=1e-5)
     assigned = V.assign_nearest(df.drop("cluster"), ["x", "y"], cents).collect()
     assert [r["cluster"] for r in assigned] == [0, 0, 0, 1, 1, 1, 1]
+
+
+def test_encoders_roundtrip_keep_order(spark):
+    df = spark.createDataFrame([("b", "y", "Q"), ("a", "x", "P")], "zz string, aa string, g string")
+    oh, le = Fe.fit_encoders(df, ["zz", "aa"], ["g"])
+    oh2 = Fe.OneHotModel.from_df(oh.to_df(spark))
+    le2 = Fe.LabelEncoderModel.from_df(le.to_df(spark))
+    assert list(oh2.categories) == ["zz", "aa"] and oh2.categories == oh.categories
+    assert le2.classes == {"g": ["P", "Q"]}

@@ -110,19 +110,26 @@ def _solve(data: DataFrame, counts: list[int],
     keys = list(targets)
     if not keys:
         return {}
+    # one grouped pass; targets sharing a bracket share its rows
+    brackets: dict[tuple, int] = {}
+    for (i, r) in keys:
+        t = targets[(i, r)]
+        brackets.setdefault((i, t["L"], t["U"]), len(brackets))
     tagged = F.explode(F.array(*[
-        F.when(in_bracket(i, targets[(i, r)]),
-               F.struct(F.lit(j).alias("t"), F.col(f"_q{i}").alias("v")))
-        for j, (i, r) in enumerate(keys)])).alias("e")
+        F.when(in_bracket(i, {"L": lo, "U": hi}), F.struct(F.lit(b).alias("t"), F.col(f"_q{i}").alias("v")))
+        for (i, lo, hi), b in brackets.items()])).alias("e")
     rows = (data.select(tagged).where(F.col("e").isNotNull())
             .groupBy("e.t", "e.v").count().collect())
-    per_target: dict[int, list[tuple[float, int]]] = {}
+    per_bracket: dict[int, list[tuple[float, int]]] = {}
     for rw in rows:
-        per_target.setdefault(rw["t"], []).append((rw["v"], rw["count"]))
+        per_bracket.setdefault(rw["t"], []).append((rw["v"], rw["count"]))
+    for vals in per_bracket.values():
+        vals.sort()
     out: dict[tuple[int, int], float] = {}
-    for j, (i, r) in enumerate(keys):
-        acc = targets[(i, r)].get("below", 0)
-        for v, cnt in sorted(per_target.get(j, [])):
+    for (i, r) in keys:
+        t = targets[(i, r)]
+        acc = t.get("below", 0)
+        for v, cnt in per_bracket.get(brackets[(i, t["L"], t["U"])], []):
             acc += cnt
             if acc > r:
                 out[(i, r)] = v

@@ -24,7 +24,12 @@ def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep_min
     if keep_min is None:
         return df.dropDuplicates(list(subset) if subset else None)
     subset = list(subset or [c for c in df.columns if c != keep_min])
-    return df.groupBy(*subset).agg(F.min(keep_min).alias(keep_min)).select(*df.columns)
+    others = [c for c in df.columns if c not in subset and c != keep_min]
+    if not others:
+        return df.groupBy(*subset).agg(F.min(keep_min).alias(keep_min)).select(*df.columns)
+    # carry the other columns of the smallest-key row (struct order: key first)
+    first = F.min(F.struct(F.col(keep_min).alias(keep_min), *[F.col(c) for c in others])).alias("_first")
+    return df.groupBy(*subset).agg(first).select(*subset, "_first.*").select(*df.columns)
 
 
 def fit_stats(df: DataFrame, means: Sequence[str] = (), quantiles: dict[str, Sequence[float]] | None = None

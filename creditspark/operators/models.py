@@ -196,25 +196,35 @@ def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(1, 1
 
 
 def kmeans_tuning(df: DataFrame, features: Sequence[str], grid: dict[str, list] | None = None,
-                  seed: int = 42) -> tuple[dict, DataFrame]:
-    """M6 fit every grid setting, score by silhouette; the first strict maximum wins."""
+                  seed: int = 42, parallelism: int = 4) -> tuple[dict, DataFrame]:
+    """M6 fit every grid setting, score by silhouette; the first strict maximum
+    (in grid order) wins. Settings are fitted concurrently, like
+    ``CrossValidator(parallelism=...)``: each fit is its own series of Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
     grid = grid or KMEANS_GRID
     names = list(grid)
+    settings = list(itertools.product(*[grid[n] for n in names]))
     vec = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
     eps = spark_tolerance(df, features)
-    rows, best, best_score = [], None, -1.0
+
+    def run(values):
+        p = dict(zip(names, values))
+        m = fit_kmeans(df, features, k=p["n_clusters"], seed=seed, max_iter=p["max_iter"],
+                       init=p["init"], n_init=p["n_init"], vectors=vec, spark_tol=eps)
+        assigned = assign_nearest(df.select(*features), features, centroid_table(m))
+        return silhouette_sq(assigned, features, "cluster").first()[0]
+
     try:
-        for values in itertools.product(*[grid[n] for n in names]):
-            p = dict(zip(names, values))
-            m = fit_kmeans(df, features, k=p["n_clusters"], seed=seed, max_iter=p["max_iter"],
-                           init=p["init"], n_init=p["n_init"], vectors=vec, spark_tol=eps)
-            assigned = assign_nearest(df.select(*features), features, centroid_table(m))
-            s = silhouette_sq(assigned, features, "cluster").first()[0]
-            rows.append((*values, s))
-            if s is not None and s > best_score:
-                best, best_score = p, s
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            scores = list(pool.map(run, settings))
     finally:
         vec.unpersist()
+    rows, best, best_score = [], None, -1.0
+    for values, s in zip(settings, scores):
+        rows.append((*values, s))
+        if s is not None and s > best_score:
+            best, best_score = dict(zip(names, values)), s
     schema = ", ".join(f"{n} {'string' if isinstance(grid[n][0], str) else 'int'}" for n in names)
     return best, df.sparkSession.createDataFrame(rows, schema + ", silhouette double")
 

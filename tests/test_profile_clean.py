@@ -79,3 +79,9 @@ def test_type_split(spark):
 def test_column_max(spark):
     assert P.column_max(_df(spark), ["age"]).first()[0] == 101
     assert F is not None
+
+
+def test_drop_duplicates_keep_min_carries_other_columns(spark):
+    df = spark.createDataFrame([(2, "a", "late"), (1, "a", "early"), (3, "b", "only")], "id long, k string, note string")
+    out = {r["k"]: (r["id"], r["note"]) for r in C.drop_duplicates(df, subset=["k"], keep_min="id").collect()}
+    assert out == {"a": (1, "early"), "b": (3, "only")}

@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix2_sql, mix_sql, unit_sql
-from ..operators import features as Fe
 from ..operators import models as M
 from ..operators import sampling as R
 from ..session import shared_path
@@ -188,5 +187,3 @@ def q_verdict_mapping(spark, sf):
     return ev.select(KEY, "prediction", M.verdict().alias("verdict"), "cluster",
                      M.cluster_description().alias("description"))
 
-
-__all__ = ["Fe"]

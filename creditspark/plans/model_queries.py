@@ -72,10 +72,11 @@ def q_smote(spark, sf):
     return _round_all(out)
 
 
-@register("smote_bucketed")
+@register("smote_bucketed", _smote_sql())
 def q_smote_bucketed(spark, sf):
     """Same operator with leaves of at most 1,024 rows: exercises the
-    random-projection tree used when the minority does not fit one leaf."""
+    random-projection tree and the exact cross-leaf refinement used when the
+    minority does not fit one leaf; the result must equal exact SMOTE."""
     df, feats = scaled(spark, sf)
     return _round_all(R.smote(df, feats, LABEL, KEY, k=SMOTE_K, seed=SMOTE_SEED, leaf_size=1024))
 

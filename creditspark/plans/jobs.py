@@ -53,7 +53,7 @@ class ClassifierBundle:
             load_model(f"{path}/model"))
 
 
-def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, smote_leaf_size: int = 8192,
+def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, smote_leaf_size: int = 32768,
                      **gbt_params) -> tuple[ClassifierBundle, DataFrame]:
     """Clean -> engineer -> split -> scale (train stats) -> SMOTE (train) -> GBT.
 

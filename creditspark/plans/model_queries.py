@@ -15,7 +15,8 @@ from ..sources import KEY, LABEL, loan_book
 from ..sources.files import write_stage
 from . import jobs as J
 from . import sql as S
-from .queries import _round_all, cleaned, evals, register, scaled
+from . import prepare as PR
+from .queries import _round_all, cleaned, engineered, evals, register, scaled
 
 SMOTE_K = 5
 SMOTE_SEED = 42
@@ -139,9 +140,15 @@ def q_gbt_scores(spark, sf):
 
 @register("gbt_grid")
 def q_gbt_grid(spark, sf):
-    df, feats = scaled(spark, sf)
-    train, _test = R.train_test_split(df, KEY)
-    _best, table = M.grid_search(train, feats, LABEL, GBT_CHECK_GRID, folds=2, parallelism=4)
+    """M2 on the training split only (scaling fitted on it, then SMOTE), as in
+    ``jobs.train_classifier``."""
+    eng = engineered(spark, sf)
+    feats = PR.feature_columns(eng)
+    train, _test = R.train_test_split(eng, KEY)
+    train_s, _ = PR.scaled_features(train, feats)
+    balanced = write_stage(R.smote(train_s, feats, LABEL, KEY), "data_balanced",
+                           f"{_stage_dir(spark, 'gbt_grid')}/data_balanced")
+    _best, table = M.grid_search(balanced, feats, LABEL, GBT_CHECK_GRID, folds=2, parallelism=4)
     return _round_all(table)
 
 

@@ -75,8 +75,13 @@ def classification_report(df: DataFrame, label: str = "label", prediction: str =
 
 
 def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score, written once as a stage: the
+    running sums read it several times, and the predictions behind it (a model
+    applied to the whole test set) are then scanned only once."""
+    from .clean import materialize
+    g = df.groupBy(F.col(score).cast("double").alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    return materialize(g, "score_counts")
 
 
 def roc_points(df: DataFrame, label: str = "label", score: str = "score", digits: int = 6) -> DataFrame:

@@ -111,6 +111,15 @@ def q_kmeans_assign(spark, sf):
     return _round_all(pts)
 
 
+@register("kmeans_silhouette")
+def q_kmeans_silhouette(spark, sf):
+    """Evaluate the fitted segmentation: squared-Euclidean silhouette of the
+    K-means clusters on the two components (V6 over M7)."""
+    from ..operators import evaluate as V
+    _, pts = J.train_clusterer(cleaned(spark, sf), _stage_dir(spark, "kmeans_silhouette"))
+    return V.silhouette_sq(pts, J.PCA_NAMES, "cluster")
+
+
 def _pca_stage(spark, sf, name):
     pcs, _, _ = J.pca_points(cleaned(spark, sf))
     return write_stage(pcs, "pca_result", f"{_stage_dir(spark, name)}/pca_result")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -65,3 +66,23 @@ def shared_path(spark: SparkSession, *parts: str, unique: bool = False) -> str:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, so that they can import it wherever they run.
+
+    Once per Spark application; only operators with Python inside need it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_creditspark_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="creditspark-py-"), "creditspark_src.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(target)
+    sc._creditspark_shipped = True

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
+from .bpe import bpe_decode, bpe_encode
+from .decontaminate import find_contamination
 from .substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +30,23 @@ def sha256(col: Column | str) -> Column:
     return F.sha2(F.col(col) if isinstance(col, str) else col, 256)
 
 
+@query("op1_decontamination")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = find_contamination(frames.table(spark, sf_dir, "documents", "doc_id", "text"), frames.table(spark, sf_dir, "benchmark", "item_id", "text"))
+    hit = F.aggregate("marks.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    out = marked.select("doc.doc_id", "marks.n_words", hit.alias("n_hit"), F.col("marks.items").alias("items"), F.col("marks.longest").alias("longest_match"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"), "longest_match")
+
+
+@query("op2_byte_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    tokens = bpe_decode(bpe_encode(frames.table(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    return tokens.select("doc.doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+                         sha256("decoded").alias("decoded_sha256"))
+
+
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(frames.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -12,6 +12,7 @@ from . import frames
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_contamination
 from .substring_dedup import substring_dedup
+from .token_store import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -51,3 +52,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))
+
+
+@query("op4_token_store")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = frames.work_path(spark, "op4-tokens")
+    write_tokens(frames.table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import frames
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_contamination
+from .langid import fit_languages, identify
+from .quality import CUT, fit_quality, score_quality
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
 
@@ -59,3 +61,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = frames.work_path(spark, "op4-tokens")
     write_tokens(frames.table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def fold(key: str, n: int) -> Column:
+    """crc32 of the key as text, modulo n."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents", "doc_id", "text")
+    model = fit_quality(docs, frames.table(spark, sf_dir, "labels", "doc_id", "quality").where(fold("doc_id", 5) != 0))
+    scored = score_quality(docs, model).select("doc.doc_id", "score")
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frames.table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = fit_languages(docs.where(fold("doc_id", 3) != 1))
+    named = identify(docs.select("doc_id", "text"), model).select("doc.doc_id", "lang_pred", "score", "rejected")
+    return named.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")

@@ -12,7 +12,10 @@ from . import frames
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_contamination
 from .langid import fit_languages, identify
+from .pii import KINDS, find_personal_data
 from .quality import CUT, fit_quality, score_quality
+from .secret_scan import scan_secrets
+from .spans import listing
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
 
@@ -82,3 +85,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.where(fold("doc_id", 3) != 1))
     named = identify(docs.select("doc_id", "text"), model).select("doc.doc_id", "lang_pred", "score", "rejected")
     return named.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def count_kind(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op6_sanitisation")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", *(count_kind("base", k).alias(f"n_{k}") for k in KINDS[:4]), sha256(listing(F.col("base"))).alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+
+
+@query("op8_secret_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(frames.table(spark, sf_dir, "documents", "doc_id", "text"), frames.work_path(spark, "op8-ledger"))
+    base = F.filter("findings", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc.doc_id", "findings", base.alias("base")).select(
+        "doc_id", *(count_kind("findings", k).alias(f"n_{k}") for k in ("assign", "access", "hex")), sha256(listing(F.col("base"))).alias("base_sha256"), listing(F.col("findings")).alias("spans"))

@@ -15,6 +15,7 @@ from .langid import fit_languages, identify
 from .pii import KINDS, find_personal_data
 from .quality import CUT, fit_quality, score_quality
 from .secret_scan import scan_secrets
+from .simhash import neighbour_likeness
 from .spans import listing
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
@@ -103,3 +104,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("findings", lambda s: s["kind"].isin("assign", "access", "hex"))
     return found.select("doc.doc_id", "findings", base.alias("base")).select(
         "doc_id", *(count_kind("findings", k).alias(f"n_{k}") for k in ("assign", "access", "hex")), sha256(listing(F.col("base"))).alias("base_sha256"), listing(F.col("findings")).alias("spans"))
+
+
+@query("op7_simhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_likeness(frames.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -7,6 +7,7 @@ never cut), so the memory of a task is bounded by the slice size or its longest
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -80,18 +81,23 @@ def cuts(offsets: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int
 class Words:
     """Words of consecutive documents as positions in one byte buffer; document d has words first[d]:first[d + 1]."""
 
-    def __init__(self, offsets: np.ndarray, raw: np.ndarray, lower: bool = False, is_word: np.ndarray = IS_WORD):
+    def __init__(self, offsets: np.ndarray, raw: np.ndarray, lower: bool = False, kinds: np.ndarray = IS_WORD):
+        """``kinds``: 0 for bytes between words; a word also ends where two different kinds from 1 to 3 meet."""
         n_docs = len(offsets) - 1
         self.buf = np.full(len(raw) + n_docs, SPACE, np.uint8)
         keep = np.ones(len(self.buf), bool)
         ends = offsets[1:] + np.arange(n_docs)
         keep[ends] = False
         self.buf[keep] = LOWER[raw] if lower else raw
-        inside = np.zeros(len(self.buf) + 1, np.int8)
-        inside[1:] = is_word[self.buf]
-        step = np.diff(inside)  # the buffer ends in a separator, so every word ends inside it
-        self.start = np.flatnonzero(step == 1)
-        self.end = np.flatnonzero(step == -1)
+        kind = np.zeros(len(self.buf) + 1, np.int8)
+        kind[1:] = kinds[self.buf]
+        a, b = kind[:-1], kind[1:]
+        if kinds.dtype == bool:
+            cut = a != b
+        else:
+            cut = (a != b) & ((a == 0) | (b == 0) | ((a < 4) & (b < 4)))
+        self.start = np.flatnonzero(cut & (b > 0))  # the buffer ends in a separator, so every word ends inside it
+        self.end = np.flatnonzero(cut & (a > 0))
         self.doc_end = ends
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)])
         self.n_words = np.diff(self.first)
@@ -154,3 +160,89 @@ def binary_array(offsets: np.ndarray, raw: np.ndarray) -> pa.Array:
 
 def list_array(offsets: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+class HashCache:
+    """Ids of pieces by the pieces' 64-bit hashes: open addressing in arrays, emptied when half full."""
+
+    def __init__(self, bits: int = 21):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        size = 1 << self.bits
+        self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+        self.n, self.used = 0, 0
+        self.start, self.size = np.zeros(size // 2 + 1, np.int64), np.zeros(size // 2 + 1, np.int32)
+        self.flat = np.zeros(1 << 16, np.int32)
+
+    def _place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        at, left = self._place(h), None
+        while True:
+            have = self.keys[at]
+            hit = have == h
+            if left is None:
+                out[hit] = self.entry[at[hit]]
+                left = np.flatnonzero(~hit & (have != 0))
+            else:
+                out[left[hit]] = self.entry[at[hit]]
+                left = left[~hit & (have != 0)]
+            if not len(left):
+                return out
+            at = at[~hit & (have != 0)] + 1 & (1 << self.bits) - 1
+            h = h[~hit & (have != 0)]
+
+    def has_room(self, n: int) -> bool:
+        return self.n + n <= 1 << (self.bits - 1)
+
+    def add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New, distinct hashes with their ids, one run after another."""
+        n, total = len(h), len(ids)
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(total, self.used) + (1 << 16), np.int32)])
+        self.flat[self.used: self.used + total] = ids
+        self.start[self.n: self.n + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n: self.n + n] = sizes
+        entry, at = np.arange(self.n, self.n + n, dtype=np.int32), self._place(h)
+        while len(h):
+            free = np.flatnonzero(self.keys[at] == 0)
+            self.keys[at[free]] = h[free]
+            won = free[self.keys[at[free]] == h[free]]
+            self.entry[at[won]] = entry[won]
+            lost = np.ones(len(h), bool)
+            lost[won] = False
+            h, at, entry = h[lost], at[lost] + 1 & (1 << self.bits) - 1, entry[lost]
+        self.n += n
+        self.used += total
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the entries, one after another."""
+        at, offsets = ragged(self.start[entries], self.size[entries])
+        return self.flat[at], offsets
+
+
+def cached_ids(cache: HashCache, h: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of pieces by hash; ``encode`` takes positions of new pieces and returns their lists of ids."""
+    h = np.where(h == 0, np.uint64(1), h)
+    found = cache.lookup(h)
+    missing = np.flatnonzero(found < 0)
+    if len(missing):
+        new, first, which = np.unique(h[missing], return_index=True, return_inverse=True)
+        if not cache.has_room(len(new)):
+            cache.clear()
+            if not cache.has_room(len(new)):
+                cache.bits = max(cache.bits, int(2 * len(h)).bit_length() + 1)  # one very long text
+                cache.clear()
+            new, first, which = np.unique(h, return_index=True, return_inverse=True)
+            missing = np.arange(len(h))
+        lists = encode(missing[first])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        base = cache.n
+        cache.add(new, np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum())), sizes)
+        found[missing] = base + which
+    return cache.gather(found)

@@ -12,9 +12,9 @@ the files, so a lost executor leaves nothing half written.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -87,38 +87,67 @@ class DacReader:
         return out
 
 
+#: kinds of bytes: blanks, ASCII letters, digits, signs, and what stays with its neighbours (apostrophe, control, not ASCII)
+_KINDS = np.full(256, 4, np.int8)
+_KINDS[list(A.BLANK_BYTES)] = 0
+_KINDS[33:127] = 3
+_KINDS[48:58] = 2
+_KINDS[65:91] = _KINDS[97:123] = 1
+_KINDS[39] = 4
+_WHOLE = np.where(_KINDS > 0, np.int8(4), np.int8(0))
+
+
 class CachedTokenizer:
-    """The tokenizers library with a cache of white-space separated pieces.
+    """The tokenizers library with a cache of pieces.
 
-    The vocabulary drops white space and no token, merge or normal form of it spans ASCII white space, so a text's ids
-    are those of its pieces, one after another.
+    The vocabulary lower-cases, drops white space and never merges across ASCII white space, nor between ASCII letters, digits
+    and signs (but the apostrophe), so a text's ids are those of such pieces, one after another. Slices with what may be a
+    special token are cut at white space alone and keep their case.
     """
 
-    def __init__(self, path: str, cache_size: int = 500_000):
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks share the cores already
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {}
-        self.cache_size = cache_size
+        self.cache = A.HashCache()
+        names = self.library.get_vocab()
+        #: ids that end a word
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of the texts in them)."""
-        cache = self.cache
-        pieces, counts = [], []
-        for t in texts:
-            mine = t.encode().split()
-            pieces += mine
-            counts.append(len(mine))
-        found = list(map(cache.get, pieces))
-        if None in found:
-            if len(cache) > self.cache_size:
-                cache.clear()
-            new = list({p for p, f in zip(pieces, found, strict=True) if f is None})
-            fresh = dict(zip(new, (e.ids for e in self.library.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)), strict=True))
-            found = [f if f is not None else fresh[p] for p, f in zip(pieces, found, strict=True)]
-            cache.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, upto[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        marks = np.flatnonzero(raw[:-1] == 60)
+        special = bool(len(marks)) and bool((raw[marks + 1] == 124).any())
+        words = A.Words(offsets, raw, lower=not special, kinds=_WHOLE if special else _KINDS)
+        if not len(words.start):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        whole = words.buf.tobytes()
+
+        def encode(at: np.ndarray) -> list[list[int]]:
+            pieces = [whole[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+            return self.encode_pieces(pieces)
+
+        ids, upto = A.cached_ids(self.cache, words.hashes(), encode)
+        return ids, upto[words.first]
+
+
+    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece. Letters alone are one word with one word end, so many such pieces go as one text with blanks."""
+        out: list[list[int]] = [[]] * len(pieces)
+        words = [i for i, p in enumerate(pieces) if p.isalpha()]
+        others = [i for i, p in enumerate(pieces) if not p.isalpha()]
+        groups = [words[i: i + 100] for i in range(0, len(words), 100)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = e.ids
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
+            if len(ends) == len(group):
+                for i, a, b in zip(group, [0, *ends], ends, strict=False):
+                    out[i] = ids[a:b]
+            else:  # a letter whose normal form is no letter
+                others += group
+        for i, e in zip(others, self.library.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        return out
 
 
 @lru_cache(2)
@@ -131,10 +160,10 @@ def _build(path: str, end_id: int):
         t = tokenizer(path)
         shard = table["chunk"][0].as_py()
         table = table.sort_by([("key", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
-        offsets, _ = A.utf8(table["text"])
+        offsets, raw = A.utf8(table["text"])
         parts, ends, done = [], [], 0
         for lo, hi in A.cuts(offsets, 2_000_000):
-            ids, at = t.encode([x or "" for x in table["text"].slice(lo, hi - lo).to_pylist()])
+            ids, at = t.encode(offsets[lo: hi + 1] - offsets[lo], raw[offsets[lo]: offsets[hi]])
             parts.append(np.insert(ids, at[1:], end_id))
             ends.append(done + at[1:] + np.arange(1, hi - lo + 1))
             done = int(ends[-1][-1])

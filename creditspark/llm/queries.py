@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import frames
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_contamination
+from .jaccard_join import jaccard_components
 from .langid import fit_languages, identify
 from .pii import KINDS, find_personal_data
 from .quality import CUT, fit_quality, score_quality
@@ -109,3 +110,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))

@@ -78,6 +78,13 @@ def cuts(offsets: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int
         lo = hi
 
 
+def by_key(table: pa.Table) -> pa.Table:
+    """Rows by key, then text; nulls first."""
+    if table.num_rows < 2:
+        return table
+    return table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("text", "ascending")], null_placement="at_start"))
+
+
 class Words:
     """Words of consecutive documents as positions in one byte buffer; document d has words first[d]:first[d + 1]."""
 

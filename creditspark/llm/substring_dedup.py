@@ -54,14 +54,10 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(gaps.reshape(-1).view("<u8"), dtype=np.uint64)
 
 
-def _by_document(table: pa.Table) -> pa.Table:
-    return table.sort_by([("key", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
-
-
 def _emit(width: int, bits: int):
     def emit(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
-        _, h = _sorted_windows(A.Words(*A.utf8(_by_document(table)["text"])), width)
+        _, h = _sorted_windows(A.Words(*A.utf8(A.by_key(table)["text"])), width)
         bounds = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
         lo, hi = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(h)]])
         full = np.flatnonzero(hi > lo)
@@ -87,7 +83,7 @@ def _mark(table: pa.Table) -> pa.Table:
 
 def _remove(width: int, bits: int):
     def remove(table: pa.Table, marks: pa.Table) -> Iterator[pa.RecordBatch] | pa.Table:
-        table = _by_document(table)
+        table = A.by_key(table)
         words = A.Words(*A.utf8(table["text"]))
         n = len(words.start)
         covered = np.zeros(n + 1, np.int32)

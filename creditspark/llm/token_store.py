@@ -159,7 +159,7 @@ def _build(path: str, end_id: int):
     def build(table: pa.Table) -> pa.Table:
         t = tokenizer(path)
         shard = table["chunk"][0].as_py()
-        table = table.sort_by([("key", "ascending"), ("text", "ascending")]) if table.num_rows > 1 else table
+        table = A.by_key(table)
         offsets, raw = A.utf8(table["text"])
         parts, ends, done = [], [], 0
         for lo, hi in A.cuts(offsets, 2_000_000):

@@ -53,7 +53,7 @@ class ClassifierBundle:
             load_model(f"{path}/model"))
 
 
-def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, smote_leaf_size: int = 32768,
+def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42,
                      **gbt_params) -> tuple[ClassifierBundle, DataFrame]:
     """Clean -> engineer -> split -> scale (train stats) -> SMOTE (train) -> GBT.
 
@@ -67,7 +67,7 @@ def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, smote_leaf_
     train, test = R.train_test_split(eng, KEY, 0.2, seed)
     train_s, scaler = PR.scaled_features(train, feats)
     test_s = scaler.transform(test, fill_null=0.0)
-    balanced = R.smote(train_s, feats, LABEL, KEY, k=5, seed=seed, leaf_size=smote_leaf_size)
+    balanced = R.smote(train_s, feats, LABEL, KEY, k=5, seed=seed)
     balanced = write_stage(balanced, "data_balanced", f"{stage_dir}/data_balanced")
     model = M.fit_gbt(balanced, feats, LABEL, seed, **gbt_params)
     scored = M.predict(model, test_s, keep=[KEY, F.col(LABEL).alias("label")])

@@ -36,7 +36,11 @@ def _smote_sql() -> str:
     feats = S.feature_names()
     qf = [S.q(f) for f in feats]
     dist = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in qf)
-    interp = ", ".join(f"ROUND(a.{c} + g.u * (b.{c} - a.{c}), 6) AS {c}" for c in qf)
+    axes = " UNION ALL ".join(
+        f"SELECT loan_id, {t} AS t, " + " + ".join(f"{c} * CAST({w} AS DOUBLE)" for c, w in zip(qf, R.axis(t, len(qf)))) + " AS p FROM mino"
+        for t in range(R.PROJECTIONS))
+    # + 0: DuckDB keeps the sign of a zero
+    interp = ", ".join(f"ROUND(a.{c} + g.u * (b.{c} - a.{c}), 6) + CAST(0 AS DOUBLE) AS {c}" for c in qf)
     base = ", ".join(f"ROUND({c}, 6) AS {c}" for c in qf)
     return f"""
 WITH {S.engineered_cte()}, {S.scaled_cte()},
@@ -48,9 +52,14 @@ mino AS (SELECT s.* FROM scaled s, lab WHERE s.loan_status = lab.min_label),
 ranked AS (SELECT loan_id, ROW_NUMBER() OVER (ORDER BY {mix_sql('loan_id', SMOTE_SEED)}, loan_id) AS rk FROM mino),
 copies AS (SELECT r.loan_id, CAST(lab.n_syn // lab.n_min + CASE WHEN r.rk <= lab.n_syn % lab.n_min THEN 1 ELSE 0 END AS BIGINT) AS c
   FROM ranked r, lab),
+axes AS ({axes}),
+placed AS (SELECT loan_id, t, ROW_NUMBER() OVER (PARTITION BY t ORDER BY p, loan_id) AS place FROM axes),
+steps AS (SELECT UNNEST(generate_series(-{R.RANKS}, {R.RANKS})) AS step),
+cand AS (SELECT DISTINCT a.loan_id AS ka, b.loan_id AS kb FROM placed a CROSS JOIN steps s
+  JOIN placed b ON b.t = a.t AND b.place = a.place + s.step WHERE a.loan_id <> b.loan_id),
 nn AS (SELECT ka, kb, rn - 1 AS r FROM (
-  SELECT a.loan_id AS ka, b.loan_id AS kb, ROW_NUMBER() OVER (PARTITION BY a.loan_id ORDER BY {dist}, b.loan_id) AS rn
-  FROM mino a JOIN mino b ON a.loan_id <> b.loan_id) WHERE rn <= {SMOTE_K}),
+  SELECT c.ka, c.kb, ROW_NUMBER() OVER (PARTITION BY c.ka ORDER BY {dist}, c.kb) AS rn
+  FROM cand c JOIN mino a ON a.loan_id = c.ka JOIN mino b ON b.loan_id = c.kb) WHERE rn <= {SMOTE_K}),
 kk AS (SELECT ka, COUNT(*) AS k FROM nn GROUP BY ka),
 gen AS (SELECT loan_id, c, UNNEST(generate_series(1, c)) AS copy_no FROM copies WHERE c > 0),
 draws AS (SELECT gen.loan_id, gen.copy_no,
@@ -75,11 +84,9 @@ def q_smote(spark, sf):
 
 @register("smote_bucketed", _smote_sql())
 def q_smote_bucketed(spark, sf):
-    """Same operator with leaves of at most 1,024 rows: exercises the
-    random-projection tree and the exact cross-leaf refinement used when the
-    minority does not fit one leaf; the result must equal exact SMOTE."""
+    """The same operator with window blocks of 256 ranks: where blocks are cut must not change a row."""
     df, feats = scaled(spark, sf)
-    return _round_all(R.smote(df, feats, LABEL, KEY, k=SMOTE_K, seed=SMOTE_SEED, leaf_size=1024))
+    return _round_all(R.smote(df, feats, LABEL, KEY, k=SMOTE_K, seed=SMOTE_SEED, block=256))
 
 
 @register("smote_class_balance", f"""

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import default_parallelism
+from ..session import default_parallelism, shared_path
 
 
 def cumulative_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], *,
@@ -54,3 +54,24 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], *,
         off = F.element_at(F.array(*[F.lit(x) for x in offsets[c]]), F.col("_bucket") + 1)
         out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + off)
     return out.drop("_bucket")
+
+
+def positions(df: DataFrame, order: Sequence[str], out: str = "position") -> DataFrame:
+    """Add the 0-based position of every row in the order of ``order`` (unique per row).
+
+    One global range sort; a row's number in its partition plus the sizes of the
+    partitions before it (one small row each) is its position, so no task sees all rows. The sorted
+    rows are written to the run folder once, which fixes the partitions.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "stages", "positions", unique=True)
+    df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    at = spark.read.parquet(path)
+    part = F.shiftright("_m", 33)
+    start, total = [], 0
+    for r in sorted(at.groupBy(part.alias("part")).count().collect()):
+        start += [F.lit(r["part"]), F.lit(total).cast("bigint")]
+        total += r["count"]
+    if not start:
+        return at.withColumn(out, F.col("_m")).drop("_m")
+    return at.withColumn(out, F.create_map(*start)[part] + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m")

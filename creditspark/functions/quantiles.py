@@ -7,8 +7,8 @@ exact order statistics are found by bracketing:
 1. one aggregate computes counts and ``percentile_approx`` brackets around
    each wanted rank (the sketch's rank error is at most n / accuracy);
 2. one aggregate checks each bracket really holds its rank (widening it when
-   the sketch missed) and counts the rows inside; a bracket still too wide is
-   narrowed with another sketch restricted to it;
+   the sketch missed) and counts the rows inside and on its ends; a rank on an end is solved, and a
+   bracket still too wide loses its ends and is narrowed with another sketch restricted to its interior;
 3. one grouped pass returns the (value, count) pairs inside the brackets,
    at most ``max_collect`` per bracket, and the driver walks them.
 
@@ -36,58 +36,72 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
 
 def _solve(data: DataFrame, counts: list[int],
            init: dict[tuple[int, int], tuple[float | None, float | None] | None],
-           accuracy: int, max_collect: int, max_rounds: int) -> dict[tuple[int, int], float]:
+           accuracy: int, max_collect: int) -> dict[tuple[int, int], float]:
     """Order statistics of columns ``_q{i}`` of ``data``: {(i, rank): value}.
 
     ``init`` gives a starting bracket (from a sketch) per (column, rank), or
-    None to start from the whole column.
+    None to start from the whole column. A bracket is an interval with closed or open ends.
+    Each round counts, per bracket, the rows below, inside and on its two ends: a rank that falls on an
+    end is solved, else the ends are cut off (open interior), so a hot value on an end never keeps a
+    bracket wide. Every round solves, opens or narrows each bracket, so the rounds end by themselves.
     """
     eps = 2.0 / accuracy
+    out: dict[tuple[int, int], float] = {}
     targets: dict[tuple[int, int], dict] = {}
     for (i, r), br in init.items():
-        n = counts[i]
-        if n <= max_collect or br == "all":
+        lo, hi = (_OPEN, _OPEN) if br in (None, "all") else br
+        targets[(i, r)] = {"L": lo, "U": hi, "strict": False, "below": 0, "within": counts[i],
+                           "ok": counts[i] <= max_collect or br == "all"}
+        if targets[(i, r)]["ok"]:
             # whole column, grouped: small, or few distinct values
-            targets[(i, r)] = {"L": _OPEN, "U": _OPEN, "below": 0, "within": n, "ok": True}
-        elif br is None:
-            targets[(i, r)] = {"L": _OPEN, "U": _OPEN, "ok": False}
-        else:
-            targets[(i, r)] = {"L": br[0], "U": br[1], "ok": False}
+            targets[(i, r)].update(L=_OPEN, U=_OPEN)
 
     def in_bracket(i: int, t: dict):
         c = F.col(f"_q{i}")
         cond = c.isNotNull()
         if t["L"] is not _OPEN:
-            cond = cond & (c >= F.lit(t["L"]))
+            cond = cond & ((c > F.lit(t["L"])) if t["strict"] else (c >= F.lit(t["L"])))
         if t["U"] is not _OPEN:
-            cond = cond & (c <= F.lit(t["U"]))
+            cond = cond & ((c < F.lit(t["U"])) if t["strict"] else (c <= F.lit(t["U"])))
         return cond
 
-    for _ in range(max_rounds):
-        pending = [key for key, t in targets.items() if not t["ok"]]
-        if not pending:
-            break
+    while pending := [key for key, t in targets.items() if not t["ok"]]:
         exprs = []
         for j, (i, r) in enumerate(pending):
             t = targets[(i, r)]
             c = F.col(f"_q{i}")
-            below = F.lit(0) if t["L"] is _OPEN else F.count_if(c < F.lit(t["L"]))
-            exprs += [below.cast("bigint").alias(f"b{j}"), F.count_if(in_bracket(i, t)).alias(f"w{j}")]
+            zero = F.lit(0)
+            below = zero if t["L"] is _OPEN else F.count_if((c <= F.lit(t["L"])) if t["strict"] else (c < F.lit(t["L"])))
+            on_l = zero if t["L"] is _OPEN or t["strict"] else F.count_if(c == F.lit(t["L"]))
+            on_u = zero if t["U"] is _OPEN or t["strict"] else F.count_if(c == F.lit(t["U"]))
+            exprs += [below.cast("bigint").alias(f"b{j}"), F.count_if(in_bracket(i, t)).alias(f"w{j}"),
+                      on_l.cast("bigint").alias(f"l{j}"), on_u.cast("bigint").alias(f"u{j}")]
         row = data.agg(*exprs).first()
         refine = []
         for j, (i, r) in enumerate(pending):
             t = targets[(i, r)]
-            below, within = row[f"b{j}"], row[f"w{j}"]
+            below, within, on_l, on_u = (row[f"{x}{j}"] for x in "bwlu")
             if below > r:
-                t["L"] = _OPEN          # the sketch overshot: open the lower side
+                t.update(L=_OPEN, strict=False)          # the sketch overshot: open the lower side
             elif below + within <= r:
-                t["U"] = _OPEN          # the sketch undershot: open the upper side
+                t.update(U=_OPEN, strict=False)          # the sketch undershot: open the upper side
+            elif on_l and r < below + on_l:
+                out[(i, r)] = t["L"]
+            elif on_u and r >= below + within - on_u:
+                out[(i, r)] = t["U"]
             else:
                 t.update(below=below, within=within)
                 if within <= max_collect:
                     t["ok"] = True
-                else:
-                    refine.append((j, i, r))
+                    continue
+                if not t["strict"] and t["L"] is not _OPEN and t["U"] is not _OPEN:
+                    t.update(strict=True, below=below + on_l, within=within - on_l - on_u)
+                    if t["within"] <= max_collect:
+                        t["ok"] = True
+                        continue
+                refine.append((j, i, r))
+        for key in out:
+            targets.pop(key, None)
         if refine:
             sk = []
             for j, i, r in refine:
@@ -99,25 +113,19 @@ def _solve(data: DataFrame, counts: list[int],
             srow = data.agg(*sk).first()
             for j, i, r in refine:
                 t = targets[(i, r)]
-                new_l, new_u = srow[f"s{j}"]
-                if (new_l, new_u) == (t["L"], t["U"]):
-                    t["ok"] = True      # duplicates dominate; the grouped pass stays small
-                else:
-                    t["L"], t["U"] = new_l, new_u
-    for t in targets.values():
-        if not t["ok"]:
-            raise RuntimeError("quantile brackets did not converge")
+                t["L"], t["U"] = srow[f"s{j}"]
+                t["strict"] = False
     keys = list(targets)
     if not keys:
-        return {}
+        return out
     # one grouped pass; targets sharing a bracket share its rows
     brackets: dict[tuple, int] = {}
     for (i, r) in keys:
         t = targets[(i, r)]
-        brackets.setdefault((i, t["L"], t["U"]), len(brackets))
+        brackets.setdefault((i, t["L"], t["U"], t["strict"]), len(brackets))
     tagged = F.explode(F.array(*[
-        F.when(in_bracket(i, {"L": lo, "U": hi}), F.struct(F.lit(b).alias("t"), F.col(f"_q{i}").alias("v")))
-        for (i, lo, hi), b in brackets.items()])).alias("e")
+        F.when(in_bracket(i, {"L": lo, "U": hi, "strict": st}), F.struct(F.lit(b).alias("t"), F.col(f"_q{i}").alias("v")))
+        for (i, lo, hi, st), b in brackets.items()])).alias("e")
     rows = (data.select(tagged).where(F.col("e").isNotNull())
             .groupBy("e.t", "e.v").count().collect())
     per_bracket: dict[int, list[tuple[float, int]]] = {}
@@ -125,11 +133,10 @@ def _solve(data: DataFrame, counts: list[int],
         per_bracket.setdefault(rw["t"], []).append((rw["v"], rw["count"]))
     for vals in per_bracket.values():
         vals.sort()
-    out: dict[tuple[int, int], float] = {}
     for (i, r) in keys:
         t = targets[(i, r)]
-        acc = t.get("below", 0)
-        for v, cnt in per_bracket.get(brackets[(i, t["L"], t["U"])], []):
+        acc = t["below"]
+        for v, cnt in per_bracket.get(brackets[(i, t["L"], t["U"], t["strict"])], []):
             acc += cnt
             if acc > r:
                 out[(i, r)] = v
@@ -138,7 +145,7 @@ def _solve(data: DataFrame, counts: list[int],
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] | dict, *,
-                    accuracy: int = 10000, max_collect: int = 100000, max_rounds: int = 8,
+                    accuracy: int = 10000, max_collect: int = 100000,
                     extra_aggs: Sequence | None = None, extra_out: dict | None = None
                     ) -> dict[str, list[float | None]]:
     """``{column: [quantile per prob]}`` over non-NULL values (NULL if none).
@@ -184,7 +191,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] |
     for (i, r), br in list(init.items()):
         if br is None and i in big:
             init[(i, r)] = "all"
-    stats = _solve(data, counts, init, accuracy, max_collect, max_rounds)
+    stats = _solve(data, counts, init, accuracy, max_collect)
     out: dict[str, list[float | None]] = {}
     for i, c in enumerate(cols):
         vals: list[float | None] = []
@@ -200,7 +207,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] |
 
 
 def order_statistic(df: DataFrame, col: str, rank: int, *, accuracy: int = 10000,
-                    max_collect: int = 100000, max_rounds: int = 8) -> float | None:
+                    max_collect: int = 100000) -> float | None:
     """Value at 0-based ``rank`` of the non-NULL values of ``col`` (sorted ascending)."""
     data = df.select(F.col(col).cast("double").alias("_q0"))
     n = data.agg(F.count("_q0")).first()[0]
@@ -212,7 +219,7 @@ def order_statistic(df: DataFrame, col: str, rank: int, *, accuracy: int = 10000
         eps = 2.0 / accuracy
         ps = [max(0.0, p - eps), min(1.0, p + eps)]
         br = tuple(data.agg(F.percentile_approx("_q0", ps, accuracy)).first()[0])
-    return _solve(data, [n], {(0, rank): br}, accuracy, max_collect, max_rounds)[(0, rank)]
+    return _solve(data, [n], {(0, rank): br}, accuracy, max_collect)[(0, rank)]
 
 
 def median(df: DataFrame, c: str) -> float | None:

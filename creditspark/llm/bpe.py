@@ -17,7 +17,6 @@ import base64
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -162,9 +161,9 @@ def boundaries(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ranks of a byte-level BPE; merges of slices are cached, at most ``cache_size`` of them."""
+    """Ranks of a byte-level BPE; merges of slices are cached by the slices' 64-bit hashes, a million at most."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.ranks = ranks
@@ -182,8 +181,7 @@ class Vocabulary:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     self.pairs[a, b] = i
-        self.cache_size = cache_size
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = A.HashCache()
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
         """Ids of one slice: the whole slice if it is a token, else merges of the lowest rank first, leftmost on ties."""
@@ -232,39 +230,29 @@ class Vocabulary:
             i = after[i]
         return tuple(out)
 
-    def encode_slices(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        cache = self.cache
-        found = list(map(cache.get, pieces))
-        if None in found:
-            if len(cache) > self.cache_size:
-                cache.clear()
-            for i, ids in enumerate(found):
-                if ids is None:
-                    piece = pieces[i]
-                    ids = cache.get(piece)
-                    if ids is None:
-                        ids = self.merge(piece.encode())
-                        if len(piece) <= 64:
-                            cache[piece] = ids
-                    found[i] = ids
-        return found
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, byte offset at which each token ends in its document, offsets of documents in ids)."""
         whole = "\n".join(texts) + "\n"
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1
         cuts = boundaries(points, ends)
+        # the same places in the UTF-8 bytes
+        raw = np.frombuffer(whole.encode(), np.uint8)
+        if len(raw) > len(points):
+            width = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+            at = np.concatenate([[0], np.cumsum(width)])[cuts]
+        else:
+            at = cuts
         place = np.searchsorted(cuts, ends)  # separators are boundaries themselves
-        at = cuts.tolist()
-        pieces = [whole[a:b] for a, b in zip(at, [*at[1:], len(whole)], strict=True)]
-        inside = np.ones(len(pieces), bool)
+        inside = np.ones(len(cuts), bool)
         inside[place] = False
-        pieces = list(compress(pieces, inside.tolist()))
-        found = self.encode_slices(pieces)
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum()))
-        upto = np.concatenate([[0], np.cumsum(counts)])
+        start, end = at[inside], np.append(at[1:], len(raw))[inside]
+        up, down = A.powers(A.BYTE_BASE, len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(A.BYTE_CODES[raw] * up, out=total[1:])
+        slices = A.mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        body = raw.tobytes()
+        ids, upto = A.cached_ids(self.cache, slices, lambda new: [self.merge(body[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)])
         offsets = np.concatenate([[0], upto[place - np.arange(len(place))]])
         byte_ends = np.cumsum(self.sizes[ids])
         base = np.concatenate([[0], byte_ends])[offsets[:-1]]

@@ -117,7 +117,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", digits: i
 
 
 def silhouette_sq(df: DataFrame, features: Sequence[str], cluster: str = "cluster",
-                  digits: int = 6) -> DataFrame:
+                  digits: int | None = 6) -> DataFrame:
     """V6 mean silhouette with squared Euclidean distance, linear cost.
 
     mean_{y in C} ||x - y||^2 = ||x||^2 - 2 x . mean(C) + mean_{y in C} ||y||^2.
@@ -152,7 +152,7 @@ def silhouette_sq(df: DataFrame, features: Sequence[str], cluster: str = "cluste
     s = (F.when(F.col("_n") <= 1, F.lit(0.0))
          .when(a < b, 1 - a / b).when(a > b, b / a - 1).otherwise(F.lit(0.0)))
     return (df.select(own.alias("_a"), other.alias("_b"), size.alias("_n"))
-            .agg(F.round(F.avg(s), digits).alias("silhouette")))
+            .agg((F.avg(s) if digits is None else F.round(F.avg(s), digits)).alias("silhouette")))
 
 
 def assign_nearest(df: DataFrame, features: Sequence[str], centroids: dict[int, Sequence[float]],
@@ -200,3 +200,31 @@ def stage_comparison(stages: dict[str, DataFrame], label: str = "label", predict
               "tn bigint, fp bigint, fn bigint, tp bigint, roc_auc double")
     first = next(iter(stages.values()))
     return first.sparkSession.createDataFrame(rows, schema)
+
+
+def threshold_comparison(df: DataFrame, thresholds: dict[str, float], label: str = "label", score: str = "score",
+                         digits: int = 6) -> DataFrame:
+    """V8 for one score cut at several thresholds: the rows are counted per score once, and one aggregate over
+    these counts gives every stage's V1 metrics, V2 counts and the AUC that they share."""
+    cum = cumulative_sums(_score_counts(df, label, score), "score", ["neg"], ascending=True)
+    s = F.col("score")
+    counts = []
+    for i, t in enumerate(thresholds.values()):
+        counts += [F.coalesce(F.sum(F.when(s < t, F.col("neg"))), F.lit(0)).cast("bigint").alias(f"tn{i}"),
+                   F.coalesce(F.sum(F.when(s >= t, F.col("neg"))), F.lit(0)).cast("bigint").alias(f"fp{i}"),
+                   F.coalesce(F.sum(F.when(s < t, F.col("pos"))), F.lit(0)).cast("bigint").alias(f"fn{i}"),
+                   F.coalesce(F.sum(F.when(s >= t, F.col("pos"))), F.lit(0)).cast("bigint").alias(f"tp{i}")]
+    one = cum.agg(*counts, F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"),
+                  F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + F.col("neg") * 0.5)).alias("area"))
+    auc = F.round(F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("area") / (F.col("P") * F.col("N"))), digits)
+
+    def share(a, b):
+        return F.round(F.when(b != 0, a.cast("double") / b).otherwise(0.0), digits)
+
+    stages = []
+    for i, name in enumerate(thresholds):
+        tn, fp, fn, tp = (F.col(f"{c}{i}") for c in ("tn", "fp", "fn", "tp"))
+        stages.append(F.struct(F.lit(name).alias("stage"), share(tp + tn, tp + fp + fn + tn).alias("accuracy"), share(tp, tp + fp).alias("precision"),
+                               share(tp, tp + fn).alias("recall"), share(2 * tp, 2 * tp + fp + fn).alias("f1"), tn.alias("tn"), fp.alias("fp"),
+                               fn.alias("fn"), tp.alias("tp"), auc.alias("roc_auc")))
+    return one.select(F.explode(F.array(*stages)).alias("s")).select("s.*")

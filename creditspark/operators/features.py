@@ -1,10 +1,9 @@
 """F1-F8: ratios, right-closed binning, one-hot and label encoding, standard
 scaling, schema alignment and PCA.
 
-Fitted encoders and scalers are small tables (categories, means, standard
-deviations, loadings) whose size is bounded by the number of features; they
-are saved with S2 and applied as literal column expressions, so scoring is a
-narrow projection inside whole-stage codegen.
+Fitted one-hot categories, scalers and loadings are small tables whose size is the number of
+features; they are saved with S2 and applied as literal column expressions. Label codes are a
+table joined by value, as a column may have any number of classes.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import right_closed_bins, safe_div
+from ..functions.prefix import positions
 
 # ---- Fixed values (must equal the reference for equal results) -------------
 INCOME_EDGES = [0, 25000, 50000, 75000, 100000, math.inf]
@@ -70,22 +70,11 @@ def discretize(df: DataFrame, drop_source: bool = True) -> DataFrame:
     return out
 
 
-def _distinct_values(df: DataFrame, cols: Sequence[str], max_categories: int) -> dict[str, list[str]]:
+def _pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct (column_name, value) of the columns, NULL left out, from one pass."""
     kv = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in cols])).alias("kv")
-    limit = max_categories * len(cols) + 1
-    rows = (df.select(kv).select("kv.c", "kv.v").where(F.col("v").isNotNull())
-            .distinct().limit(limit).collect())
-    if len(rows) >= limit:
-        raise ValueError(f"more than {max_categories} categories in one of {list(cols)}")
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        out[r["c"]].append(r["v"])
-    for c in out:
-        out[c].sort()
-        if len(out[c]) > max_categories:
-            raise ValueError(f"column {c} has more than {max_categories} categories")
-    return out
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])).alias("kv")
+    return df.select(kv).select("kv.*").where(F.col("value").isNotNull()).distinct()
 
 
 @dataclass
@@ -114,49 +103,56 @@ class OneHotModel:
         return OneHotModel(cats)
 
 
-def fit_one_hot(df: DataFrame, cols: Sequence[str] = ONE_HOT_COLUMNS, max_categories: int = 1000) -> OneHotModel:
-    found = _distinct_values(df, cols, max_categories)
-    return OneHotModel({c: found[c] for c in cols})
+def fit_one_hot(df: DataFrame, cols: Sequence[str] = ONE_HOT_COLUMNS) -> OneHotModel:
+    """One output column per category, whatever their number: a wide column gives a wide frame."""
+    found: dict[str, list[str]] = {c: [] for c in cols}
+    for r in _pairs(df, cols).collect():  # as many rows as the result has columns
+        found[r["column_name"]].append(r["value"])
+    return OneHotModel({c: sorted(found[c]) for c in cols})
 
 
-@dataclass
 class LabelEncoderModel:
-    """F4 label encoder: codes 0..n-1 in sorted order; unseen values -> NULL."""
-    classes: dict[str, list[str]]
+    """F4 label encoder: codes 0..n-1 in sorted order; unseen values -> NULL.
+
+    The codes are a table (col_pos, column_name, code, value), joined by value, so a
+    column may have any number of classes. Spark broadcasts the table while it is small.
+    """
+
+    def __init__(self, codes: DataFrame, columns: Sequence[str]):
+        self.codes, self.columns = codes, list(columns)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        cols = []
-        for c in df.columns:
-            if c in self.classes:
-                arr = F.array(*[F.lit(v) for v in self.classes[c]])
-                pos = F.array_position(arr, F.col(c).cast("string"))
-                cols.append(F.when(pos > 0, (pos - 1).cast("int")).alias(c))
-            else:
-                cols.append(F.col(c))
-        return df.select(*cols)
+        order = df.columns
+        for c in self.columns:
+            if c in order:
+                one = self.codes.where(F.col("column_name") == c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+                df = df.join(one, F.col(c).cast("string") == F.col("_value"), "left").drop("_value", c).withColumnRenamed("_code", c)
+        return df.select(*[F.col(f"`{c}`") for c in order])
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return OneHotModel(self.classes).to_df(spark)
+        return self.codes
 
     @staticmethod
     def from_df(df: DataFrame) -> "LabelEncoderModel":
-        return LabelEncoderModel(OneHotModel.from_df(df).categories)
+        names = [r["column_name"] for r in df.select("col_pos", "column_name").distinct().orderBy("col_pos").collect()]
+        return LabelEncoderModel(df, names)
+
+
+def fit_label_encoder(df: DataFrame, cols: Sequence[str] = LABEL_ENCODED_COLUMNS) -> LabelEncoderModel:
+    """Ranks the distinct values by a range sort; no list of values reaches the driver."""
+    cols = list(cols)
+    at = positions(_pairs(df, cols), ["column_name", "value"])
+    first = {r["column_name"]: r["first"] for r in at.groupBy("column_name").agg(F.min("position").alias("first")).collect()}
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(cols) for x in (c, i)])
+    start = F.create_map(*[F.lit(x) for c in cols for x in (c, int(first.get(c, 0)))])
+    return LabelEncoderModel(at.select(place[F.col("column_name")].alias("col_pos"), "column_name",
+                                       (F.col("position") - start[F.col("column_name")]).cast("int").alias("code"), "value"), cols)
 
 
 def fit_encoders(df: DataFrame, one_hot_cols: Sequence[str] = ONE_HOT_COLUMNS,
-                 label_cols: Sequence[str] = LABEL_ENCODED_COLUMNS,
-                 max_categories: int = 1000) -> tuple[OneHotModel, "LabelEncoderModel"]:
-    """F3 + F4 fitted from one distinct pass over all categorical columns."""
-    cols = list(dict.fromkeys([*one_hot_cols, *label_cols]))
-    found = _distinct_values(df, cols, max_categories)
-    return (OneHotModel({c: found[c] for c in one_hot_cols}),
-            LabelEncoderModel({c: found[c] for c in label_cols}))
-
-
-def fit_label_encoder(df: DataFrame, cols: Sequence[str] = LABEL_ENCODED_COLUMNS,
-                      max_categories: int = 1000) -> LabelEncoderModel:
-    found = _distinct_values(df, cols, max_categories)
-    return LabelEncoderModel({c: found[c] for c in cols})
+                 label_cols: Sequence[str] = LABEL_ENCODED_COLUMNS) -> tuple[OneHotModel, "LabelEncoderModel"]:
+    """F3 + F4."""
+    return fit_one_hot(df, one_hot_cols), fit_label_encoder(df, label_cols)
 
 
 @dataclass

@@ -8,16 +8,17 @@ driver, and turns fitted models into tables.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,33 +89,64 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> Da
                       vector_to_array("probability")[1].alias("score"))
 
 
+def prefix_model(model: PipelineModel, n: int) -> PipelineModel:
+    """The model after its first ``n`` boosting rounds: boosting is sequential, so it equals a fit with n rounds."""
+    gbt = model.stages[-1]
+    sc = SparkContext._active_spark_context
+    java, gw = gbt._java_obj, sc._gateway
+    n = min(n, len(gbt.treeWeights))
+    trees = gw.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gw.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], float(gbt.treeWeights[i])
+    cut = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{java.uid()}_{n}", trees, weights)
+    java.copyValues(cut, java.extractParamMap())
+    return PipelineModel([*model.stages[:-1], GBTClassificationModel(cut)])
+
+
 def grid_search(train: DataFrame, features: Sequence[str], label: str = "loan_status",
                 grid: dict[str, list] | None = None, folds: int = 5, parallelism: int = 4,
                 seed: int = 42) -> tuple[PipelineModel, DataFrame]:
-    """M2 cross-validated grid search scored by accuracy. Returns the refit best
-    model and a table of every setting with its mean fold accuracy."""
+    """M2 cross-validated grid search scored by accuracy. Returns the best model (first maximum in grid order), refitted on all
+    rows, and a table of every setting with its mean fold accuracy.
+
+    Settings that differ only in ``n_estimators`` share one fit of the longest run per fold; the shorter
+    ones are read from its first rounds (288 settings of the full grid are 48 fits a fold).
+    """
     grid = grid or GBT_GRID
-    pipe = gbt_pipeline(features, label, seed)
-    gbt = pipe.getStages()[1]
     names = list(grid)
-    settings = list(itertools.product(*[grid[n] for n in names]))
-    maps = []
-    for values in settings:
-        p = {**GBT_DEFAULTS, **dict(zip(names, values))}
-        col = float(p["colsample_bytree"])
-        maps.append({gbt.maxIter: int(p["n_estimators"]), gbt.stepSize: float(p["learning_rate"]),
-                     gbt.maxDepth: int(p["max_depth"]), gbt.subsamplingRate: float(p["subsample"]),
-                     gbt.featureSubsetStrategy: "all" if col >= 1.0 else str(col)})
+    settings = [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])]
+    rest = [n for n in names if n != "n_estimators"]
+    data = train.select(*features, F.col(label).cast("double").alias(label),
+                        F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds)).alias("_fold")).persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
-                        parallelism=parallelism, seed=seed)
-    data = train.select(*features, F.col(label).cast("double").alias(label))
-    cvm = cv.fit(data)
-    rows = [(i, *[float(v) if isinstance(v, float) else v for v in values], float(m))
-            for i, (values, m) in enumerate(zip(settings, cvm.avgMetrics))]
+    jobs = list(itertools.product(dict.fromkeys(tuple(s[n] for n in rest) for s in settings), range(folds)))
+
+    def run(job) -> dict:
+        values, fold = job
+        sizes = sorted({int(s.get("n_estimators", GBT_DEFAULTS["n_estimators"])) for s in settings if tuple(s[n] for n in rest) == values})
+        fitted = gbt_pipeline(features, label, seed, **{**dict(zip(rest, values)), "n_estimators": sizes[-1]}).fit(data.where(F.col("_fold") != fold))
+        held = data.where(F.col("_fold") == fold)
+        return {(values, fold, n): ev.evaluate(prefix_model(fitted, n).transform(held)) for n in sizes}
+
+    found: dict = {}
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            for part in pool.map(run, jobs):
+                found.update(part)
+        rows, best = [], None
+        for i, s in enumerate(settings):
+            n = int(s.get("n_estimators", GBT_DEFAULTS["n_estimators"]))
+            mean = sum(found[tuple(s[x] for x in rest), f, n] for f in range(folds)) / folds
+            rows.append((i, *[float(v) if isinstance(v, float) else v for v in s.values()], float(mean)))
+            if best is None or mean > best[0]:
+                best = mean, s
+        model = gbt_pipeline(features, label, seed, **best[1]).fit(data)
+    finally:
+        data.unpersist()
     schema = "setting int, " + ", ".join(
         f"{n} {'double' if isinstance(grid[n][0], float) else 'int'}" for n in names) + ", cv_accuracy double"
-    return cvm.bestModel, train.sparkSession.createDataFrame(rows, schema)
+    return model, train.sparkSession.createDataFrame(rows, schema)
 
 
 # ---- M4-M8 ------------------------------------------------------------------
@@ -198,33 +230,48 @@ def elbow(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(1, 1
 def kmeans_tuning(df: DataFrame, features: Sequence[str], grid: dict[str, list] | None = None,
                   seed: int = 42, parallelism: int = 4) -> tuple[dict, DataFrame]:
     """M6 fit every grid setting, score by silhouette; the first strict maximum
-    (in grid order) wins. Settings are fitted concurrently, like
-    ``CrossValidator(parallelism=...)``: each fit is its own series of Spark jobs."""
-    from concurrent.futures import ThreadPoolExecutor
+    (in grid order, unrounded) wins.
 
+    Settings share their restarts: per (k, init) each seed is fitted once for the smallest ``max_iter``; a run that
+    converged before it is the same for every larger one, and ``n_init`` restarts are the first so many seeds. Restarts
+    run concurrently: each is its own series of Spark jobs.
+    """
     grid = grid or KMEANS_GRID
     names = list(grid)
-    settings = list(itertools.product(*[grid[n] for n in names]))
+    settings = [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])]
     vec = _vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
     eps = spark_tolerance(df, features)
+    iters = sorted(set(grid["max_iter"]))
+
+    def restart(job) -> dict:
+        k, init, s = job
+        out, model = {}, None
+        for n in iters:
+            if model is None or model.summary.numIter >= done:
+                model, done = KMeans(k=k, seed=seed + s, maxIter=n, initMode=_INIT[init], tol=eps, featuresCol="features").fit(vec), n
+            out[k, init, s, n] = (model.summary.trainingCost, centroid_table(model))
+        return out
 
-    def run(values):
-        p = dict(zip(names, values))
-        m = fit_kmeans(df, features, k=p["n_clusters"], seed=seed, max_iter=p["max_iter"],
-                       init=p["init"], n_init=p["n_init"], vectors=vec, spark_tol=eps)
-        assigned = assign_nearest(df.select(*features), features, centroid_table(m))
-        return silhouette_sq(assigned, features, "cluster").first()[0]
+    def score(centres) -> float | None:
+        return silhouette_sq(assign_nearest(df.select(*features), features, dict(enumerate(centres))), features, "cluster", None).first()[0]
 
     try:
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            scores = list(pool.map(run, settings))
+            fits: dict = {}
+            for part in pool.map(restart, list(itertools.product(dict.fromkeys(grid["n_clusters"]), dict.fromkeys(grid["init"]), range(max(grid["n_init"]))))):
+                fits.update(part)
+            chosen = [min((fits[p["n_clusters"], p["init"], s, p["max_iter"]] for s in range(p["n_init"])), key=lambda x: x[0])[1] for p in settings]
+            keys = [tuple(map(tuple, c.values())) for c in chosen]
+            unique = list(dict.fromkeys(keys))
+            by_centres = dict(zip(unique, pool.map(score, unique)))
     finally:
         vec.unpersist()
-    rows, best, best_score = [], None, -1.0
-    for values, s in zip(settings, scores):
-        rows.append((*values, s))
+    rows, best, best_score = [], None, -math.inf
+    for p, key in zip(settings, keys):
+        s = by_centres[key]
+        rows.append((*p.values(), s))
         if s is not None and s > best_score:
-            best, best_score = dict(zip(names, values)), s
+            best, best_score = p, s
     schema = ", ".join(f"{n} {'string' if isinstance(grid[n][0], str) else 'int'}" for n in names)
     return best, df.sparkSession.createDataFrame(rows, schema + ", silhouette double")
 

@@ -176,3 +176,10 @@ def row_audit(stages: dict[str, DataFrame], step: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def filter_audit(df: DataFrame, kept, step: str) -> DataFrame:
+    """P12 for a row filter: rows before and after from one pass (``kept``: the filter's condition)."""
+    one = df.agg(F.count(F.lit(1)).alias("before"), F.count_if(kept).alias("after"))
+    stage = lambda name: F.struct(F.lit(step).alias("step"), F.lit(name).alias("stage"), F.col(name).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"))
+    return one.select(F.explode(F.array(stage("before"), stage("after"))).alias("s")).select("s.*")

@@ -1,5 +1,6 @@
-"""Training and scoring jobs (notebook order, with the split moved first so no
-test row informs scaling or SMOTE).
+"""Training and scoring jobs (notebook order, with the split before scaling and SMOTE, so no
+test row informs these two; imputation values, outlier fences and encoder categories are
+fitted on all cleaned rows, as in the notebook).
 
 Fitted artefacts are small tables (encoders, scaler statistics, PCA loadings,
 centroids, feature order) plus ``pyspark.ml`` models; they are saved below the
@@ -19,7 +20,7 @@ from ..operators import features as Fe
 from ..operators import models as M
 from ..operators import sampling as R
 from ..sources import KEY, LABEL
-from ..sources.files import load_model, save_model, write_stage
+from ..sources.files import load_model, nan_to_null, save_model, write_stage
 from . import prepare as PR
 
 PCA_NAMES = ["PCA1", "PCA2"]
@@ -28,12 +29,14 @@ PCA_NAMES = ["PCA1", "PCA2"]
 # ---- classifier -----------------------------------------------------------------
 @dataclass
 class ClassifierBundle:
+    imputation: PR.Imputation
     encoders: PR.Encoders
     features: list[str]
     scaler: Fe.ScalerModel
     model: PipelineModel
 
     def save(self, spark: SparkSession, path: str) -> str:
+        self.imputation.to_df(spark).write.mode("overwrite").parquet(f"{path}/imputation")
         self.encoders.one_hot.to_df(spark).write.mode("overwrite").parquet(f"{path}/one_hot")
         self.encoders.labels.to_df(spark).write.mode("overwrite").parquet(f"{path}/labels")
         self.scaler.to_df(spark).write.mode("overwrite").parquet(f"{path}/scaler")
@@ -47,31 +50,79 @@ class ClassifierBundle:
         feats = [r["feature"] for r in sorted(spark.read.parquet(f"{path}/features").collect(),
                                               key=lambda r: r["position"])]
         return ClassifierBundle(
+            PR.Imputation.from_df(spark.read.parquet(f"{path}/imputation")),
             PR.Encoders(Fe.OneHotModel.from_df(spark.read.parquet(f"{path}/one_hot")),
                         Fe.LabelEncoderModel.from_df(spark.read.parquet(f"{path}/labels"))),
             feats, Fe.ScalerModel.from_df(spark.read.parquet(f"{path}/scaler")),
             load_model(f"{path}/model"))
 
 
-def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42,
-                     **gbt_params) -> tuple[ClassifierBundle, DataFrame]:
-    """Clean -> engineer -> split -> scale (train stats) -> SMOTE (train) -> GBT.
+@dataclass
+class Prepared:
+    """What training needs: the balanced training rows, the scaled test rows and everything fitted on the way."""
+    imputation: PR.Imputation
+    encoders: PR.Encoders
+    features: list[str]
+    scaler: Fe.ScalerModel
+    balanced: DataFrame
+    test: DataFrame
+
+    def bundle(self, model: PipelineModel) -> ClassifierBundle:
+        return ClassifierBundle(self.imputation, self.encoders, self.features, self.scaler, model)
 
-    Returns the bundle and the scored test rows (key, label, prediction, score).
+    def score(self, model: PipelineModel) -> DataFrame:
+        """Key, label, prediction and score of the held-out rows."""
+        return M.predict(model, self.test, keep=[KEY, F.col(LABEL).alias("label")])
+
+
+def prepare_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, split_first: bool = True) -> Prepared:
+    """Clean -> engineer -> split -> scale (train stats) -> SMOTE (train).
+
+    ``split_first=False`` is the reference's order: scale and oversample everything, then split; test rows
+    then inform scaling and hold synthetic rows, so its metrics are optimistic.
     The cleaned and balanced tables are written as stages, which cuts the
     lineage before the fits and the model's iterations.
     """
-    cleaned = write_stage(PR.clean_loans(raw), "data_outlier", f"{stage_dir}/data_outlier")
+    cleaned, imputation = PR.clean_and_fit(raw)
+    cleaned = write_stage(cleaned, "data_outlier", f"{stage_dir}/data_outlier")
     eng, enc = PR.engineer(cleaned)
     feats = PR.feature_columns(eng)
-    train, test = R.train_test_split(eng, KEY, 0.2, seed)
-    train_s, scaler = PR.scaled_features(train, feats)
-    test_s = scaler.transform(test, fill_null=0.0)
-    balanced = R.smote(train_s, feats, LABEL, KEY, k=5, seed=seed)
-    balanced = write_stage(balanced, "data_balanced", f"{stage_dir}/data_balanced")
-    model = M.fit_gbt(balanced, feats, LABEL, seed, **gbt_params)
-    scored = M.predict(model, test_s, keep=[KEY, F.col(LABEL).alias("label")])
-    return ClassifierBundle(enc, feats, scaler, model), scored
+    if split_first:
+        train, test = R.train_test_split(eng, KEY, 0.2, seed)
+        train_s, scaler = PR.scaled_features(train, feats)
+        test_s = scaler.transform(test, fill_null=0.0)
+        balanced = R.smote(train_s, feats, LABEL, KEY, k=5, seed=seed)
+        balanced = write_stage(balanced, "data_balanced", f"{stage_dir}/data_balanced")
+    else:
+        scaled, scaler = PR.scaled_features(eng, feats)
+        every = write_stage(R.smote(scaled, feats, LABEL, KEY, k=5, seed=seed), "data_balanced", f"{stage_dir}/data_balanced")
+        # a row's draw depends on its key and copy, so synthetic rows are dealt on their own
+        held = F.pmod(F.xxhash64(F.lit(seed), KEY, "copy_no"), F.lit(1000)) < 200
+        balanced, test_s = every.where(~held), every.where(held)
+    return Prepared(imputation, enc, feats, scaler, balanced, test_s)
+
+
+def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, split_first: bool = True,
+                     **gbt_params) -> tuple[ClassifierBundle, DataFrame]:
+    """Prepare, then fit. Returns the bundle and the scored test rows (key, label, prediction, score)."""
+    p = prepare_classifier(raw, stage_dir, seed, split_first)
+    model = M.fit_gbt(p.balanced, p.features, LABEL, seed, **gbt_params)
+    return p.bundle(model), p.score(model)
+
+
+def tune_classifier(raw: DataFrame, stage_dir: str, grid: dict[str, list] | None = None, folds: int = 5, seed: int = 42,
+                    parallelism: int = 4, **untuned) -> tuple[ClassifierBundle, ClassifierBundle, DataFrame, DataFrame]:
+    """M2 + V8: the model with default settings, the best of the grid refitted on all training rows, the table of all
+    settings, and the before/after table of both on the same held-out rows.
+
+    As in the reference, folds are cut after oversampling: a synthetic row and its parents may fall into different
+    folds, so fold accuracies are optimistic; the held-out rows are not touched by it.
+    """
+    p = prepare_classifier(raw, stage_dir, seed)
+    plain = M.fit_gbt(p.balanced, p.features, LABEL, seed, **untuned)
+    best, table = M.grid_search(p.balanced, p.features, LABEL, grid, folds, parallelism, seed)
+    scored = {name: write_stage(p.score(m), name, f"{stage_dir}/scored_{name}") for name, m in (("untuned", plain), ("tuned", best))}
+    return p.bundle(plain), p.bundle(best), table, V.stage_comparison(scored)
 
 
 # ---- clusterer ------------------------------------------------------------------
@@ -127,6 +178,17 @@ def train_clusterer(cleaned: DataFrame, stage_dir: str, k: int = 4, seed: int =
     return bundle, V.assign_nearest(pcs, PCA_NAMES, cents, "cluster")
 
 
+def tune_clusterer(cleaned: DataFrame, stage_dir: str, grid: dict[str, list] | None = None, seed: int = 42,
+                   parallelism: int = 4) -> tuple[ClusterBundle, DataFrame, DataFrame]:
+    """M6 + M7: try every setting, refit with the winner. Returns the bundle, its (key, PCA1, PCA2, cluster) and the table."""
+    pcs, scaler, pca = pca_points(cleaned)
+    pcs = write_stage(pcs, "pca_result", f"{stage_dir}/pca_result")
+    best, table = M.kmeans_tuning(pcs, PCA_NAMES, grid, seed, parallelism)
+    km = M.fit_kmeans(pcs, PCA_NAMES, k=best["n_clusters"], seed=seed, max_iter=best["max_iter"], init=best["init"], n_init=best["n_init"])
+    cents = M.renumber(M.centroid_table(km))
+    return ClusterBundle(scaler, pca, cents), V.assign_nearest(pcs, PCA_NAMES, cents, "cluster"), table
+
+
 # ---- M9 scoring ---------------------------------------------------------------------
 def normalise_applications(apps: DataFrame) -> DataFrame:
     """Q7: the form's Yes/No becomes the data's Y/N."""
@@ -135,17 +197,23 @@ def normalise_applications(apps: DataFrame) -> DataFrame:
                            F.when(c == "Yes", "Y").when(c == "No", "N").otherwise(c))
 
 
+def application_features(apps: DataFrame, imputation: PR.Imputation, encoders: PR.Encoders) -> DataFrame:
+    """Applications as training saw its rows: NaN as NULL, Yes/No as Y/N, missing values filled with the training values
+    before the ratios are formed, then bins, one-hot columns and label codes."""
+    filled = imputation.apply(normalise_applications(nan_to_null(apps)))
+    return PR.engineer(filled, encoders)[0]
+
+
 def score_applications(apps: DataFrame, clf: ClassifierBundle, clu: ClusterBundle) -> DataFrame:
     """M9 batch (or streaming) scoring: verdict and segment for every application.
 
-    One narrow plan per row: cluster expressions, feature engineering with the
+    Per row: saved imputation, cluster expressions, feature engineering with the
     training encoders, schema alignment, saved scaling, the GBT model, and
-    literal-map texts. No join and no shuffle, so the same function runs on a
+    literal-map texts. The only join is with the (static) label codes, so the same function runs on a
     streaming DataFrame.
     """
-    apps = normalise_applications(apps)
-    with_cluster = clu.assign(apps)
-    eng, _ = PR.engineer(with_cluster.drop("PCA1", "PCA2"), clf.encoders)
+    filled = clf.imputation.apply(normalise_applications(nan_to_null(apps)))
+    eng, _ = PR.engineer(clu.assign(filled).drop("PCA1", "PCA2"), clf.encoders)
     aligned = Fe.align_schema(eng, clf.features, keep=[KEY, "cluster"])
     scaled = clf.scaler.transform(aligned, fill_null=0.0)
     pred = M.predict(clf.model, scaled, keep=[KEY, "cluster"])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
@@ -26,34 +26,67 @@ MEAN_COLUMN = "loan_int_rate"
 MEDIAN_COLUMN = "person_emp_length"
 
 
-def impute_loans(raw: DataFrame, extra_quantiles: dict[str, list[float]] | None = None,
-                 materialize: bool = True) -> tuple[DataFrame, dict[str, list[float | None]]]:
-    """C1 -> C2 -> C3. The deduplicated table is checkpointed once; the mean,
-    the median and any extra quantiles of untouched columns are fitted in one
-    set of passes over it."""
-    dd = C.drop_duplicates(raw, subset=RAW_COLUMNS, keep_min=KEY)
+@dataclass
+class Imputation:
+    """C2 + C3 values, saved with a model and applied to the rows it scores."""
+    rate: float | None
+    emp_length: float | None
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return C.fill(C.fill(df, MEAN_COLUMN, self.rate), MEDIAN_COLUMN, self.emp_length)
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(self.rate, self.emp_length)], "rate double, emp_length double")
+
+    @staticmethod
+    def from_df(df: DataFrame) -> "Imputation":
+        r = df.first()
+        return Imputation(r["rate"], r["emp_length"])
+
+
+def deduplicated(raw: DataFrame) -> DataFrame:
+    """The row with the smallest key of each group of equal rows."""
+    return C.drop_duplicates(raw, subset=RAW_COLUMNS, keep_min=KEY)
+
+
+def fit_imputation(raw: DataFrame, extra_quantiles: dict[str, list[float]] | None = None, materialize: bool = True
+                   ) -> tuple[DataFrame, Imputation, dict[str, list[float | None]]]:
+    """(deduplicated rows, imputation, extra quantiles). The deduplicated table is written once; the mean, the
+    median and any extra quantiles of untouched columns are fitted in one set of passes over it."""
+    dd = deduplicated(raw)
     if materialize:
         dd = C.materialize(dd, "dedup")
-    qs = {MEDIAN_COLUMN: [0.5], **(extra_quantiles or {})}
-    means, quants = C.fit_stats(dd, [MEAN_COLUMN], qs)
-    df = C.fill(C.fill(dd, MEAN_COLUMN, means[MEAN_COLUMN]), MEDIAN_COLUMN, quants[MEDIAN_COLUMN][0])
-    return df, quants
+    means, quants = C.fit_stats(dd, [MEAN_COLUMN], {MEDIAN_COLUMN: [0.5], **(extra_quantiles or {})})
+    return dd, Imputation(means[MEAN_COLUMN], quants[MEDIAN_COLUMN][0]), quants
+
+
+def impute_loans(raw: DataFrame, extra_quantiles: dict[str, list[float]] | None = None,
+                 materialize: bool = True) -> tuple[DataFrame, dict[str, list[float | None]]]:
+    """C1 -> C2 -> C3."""
+    dd, values, quants = fit_imputation(raw, extra_quantiles, materialize)
+    return values.apply(dd), quants
 
 
 def clean_loans(raw: DataFrame, iqr_column: str = IQR_COLUMN, materialize: bool = True) -> DataFrame:
     """C1 -> C2 -> C3 -> C4 -> C5 (``data_outlier``)."""
+    return clean_and_fit(raw, iqr_column, materialize)[0]
+
+
+def clean_and_fit(raw: DataFrame, iqr_column: str = IQR_COLUMN, materialize: bool = True) -> tuple[DataFrame, Imputation]:
+    """The cleaned rows and the imputation values fitted on the way."""
     if iqr_column in (MEAN_COLUMN, MEDIAN_COLUMN):
-        df, _ = impute_loans(raw, materialize=materialize)
-        df = C.iqr_filter(df, iqr_column)
+        dd, values, _ = fit_imputation(raw, materialize=materialize)
+        df = C.iqr_filter(values.apply(dd), iqr_column)
     else:
         # imputation does not touch the IQR column: fit its quartiles in the same passes
-        df, quants = impute_loans(raw, {iqr_column: [0.25, 0.75]}, materialize)
+        dd, values, quants = fit_imputation(raw, {iqr_column: [0.25, 0.75]}, materialize)
+        df = values.apply(dd)
         q1, q3 = quants[iqr_column]
         if q1 is None:
             df = df.where("false")
         else:
             df = df.where(F.col(iqr_column).between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
-    return C.age_filter(df)
+    return C.age_filter(df), values
 
 
 @dataclass

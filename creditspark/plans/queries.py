@@ -107,7 +107,8 @@ SELECT income_group,
   ROUND(SUM(CASE WHEN loan_status = 1 THEN 1 ELSE 0 END) / CAST(COUNT(*) AS DOUBLE), 6) AS default_rate
 FROM g GROUP BY income_group""")
 def q_default_rate_by_income_group(spark, sf):
-    df = Fe.discretize(imputed(spark, sf), drop_source=False)
+    # imputation touches neither column, so its passes are left out
+    df = Fe.discretize(PR.deduplicated(loan_book(spark, sf)), drop_source=False)
     return E.class_rate(df, "income_group")
 
 
@@ -232,9 +233,10 @@ WITH {S.cleaned_cte()}
 SELECT 'iqr_filter' AS step, 'before' AS stage, CAST(COUNT(*) AS BIGINT) AS n_rows, 13 AS n_cols FROM imputed
 UNION ALL SELECT 'iqr_filter', 'after', CAST(COUNT(*) AS BIGINT), 13 FROM iqr_kept""")
 def q_row_audit(spark, sf):
-    before = imputed(spark, sf)
-    after = C.iqr_filter(before, PR.IQR_COLUMN)
-    return P.row_audit({"before": before, "after": after}, "iqr_filter")
+    dd, _, quants = PR.fit_imputation(loan_book(spark, sf), {PR.IQR_COLUMN: [0.25, 0.75]})
+    q1, q3 = quants[PR.IQR_COLUMN]
+    kept = F.lit(False) if q1 is None else F.col(PR.IQR_COLUMN).between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+    return P.filter_audit(dd, kept, "iqr_filter")
 
 
 # ---- 3. cleaning ----------------------------------------------------------------
@@ -516,8 +518,7 @@ WITH {S.eval_cte()}, {_AUC_SQL.format(src='evals')}
 {' UNION ALL '.join(_stage_sql(n, t) for n, t in _STAGES.items())}""")
 def q_stage_comparison(spark, sf):
     ev = evals(spark, sf)
-    stages = {n: ev.withColumn("prediction", F.when(F.col("score") >= t, 1).otherwise(0)) for n, t in _STAGES.items()}
-    return V.stage_comparison(stages)
+    return V.threshold_comparison(ev, _STAGES)
 
 
 _SIL_SQL = f"""
@@ -571,9 +572,9 @@ UNION ALL SELECT 'train', loan_status, CAST(COUNT(*) AS BIGINT) FROM cleaned WHE
 UNION ALL SELECT 'test', loan_status, CAST(COUNT(*) AS BIGINT) FROM cleaned WHERE {S.split_pred()} GROUP BY loan_status""")
 def q_class_balance(spark, sf):
     lb = loan_book(spark, sf)
-    cl = PR.clean_loans(lb)
-    train, test = R.train_test_split(cl, KEY)
-    return R.class_balance({"raw": lb, "cleaned": cl, "train": train, "test": test})
+    test = R.split_flag(KEY)
+    of_cleaned = R.class_balance_flags(PR.clean_loans(lb), {"cleaned": F.lit(True), "train": ~test, "test": test})
+    return R.class_balance({"raw": lb}).unionByName(of_cleaned)
 
 
 # ---- S1 / S2 ------------------------------------------------------------------

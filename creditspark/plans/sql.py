@@ -102,14 +102,29 @@ def feature_names() -> list[str]:
 
 def engineered_cte() -> str:
     """ratios -> bins -> one-hot -> label codes, over ``cleaned``."""
+    return f"{cleaned_cte()},\n{engineer_cte('cleaned')}"
+
+
+def applications_cte() -> str:
+    """Every loan-book row with the imputation values of the deduplicated rows, then engineered."""
+    return f"""{imputed_cte()},
+applications AS (
+  SELECT loan_id, person_age, person_income, person_home_ownership,
+    COALESCE(person_emp_length, (SELECT quantile_cont(person_emp_length, 0.5) FROM dd)) AS person_emp_length,
+    loan_intent, loan_grade, loan_amnt, COALESCE(loan_int_rate, (SELECT AVG(loan_int_rate) FROM dd)) AS loan_int_rate,
+    cb_person_default_on_file, cb_person_cred_hist_length, loan_percent_income, loan_status
+  FROM loan_book),
+{engineer_cte('applications')}"""
+
+
+def engineer_cte(source: str) -> str:
     onehot = [f"CASE WHEN {c} = '{v}' THEN 1.0 ELSE 0.0 END AS {q(f'{c}_{v}')}"
               for c in Fe.ONE_HOT_COLUMNS for v in CATEGORIES[c]]
     codes = []
     for c, vals in LABEL_CLASSES.items():
         whens = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(vals))
         codes.append(f"CAST(CASE {c} {whens} END AS INTEGER) AS {c}")
-    return f"""{cleaned_cte()},
-fe1 AS (SELECT *, {', '.join(ratios_sql())}, {', '.join(bins_sql())} FROM cleaned),
+    return f"""fe1 AS (SELECT *, {', '.join(ratios_sql())}, {', '.join(bins_sql())} FROM {source}),
 engineered AS (
   SELECT loan_id, person_age, person_emp_length, {codes[0]}, loan_int_rate, loan_status,
     loan_percent_income, {codes[1]}, cb_person_cred_hist_length,
@@ -170,3 +185,36 @@ assigned AS (
     SELECT loan_id, cid FROM (
       SELECT loan_id, cid, ROW_NUMBER() OVER (PARTITION BY loan_id ORDER BY d, cid) AS rn FROM dists)
     WHERE rn = 1) a ON a.loan_id = p.loan_id)"""
+
+
+def pca_cte(rounds: int = 40) -> str:
+    """First two principal components of the scaled clustering features: the 4 x 4 covariance matrix is squared (and
+    scaled) ``rounds`` times, which leaves the outer product of its leading eigenvector, then deflated and squared again.
+    Each component's largest loading is positive."""
+    feats = Fe.CLUSTER_FEATURES
+    n = range(len(feats))
+    cov = ", ".join(f"AVG({feats[i]} * {feats[j]}) - AVG({feats[i]}) * AVG({feats[j]}) AS c{i}{j}" for i in n for j in n)
+
+    def power(name: str, matrix: str) -> str:
+        trace = " + ".join(f"s{i}{i}" for i in n)
+        square = ", ".join(" + ".join(f"c{i}{k} * c{k}{j}" for k in n) + f" AS s{i}{j}" for i in n for j in n)
+        top = "GREATEST(" + ", ".join(f"c{i}{i}" for i in n) + ")"
+        # column of the largest diagonal entry over its root: that loading is positive and the largest
+        vec = ", ".join(f"CASE {top} " + " ".join(f"WHEN c{j}{j} THEN c{i}{j} / SQRT(c{j}{j})" for j in n) + f" END AS v{i}" for i in n)
+        return f"""{name}_it AS (
+  SELECT 0 AS it, {', '.join(f'c{i}{j}' for i in n for j in n)} FROM {matrix}
+  UNION ALL
+  SELECT it + 1, {', '.join(f's{i}{j} / ({trace})' for i in n for j in n)} FROM (
+    SELECT it, {square} FROM {name}_it WHERE it < {rounds}) t),
+{name} AS (SELECT {vec} FROM {name}_it WHERE it = {rounds})"""
+
+    value = " + ".join(f"a.v{i} * m.c{i}{j} * a.v{j}" for i in n for j in n)
+    rest = ", ".join(f"m.c{i}{j} - l.val * a.v{i} * a.v{j} AS c{i}{j}" for i in n for j in n)
+    return f"""{cluster_points_cte()},
+cov AS (SELECT {cov} FROM cpoints),
+{power('pc1', 'cov')},
+lead AS (SELECT {value} AS val FROM pc1 a, cov m),
+cov2 AS (SELECT {rest} FROM cov m, pc1 a, lead l),
+{power('pc2', 'cov2')},
+pca AS (SELECT p.loan_id, {' + '.join(f'p.{f} * a.v{i}' for i, f in enumerate(feats))} AS PCA1,
+  {' + '.join(f'p.{f} * b.v{i}' for i, f in enumerate(feats))} AS PCA2 FROM cpoints p, pc1 a, pc2 b)"""

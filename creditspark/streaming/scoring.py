@@ -1,8 +1,8 @@
 """M9 as a Structured Streaming job: application files arriving in a folder
 are scored with the saved bundles and appended to a sink.
 
-Scoring is stateless and row-wise (no aggregation, no join), so the batch
-function runs unchanged on the streaming DataFrame; the checkpoint lives in
+Scoring is stateless and row-wise (its only join is with the static label codes), so the batch
+function, NaN rule and imputation included, runs unchanged on the streaming DataFrame; the checkpoint lives in
 the shared folder, so a restarted query resumes exactly where it stopped.
 """
 

@@ -24,7 +24,15 @@ def test_one_hot_and_label_encoding(spark):
     rows = oh.transform(new).collect()
     assert [(r["g_a"], r["g_b"], r["g_c"]) for r in rows] == [(0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 0.0, 0.0)]
     le = Fe.fit_label_encoder(df, ["g", "d"])
-    assert [(r["g"], r["d"]) for r in le.transform(new).collect()] == [(None, 0), (None, 1), (0, 1)]
+    assert sorted((r["g"] is None, r["g"] or 0, r["d"]) for r in le.transform(new).collect()) == [(False, 0, 1), (True, 0, 0), (True, 0, 1)]
+    assert le.transform(new).columns == new.columns
+
+
+def test_encoders_take_any_number_of_categories(spark):
+    df = spark.range(1500).selectExpr("id", "concat('v', lpad(id, 5, '0')) AS g", "'x' AS d").repartition(4)
+    codes = Fe.fit_label_encoder(df, ["g", "d"]).transform(df)
+    assert codes.where("g <> id OR d <> 0").count() == 0 and codes.count() == 1500
+    assert len(Fe.fit_one_hot(df, ["g"]).output_columns()) == 1500
 
 
 def test_align_schema(spark):
@@ -93,4 +101,5 @@ def test_encoders_roundtrip_keep_order(spark):
     oh2 = Fe.OneHotModel.from_df(oh.to_df(spark))
     le2 = Fe.LabelEncoderModel.from_df(le.to_df(spark))
     assert list(oh2.categories) == ["zz", "aa"] and oh2.categories == oh.categories
-    assert le2.classes == {"g": ["P", "Q"]}
+    assert le2.columns == ["g"]
+    assert [(r["value"], r["code"]) for r in le2.codes.orderBy("code").collect()] == [("P", 0), ("Q", 1)]

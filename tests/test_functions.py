@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions import (cumulative_sums, exact_quantiles, mix, mix2, mix2_sql, mix_sql,
                                    right_closed_bins, safe_div)
+from creditspark.functions.prefix import positions
 from creditspark.functions.quantiles import order_statistic
 from creditspark.operators.features import INCOME_EDGES, INCOME_LABELS
 
@@ -87,3 +88,24 @@ def test_quantiles_extra_aggs_fused(spark):
     extra = {}
     q = exact_quantiles(df, ["x"], {"x": [0.5]}, extra_aggs=[F.avg("x"), F.max("x")], extra_out=extra)
     assert q["x"] == [2.5] and extra == {0: 2.5, 1: 4.0}
+
+
+def test_quantile_collect_stays_bounded(spark, monkeypatch):
+    # two hot values around a wide continuous middle: their rows must not keep the bracket wide
+    rng = np.random.default_rng(8)
+    vals = np.concatenate([np.full(9000, 1.0), rng.uniform(1, 2, 2000), np.full(9000, 2.0)])
+    df = spark.createDataFrame(pd.DataFrame({"x": vals}))
+    sizes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: (lambda rows: (sizes.append(len(rows)), rows)[1])(collect(self)))
+    probs = [0.2, 0.46, 0.5, 0.53, 0.8]
+    got = exact_quantiles(df, ["x"], probs, accuracy=100, max_collect=60)["x"]
+    assert np.allclose(got, np.quantile(vals, probs), rtol=0, atol=1e-12)
+    assert max(sizes) <= 60 * 2 * len(probs)
+
+
+def test_positions_over_partitions(spark):
+    rows = [(i * 7919 % 1000 // 3, i) for i in range(1000)]
+    got = positions(spark.createDataFrame(rows, "a long, b long").repartition(5), ["a", "b"]).collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["position"])] == sorted(rows)
+    assert sorted(r["position"] for r in got) == list(range(1000))
+    assert positions(spark.createDataFrame([], "a long"), ["a"]).count() == 0

@@ -2,9 +2,13 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from creditspark.operators import evaluate as V
 from creditspark.operators import models as M
+from creditspark.operators import features as Fe
 from creditspark.plans import jobs as J
+from creditspark.plans import prepare as PR
 from creditspark.session import shared_path
 from creditspark.sources import KEY, LABEL, loan_book
 from creditspark.streaming import start_scoring_stream
@@ -25,8 +29,7 @@ def test_classifier_scores_test_rows(bundles):
     lb, clf, scored, *_ = bundles
     rows = scored.collect()
     assert rows and all(r["prediction"] in (0, 1) and 0.0 <= r["score"] <= 1.0 for r in rows)
-    acc = sum(r["prediction"] == r["label"] for r in rows) / len(rows)
-    assert acc > 0.6
+    assert V.roc_auc(scored).first()[0] >= 0.85     # a constant score has 0.5
 
 
 def test_kmeans_assigns_nearest_centroid(bundles):
@@ -55,7 +58,8 @@ def test_bundle_roundtrip_same_predictions(spark, bundles):
 def test_streaming_scoring_equals_batch(spark, bundles):
     lb, _clf, _s, _clu, _pts, run = bundles
     src = tempfile.mkdtemp(prefix="apps-")
-    apps = lb.drop(LABEL)
+    # a NaN rate must reach the model as a missing value, in the stream as in the batch
+    apps = lb.drop(LABEL).withColumn("loan_int_rate", F.when(F.col(KEY) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("loan_int_rate")))
     apps.repartition(3).write.mode("overwrite").parquet(os.path.join(src, "in"))
     sink = os.path.join(src, "out")
     q = start_scoring_stream(spark, os.path.join(src, "in"), sink, f"{run}/clf", f"{run}/clu",
@@ -77,3 +81,65 @@ def test_elbow_k1_total_sum_of_squares(spark):
     df = spark.createDataFrame([(0.0, 0.0), (2.0, 0.0), (0.0, 2.0), (2.0, 2.0)], "a double, b double")
     table = {r["k"]: r["inertia"] for r in M.elbow(df, ["a", "b"], [1, 2]).collect()}
     assert table[1] == pytest.approx(8.0) and table[2] <= table[1]
+
+
+def test_scoring_features_equal_training_features(spark, bundles):
+    """Rows seen on both paths get the same features, missing values included."""
+    lb, clf, *_ = bundles
+    cleaned, values = PR.clean_and_fit(lb)
+    assert values == clf.imputation
+    trained, _ = PR.engineer(cleaned, clf.encoders)
+    scored = J.application_features(lb.drop(LABEL), clf.imputation, clf.encoders)
+    rows = Fe.align_schema(trained, clf.features, keep=[KEY])
+    same = rows.join(Fe.align_schema(scored, clf.features, keep=[KEY]), rows.columns, "left_semi")
+    assert lb.where("loan_int_rate IS NULL OR person_emp_length IS NULL").join(rows, KEY, "left_semi").count() > 0
+    null_safe = rows.exceptAll(Fe.align_schema(scored, clf.features, keep=[KEY]))
+    assert null_safe.count() == 0 and same.count() > 0
+
+
+def test_reference_order_training(spark):
+    """Scaling and SMOTE before the split: the test part holds synthetic rows of a balanced table."""
+    p = J.prepare_classifier(loan_book(spark, SF_SMALL), shared_path(spark, "tests", "order", unique=True), split_first=False)
+    counts = {r[LABEL]: r["count"] for r in p.balanced.unionByName(p.test).groupBy(LABEL).count().collect()}
+    assert len(set(counts.values())) == 1
+    assert p.test.where("copy_no > 0").count() > 0 and p.balanced.join(p.test, [KEY, "copy_no"], "left_semi").count() == 0
+    first = J.prepare_classifier(loan_book(spark, SF_SMALL), shared_path(spark, "tests", "order", unique=True))
+    assert "copy_no" not in first.test.columns and first.balanced.join(first.test, KEY, "left_semi").count() == 0
+
+
+def test_grid_search_prefixes_and_first_maximum(spark):
+    rows = [(float(i % 10), float(i % 7), int((i % 10) > 4)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, loan_status int")
+    grid = {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [3, 6]}
+    best, table = M.grid_search(df, ["a", "b"], grid=grid, folds=2, parallelism=2)
+    got = {r["setting"]: r for r in table.collect()}
+    assert [(got[i]["learning_rate"], got[i]["n_estimators"]) for i in range(4)] == [(0.1, 3), (0.1, 6), (0.3, 3), (0.3, 6)]
+    assert all(r["cv_accuracy"] == 1.0 for r in got.values())
+    # all tie: the first setting wins and is refitted
+    assert len(best.stages[-1].treeWeights) == 3 and best.stages[-1].getOrDefault("stepSize") == 0.1
+    full = M.fit_gbt(df, ["a", "b"], n_estimators=6, max_depth=2)
+    short = M.fit_gbt(df, ["a", "b"], n_estimators=4, max_depth=2)
+    cut = M.prefix_model(full, 4)
+    key = lambda m: sorted((r["a"], r["b"], r["prediction"], round(r["score"], 9)) for r in M.predict(m, df, ["a", "b"]).collect())
+    assert key(cut) == key(short)
+
+
+def test_tune_classifier_compares_both_models(spark):
+    grid = {"learning_rate": [0.3], "max_depth": [3], "n_estimators": [4, 8]}
+    plain, tuned, table, both = J.tune_classifier(loan_book(spark, SF_SMALL), shared_path(spark, "tests", "tune", unique=True), grid, folds=2, n_estimators=2, max_depth=2)
+    assert table.count() == 2 and len(plain.model.stages[-1].treeWeights) == 2
+    rows = {r["stage"]: r for r in both.collect()}
+    assert set(rows) == {"untuned", "tuned"} and all(r["roc_auc"] > 0.85 for r in rows.values())
+    n = lambda r: r["tn"] + r["fp"] + r["fn"] + r["tp"]
+    assert n(rows["tuned"]) == n(rows["untuned"]) > 0
+
+
+def test_kmeans_tuning_shares_restarts_and_refits(spark, bundles):
+    lb, *_ = bundles
+    grid = {"n_clusters": [2, 3], "init": ["k-means++", "random"], "n_init": [2, 4], "max_iter": [5, 50]}
+    clu, pts, table = J.tune_clusterer(PR.clean_loans(lb), shared_path(spark, "tests", "km", unique=True), grid)
+    rows = table.collect()
+    assert len(rows) == 16 and [(r["n_clusters"], r["init"], r["n_init"], r["max_iter"]) for r in rows[:3]] == [(2, "k-means++", 2, 5), (2, "k-means++", 2, 50), (2, "k-means++", 4, 5)]
+    best = max(rows, key=lambda r: r["silhouette"])     # max keeps the first of equal values
+    assert len(clu.centroids) == best["n_clusters"]
+    assert V.silhouette_sq(pts, J.PCA_NAMES, "cluster", None).first()[0] == pytest.approx(best["silhouette"], abs=1e-6)

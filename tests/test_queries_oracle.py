@@ -13,7 +13,6 @@ from creditspark.sources.tables import TABLES
 from .conftest import SF_SMALL
 
 SQL = entry.oracle_sql()
-SLOW = {"smote", "smote_class_balance"}
 
 
 def _norm(v):

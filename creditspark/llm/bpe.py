@@ -27,9 +27,8 @@ from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.session import ship_package
-
 from . import arrays as A
+from .frames import prepare
 
 # symbols: letter, number, other, apostrophe before a one- and a two-letter contraction, white space that more white space
 # or the end follows, the last of its run if a blank and if not, end of document
@@ -290,7 +289,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", slice_bytes: int
     empty text: no ids. Rows, repeated ones too, are independent; one very long text is one slice. Names cannot clash,
     as the other columns stay inside ``doc``.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rest = [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*rest).alias("doc"), F.col(text).alias("text"))
     kind = rows.schema["doc"].dataType.simpleString()
@@ -299,7 +298,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", slice_bytes: int
 
 def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds ``to``: the bytes of the ids (null ids: empty). The other columns stay; one named ``to`` is replaced."""
-    ship_package(tokens.sparkSession)
+    prepare(tokens.sparkSession)
     rest = [c for c in tokens.columns if c != to]
     rows = tokens.select(F.struct(*rest).alias("doc"), F.col(ids).alias("ids"))
     kind = rows.schema["doc"].dataType.simpleString()

@@ -7,10 +7,23 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.session import shared_path
+from creditspark.session import shared_path, ship_package
 from creditspark.sources import read_table
 
 
+#: Rows of an Arrow batch: texts may have tens of thousands of characters, and several batches are in memory at once.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before an operator with Python inside: ship the package, keep Arrow batches of texts small (a smaller setting stays)."""
+    ship_package(spark)
+    rows = int(spark.conf.get(_BATCH_KEY, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, name, list(columns) or None)
 

@@ -68,7 +68,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], raw
 
 
-def cuts(offsets: np.ndarray, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def cuts(offsets: np.ndarray, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes each, or of one longer row."""
     lo, n = 0, len(offsets) - 1
     while lo < n:

@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.session import ship_package
-
 from . import arrays as A
-from .frames import range_bounds, range_index
+from .frames import prepare, range_bounds, range_index
 
 BITS = 128
 _END = np.uint64(0x5851F42D4C957F2D)
@@ -61,12 +59,12 @@ def _hex(f: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes().hex() for x in f], pa.string())
 
 
-def fingerprints(docs: DataFrame, text: str = "text", limit: int = 2_000_000) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", limit: int = 1_000_000) -> DataFrame:
     """``doc`` (struct of the columns of ``docs``, so names cannot clash) and ``fingerprint`` (32 hex digits) of each row's whole text.
 
     Null, empty or blank text: zeros. Equal texts have equal fingerprints. Narrow: rows stay where they are.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +144,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if waiting:
                 last = waiting.pop()
                 size += pair(last, row if row[0] == last[0] else None)
-                if size > 3_000_000:
+                if size > 1_500_000:
                     yield flush()
                     size = 0
             waiting.append(row)
@@ -156,7 +154,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def neighbour_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", chars_per_range: int = 8_000_000) -> DataFrame:
+def neighbour_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", chars_per_range: int = 4_000_000) -> DataFrame:
     """Fingerprints of each text, of its edited form (the last third replaced by the next document's beginning, in falling key
     order, the first following the last) and how like they and the next document's are.
 
@@ -164,7 +162,7 @@ def neighbour_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text",
     row of all to the last range. Null text: empty. Equal keys: ordered by falling text. A null key counts as the smallest.
     A single row is its own next document. Empty table: no rows.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = range_bounds(rows, "key", "text", chars_per_range)
     rows = rows.withColumn("range", range_index(F.col("key"), bounds).cast("int"))

@@ -22,10 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditspark.session import ship_package
-
 from . import arrays as A
-from .frames import range_bounds, range_index
+from .frames import prepare, range_bounds, range_index
 
 WINDOW = 20
 
@@ -112,7 +110,7 @@ def _remove(width: int, bits: int):
     return remove
 
 
-def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, chars_per_range: int = 8_000_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WINDOW, chars_per_range: int = 4_000_000) -> DataFrame:
     """Removes every word below a window of ``width`` words that also starts earlier (smaller key; same document: earlier start).
 
     Returns per row: key, n_words, n_removed, removed (array of [start, end) word positions, maximal), kept_text (kept
@@ -121,7 +119,7 @@ def substring_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Null or blank text: no words, kept_text ''. A document shorter than the window keeps everything. A null key counts as
     the smallest, rows with equal keys are ordered by text; of fully equal rows one comes first. Empty table: no rows.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     bounds = range_bounds(rows, "key", "text", chars_per_range)
     bits = max(0, math.ceil(math.log2(len(bounds) + 1)))

@@ -22,10 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from creditspark.session import ship_package
-
 from . import arrays as A
-from .frames import range_bounds, range_index
+from .frames import prepare, range_bounds, range_index
 
 RANK_BITS = 512
 LEVELS = "array<struct<chunks:binary,more:binary,ranks:binary>>"
@@ -162,7 +160,7 @@ def _build(path: str, end_id: int):
         table = A.by_key(table)
         offsets, raw = A.utf8(table["text"])
         parts, ends, done = [], [], 0
-        for lo, hi in A.cuts(offsets, 2_000_000):
+        for lo, hi in A.cuts(offsets):
             ids, at = t.encode(offsets[lo: hi + 1] - offsets[lo], raw[offsets[lo]: offsets[hi]])
             parts.append(np.insert(ids, at[1:], end_id))
             ends.append(done + at[1:] + np.arange(1, hi - lo + 1))
@@ -180,7 +178,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, key: str = "do
     Null or empty text: the end id alone. A null key counts as the smallest. Empty table: an empty file set. Ids go from 0
     to 2**32 - 1. A shard holds about ``chars_per_shard`` characters of whole documents; one longer document is one shard.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     bounds = range_bounds(rows, "key", "text", chars_per_shard)
     rows = rows.select(range_index(F.col("key"), bounds).cast("int").alias("chunk"), "key", "text")
@@ -205,7 +203,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
     """Per document, from the files: key, start (ids of all documents before it), n_tokens (with the end id) and ids (little-endian uint32)."""
-    ship_package(spark)
+    prepare(spark)
     shards = spark.read.parquet(path)
     sizes = dict(shards.select("shard", "n_ids").collect())  # one row per shard of some million characters
     last = max(sizes, default=-1)

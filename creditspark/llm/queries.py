@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import frames
+from . import frames, sql
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
@@ -25,11 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, oracle: str | None = None):
     def add(f):
         QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
+        if oracle:
+            ORACLE[name] = oracle
         return f
     return add
 
@@ -38,13 +38,13 @@ def sha256(col: Column | str) -> Column:
     return F.sha2(F.col(col) if isinstance(col, str) else col, 256)
 
 
-@query("op1_decontamination")
+@query("op1_decontamination", sql.decontamination())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = find_contamination(frames.table(spark, sf_dir, "documents", "doc_id", "text"), frames.table(spark, sf_dir, "benchmark", "item_id", "text"))
     hit = F.aggregate("marks.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    out = marked.select("doc.doc_id", "marks.n_words", hit.alias("n_hit"), F.col("marks.items").alias("items"), F.col("marks.longest").alias("longest_match"))
+    out = marked.select("doc.doc_id", "marks.n_words", hit.alias("n_hit"), F.col("marks.items").alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256(F.array_join("items", ",")).alias("items_sha256"),
-                      (F.col("n_hit") > 0).alias("contaminated"), "longest_match")
+                      (F.col("n_hit") > 0).alias("contaminated"))
 
 
 @query("op2_byte_bpe")
@@ -55,7 +55,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                          sha256("decoded").alias("decoded_sha256"))
 
 
-@query("op3_substring_dedup")
+@query("op3_substring_dedup", sql.substring_dedup())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", sha256("kept_text").alias("kept_sha256"))

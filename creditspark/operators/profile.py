@@ -38,11 +38,12 @@ def shape(df: DataFrame) -> DataFrame:
 
 
 def type_split(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
-    """P3 numeric / categorical split of the schema (metadata only, no scan)."""
-    num, cat = numeric_columns(df, exclude), categorical_columns(df, exclude)
-    rows = [("numeric", len(num), ",".join(num)), ("categorical", len(cat), ",".join(cat))]
-    schema = "column_type string, n_columns bigint, column_names string"
-    return df.sparkSession.createDataFrame(rows, schema)
+    """P3 numeric / categorical split of the columns, with the non-null values that each side holds."""
+    groups = {"numeric": numeric_columns(df, exclude), "categorical": categorical_columns(df, exclude)}
+    held = df.agg(*[sum((F.count(c) for c in cols), F.lit(0)).cast("bigint").alias(kind) for kind, cols in groups.items()])
+    rows = [F.struct(F.lit(kind).alias("column_type"), F.lit(len(cols)).cast("bigint").alias("n_columns"),
+                     F.lit(",".join(cols)).alias("column_names"), F.col(kind).alias("n_values")) for kind, cols in groups.items()]
+    return held.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def _long(df: DataFrame, exprs: dict[str, object], value_name: str) -> DataFrame:
@@ -88,14 +89,11 @@ def distinct_report(df: DataFrame, exclude: Sequence[str] = (), approx: bool = F
     cols = [c for c in df.columns if c not in exclude]
     num = set(numeric_columns(df))
     fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else (lambda c: F.count_distinct(c))
-    aggs = [fn(c).alias(f"d{i}") for i, c in enumerate(cols)] + [F.count(F.lit(1)).alias("n")]
-    row = df.agg(*aggs).first()
-    n = row["n"]
-    data = [(c, "numeric" if c in num else "categorical", int(row[f"d{i}"]),
-             round(row[f"d{i}"] * 100.0 / n, 4) if n else None) for i, c in enumerate(cols)]
-    schema = "column_name string, column_type string, unique_values bigint, unique_pct double"
-    return (df.sparkSession.createDataFrame(data, schema)
-            .orderBy("column_type", F.desc("unique_values"), "column_name"))
+    kind = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit("numeric" if c in num else "categorical"))])
+    out = _long(df, {c: fn(c) for c in cols}, "unique_values").select(
+        "column_name", kind[F.col("column_name")].alias("column_type"), "unique_values",
+        F.round(F.try_divide(F.col("unique_values") * 100.0, F.col("n_total")), 4).alias("unique_pct"))
+    return out.orderBy("column_type", F.desc("unique_values"), "column_name")
 
 
 def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

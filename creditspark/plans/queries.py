@@ -123,10 +123,15 @@ def q_shape(spark, sf):
     return P.shape(loan_book(spark, sf))
 
 
+def _values_sql(cols) -> str:
+    return f"CAST({' + '.join(f'COUNT({c})' for c in cols)} AS BIGINT)"
+
+
 @register("type_split", f"""
-SELECT * FROM (VALUES ('numeric', CAST({len(S.NUMERIC_RAW)} AS BIGINT), '{",".join(S.NUMERIC_RAW)}'),
-  ('categorical', CAST({len(S.CATEGORICAL_RAW)} AS BIGINT), '{",".join(S.CATEGORICAL_RAW)}'))
-  AS t(column_type, n_columns, column_names)""")
+WITH {S.loan_book_cte()}
+SELECT 'numeric' AS column_type, CAST({len(S.NUMERIC_RAW)} AS BIGINT) AS n_columns, '{",".join(S.NUMERIC_RAW)}' AS column_names,
+  {_values_sql(S.NUMERIC_RAW)} AS n_values FROM loan_book
+UNION ALL SELECT 'categorical', CAST({len(S.CATEGORICAL_RAW)} AS BIGINT), '{",".join(S.CATEGORICAL_RAW)}', {_values_sql(S.CATEGORICAL_RAW)} FROM loan_book""")
 def q_type_split(spark, sf):
     return P.type_split(loan_book(spark, sf), exclude=[KEY])
 

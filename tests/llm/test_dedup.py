@@ -239,8 +239,14 @@ def test_signature_tokens_meet():
                 drop = rng.integers(0, jaccard_join.most_different(n, n, percent) + 1)
                 b = np.unique(np.concatenate([rng.permutation(a)[int(drop) // 2:], rng.integers(0, 1 << 63, int(drop) - int(drop) // 2).astype(np.uint64)]))
                 if len(b) and jaccard_join.linked(a, b, percent):
-                    (ta, na), (tb, nb) = jaccard_join.tokens_of(a, percent), jaccard_join.tokens_of(b, percent)
-                    assert len(np.intersect1d(ta, tb)) >= max(na, nb)
+                    (ta, ca), (tb, cb) = jaccard_join.tokens_of(a, percent), jaccard_join.tokens_of(b, percent)
+                    first, parts = jaccard_join.size_classes(percent)
+                    c = int(np.searchsorted(first, max(len(a), len(b)), "right")) - 1
+                    least_a, empty_a = next(k[1:] for k in ca if k[0] == c)
+                    least_b, empty_b = next(k[1:] for k in cb if k[0] == c)
+                    both = np.intersect1d(ta, tb)
+                    equal = np.sum(both & np.uint64(jaccard_join.CLASS_BITS) == c)
+                    assert equal >= max(least_a, least_b, parts[c] - jaccard_join.most_different(len(a), len(b), percent) - min(empty_a, empty_b))
 
 
 def test_components_of_chains(spark):

@@ -7,8 +7,9 @@ stands within ``reach`` words of a mention, of N texts in all,
     information(e) = log2(N / n(e)),   disclosure(t, e) = log2(n(t, e) * N / (n(t) * n(e))).
 
 A term whose disclosure is at least ``threshold`` of the entity's information, in at least ``support`` distinct texts, tells
-the entity nearly as well as its own mention; next to that entity it is generalised or removed too. All counts cover all
-documents. Texts do not move: contexts and counts do, pre-aggregated before every shuffle.
+the entity nearly as well as its own mention; next to that entity it is generalised or removed too. All counts are of
+distinct texts, over all documents: copies of a text count once, and so do spellings of a term in a text. For that the distinct
+terms of a text move once, with its hash; all else is pre-aggregated before every shuffle.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPANS = "array<struct<start:int,kind:string,end:int>>"
 _WORD = r"[^\s]+"
+#: marks before the first and after the last letter or figure of a word; a run of marks is entered at its start only
+_OUTER = r"(?<![^\s])[^\p{L}\p{N}\s]++|(?<![^\p{L}\p{N}\s])[^\p{L}\p{N}\s]++(?![^\s])"
 
 
 def _digits(m: Column) -> Column:
@@ -101,6 +104,11 @@ def term_of(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
+def text_terms(text: Column) -> Column:
+    """Distinct terms of a text; its words' outer marks are removed in one search, as by ``term_of`` word by word."""
+    return F.filter(F.array_distinct(F.split(F.regexp_replace(F.lower(text), _OUTER, ""), r"\s+")), lambda t: t != "")
+
+
 def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, reach: int, threshold: float, support: int) -> DataFrame:
     """key, blob, spans of the terms that reveal an entity next to which they stand."""
     mentions = base.where(F.size("mentions") > 0).select("key", "blob", F.explode("mentions").alias("mention"))
@@ -108,12 +116,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, reach: int, th
     context = context.where(F.col("term").rlike(r"\p{L}"))
     pairs = context.groupBy("term", "entity").agg(F.count_distinct("blob").alias("both")).where(F.col("both") >= support)
     entities = mentions.select("blob", "mention.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # document frequency of every word: partial sums per task, then one row a word
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w"))
-    terms = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).select(term_of(F.col("w")).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n_term"))
+    # document frequency of every term: equal texts are one row of equal terms, then partial sums per task
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("blob"), F.array_join(text_terms(F.col("text")), " ").alias("terms")).distinct()
+    terms = texts.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     wanted = pairs.select("term").distinct()
-    total = F.lit(float(max(texts.count(), 1)))
+    total = F.lit(float(max(base.select("blob").distinct().count(), 1)))
     risky = (pairs.join(terms.join(wanted, "term", "left_semi"), "term").join(entities, "entity")
              .where(F.log2(F.col("both") * total / (F.greatest("n_term", "both") * F.col("n_entity"))) >= threshold * F.log2(total / F.col("n_entity")))
              .select("term", "entity"))

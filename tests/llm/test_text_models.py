@@ -172,6 +172,42 @@ def test_disclosing_terms(spark):
     assert pii.find_personal_data(with_clashes(docs_of(spark, AWKWARD))).count() == len(AWKWARD)
 
 
+def stripped(w):
+    w, outer = w.lower(), lambda c: not c.isalnum()
+    while w and outer(w[0]):
+        w = w[1:]
+    while w and outer(w[-1]):
+        w = w[:-1]
+    return w
+
+
+def disclosed(texts, reach=5, threshold=0.9, support=3):
+    """Spans of disclosing terms per text; e-mails are words of their own."""
+    texts, words = set(texts), lambda t: [(m.group(), m.start(), m.end()) for m in re.finditer(r"\S+", t)]
+    held, both, entity = Counter(), Counter(), Counter()
+    for t in texts:
+        w = words(t)
+        held.update({stripped(x) for x, _, _ in w if "@" not in x})
+        entity.update({x for x, _, _ in w if "@" in x})
+        both.update({(stripped(y), x) for i, (x, _, _) in enumerate(w) if "@" in x for y, _, _ in w[max(i - reach, 0): i + reach + 1] if "@" not in y and any(c.isalpha() for c in y)})
+    n = len(texts)
+    risky = {(t, e) for (t, e), b in both.items() if b >= support and np.log2(b * n / (held[t] * entity[e])) >= threshold * np.log2(n / entity[e]) - 1e-12}
+    return {t: sorted((a, b) for x, a, b in words(t) if any((stripped(x), e) in risky for e, _, _ in words(t) if "@" in e)) for t in texts}
+
+
+def term_spans(spark, rows, **options):
+    return [(r.doc_id, sorted((s.start, s.end) for s in r.spans if s.kind == "term")) for r in pii.find_personal_data(docs_of(spark, rows), **options).collect()]
+
+
+def test_disclosure_counts_distinct_texts(spark):
+    mail = "jo.doe@mail.example.com"
+    texts = [f"say Zorblax {mail} a{i}" for i in range(3)] + [f"Quux, (quux) quux! {mail} b{i}" for i in range(3)] + [f"say other things {i}" for i in range(60)]
+    rows = list(enumerate(texts + [texts[0]] * 300))  # copies of one text, spellings of one term
+    want = disclosed(texts)
+    assert len(want[texts[0]]) == 1 and len(want[texts[3]]) == 3
+    assert all(spans == want[dict(rows)[k]] for k, spans in term_spans(spark, rows))
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = tempfile.mkdtemp(prefix="ledger-") + "/l"
     docs = docs_of(spark, [(1, "password=abcdef123"), (2, "password=abcdef123"), (3, "nothing"), (4, None), (5, "")])

@@ -7,9 +7,9 @@ stands within ``reach`` words of a mention, of N texts in all,
     information(e) = log2(N / n(e)),   disclosure(t, e) = log2(n(t, e) * N / (n(t) * n(e))).
 
 A term whose disclosure is at least ``threshold`` of the entity's information, in at least ``support`` distinct texts, tells
-the entity nearly as well as its own mention; next to that entity it is generalised or removed too. All counts are of
-distinct texts, over all documents: copies of a text count once, and so do spellings of a term in a text. For that the distinct
-terms of a text move once, with its hash; all else is pre-aggregated before every shuffle.
+the entity nearly as well as its own mention; in every text that mentions that entity it is generalised or removed too, wherever
+it stands. All counts are of distinct texts, over all documents: copies of a text count once, and so do spellings of a term in a
+text. For that the distinct terms of a text move once, with its hash; all else is pre-aggregated before every shuffle.
 """
 
 from __future__ import annotations
@@ -28,9 +28,12 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SPANS = "array<struct<start:int,kind:string,end:int>>"
-_WORD = r"[^\s]+"
+#: stands for the characters of mentions while words are cut
+MARK = "\uffff"
+_LETTER = r"[^\s]"
 #: marks before the first and after the last letter or figure of a word; a run of marks is entered at its start only
 _OUTER = r"(?<![^\s])[^\p{L}\p{N}\s]++|(?<![^\p{L}\p{N}\s])[^\p{L}\p{N}\s]++(?![^\s])"
+SALTS = 16
 
 
 def _digits(m: Column) -> Column:
@@ -67,36 +70,49 @@ def _entity(kind: str, m: Column) -> Column:
     return F.concat(F.lit(kind + ":"), value)
 
 
-def find_base(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, blob (hash of the text), mentions: array of (start, kind, end, entity, before, after) by kind.
-
-    ``before`` and ``after`` are the characters around a mention from which its context words are taken.
+def find_base(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
+    """row (a number), key, blob (hash of the text), mentions: array of (start, kind, end, entity) by kind; where there are any,
+    near: the distinct (term, entity) of the ``reach`` words on each side of a mention and of the word parts that touch it,
+    body: the text with blanks for the mentions, glued: terms that stand in it only as parts of words.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("key", "text", F.unhex(F.sha2("text", 256)).alias("blob"), *(c.alias(k) for k, c in base_matches(F.col("text")).items()))
 
     def mention(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(
-            s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), _entity(kind, s["m"]).alias("entity"),
-            F.substring(F.col("text"), F.greatest(s["start"] - 119, F.lit(1)), F.least(s["start"], F.lit(120))).alias("before"),
-            F.substring(F.col("text"), s["end"] + 1, F.lit(120)).alias("after")))
+            s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), _entity(kind, s["m"]).alias("entity")))
+
+    rows = rows.select("key", "blob", "text", F.concat(*(mention(k) for k in KINDS[:4])).alias("mentions"))
+    held = F.size("mentions") > 0
+    rows = rows.select("key", "blob", "text", "mentions", F.when(held, _marked(F.col("text"), F.array_sort("mentions"))).alias("marked"))
+    near = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(_context(F.col("marked"), m["start"], m["end"], reach), lambda t: F.struct(t.alias("term"), m["entity"].alias("entity"))))))
+    rows = rows.select("key", "blob", "text", "mentions", F.when(held, near).alias("near"), F.translate("marked", MARK, " ").alias("body"))
+    glued = F.when(held, F.array_except(text_terms(F.col("body")), text_terms(F.col("text"))))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "key", "blob", "mentions", "near", "body", glued.alias("glued"))
+
+
+def _marked(text: Column, mentions: Column) -> Column:
+    """The text with MARK for every character of a mention but blanks; mentions in order of their starts."""
+    text = F.translate(text, MARK, "\ufffe")
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def put(acc: Column, m: Column) -> Column:
+        lo, hi = F.greatest(acc["at"], m["start"]), F.greatest(acc["at"], m["end"])
+        gap = F.substring(text, acc["at"] + 1, lo - acc["at"])
+        return F.struct(hi.alias("at"), F.concat(acc["out"], gap, F.regexp_replace(F.substring(text, lo + 1, hi - lo), _LETTER, MARK)).alias("out"))
 
-    return rows.select("key", "blob", F.concat(*(mention(k) for k in KINDS[:4])).alias("mentions"))
+    return F.aggregate(mentions, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def _context(reach: int) -> Column:
-    """Words within ``reach`` of a mention as (term, start, end) in the document; cut words at the far ends are left out."""
-    before, after = F.col("mention.before"), F.col("mention.after")
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    left = F.coalesce(matches(before, _WORD, F.lit(True)), none)
-    base = F.col("mention.start") - F.length(before)
-    left = F.filter(left, lambda w: (w["start"] > 0) | (base == 0))
-    left = F.when(F.size(left) > reach, F.slice(left, -reach, reach)).otherwise(left)
-    right = F.filter(F.coalesce(matches(after, _WORD, F.lit(True)), none), lambda w: (w["end"] < F.length(after)) | (F.length(after) < 120))
-    right = F.slice(right, 1, reach)
-    words = F.concat(F.transform(left, lambda w: F.struct(w["m"].alias("m"), (base + w["start"]).alias("start"), (base + w["end"]).alias("end"))),
-                     F.transform(right, lambda w: F.struct(w["m"].alias("m"), (F.col("mention.end") + w["start"]).alias("start"), (F.col("mention.end") + w["end"]).alias("end"))))
-    return words
+def _context(marked: Column, start: Column, end: Column, reach: int) -> Column:
+    """Terms of the ``reach`` words on each side of a mention, and of the word parts that touch it; words with mentions are none."""
+    side = rf"^[^\s]*+(?:\s++[^\s]++){{0,{reach}}}+"
+    before = F.split(F.reverse(F.regexp_extract(F.reverse(F.substring(marked, F.lit(1), start)), side, 0)), r"\s+", -1)
+    after = F.split(F.regexp_extract(F.substring(marked, end + 1, F.length(marked)), side, 0), r"\s+", -1)
+    whole = F.concat(F.slice(before, F.lit(1), F.size(before) - 1), F.slice(after, F.lit(2), F.size(after)))
+    parts = F.array(F.substring_index(F.element_at(before, -1), MARK, -1), F.substring_index(F.element_at(after, 1), MARK, 1))
+    words = F.concat(F.filter(whole, lambda w: ~F.contains(w, F.lit(MARK))), parts)
+    return F.filter(F.transform(words, term_of), lambda t: t.rlike(r"\p{L}"))
 
 
 def term_of(word: Column) -> Column:
@@ -109,23 +125,41 @@ def text_terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.regexp_replace(F.lower(text), _OUTER, ""), r"\s+")), lambda t: t != "")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, reach: int, threshold: float, support: int) -> DataFrame:
-    """key, blob, spans of the terms that reveal an entity next to which they stand."""
-    mentions = base.where(F.size("mentions") > 0).select("key", "blob", F.explode("mentions").alias("mention"))
-    context = mentions.select("key", "blob", "mention.entity", F.explode(_context(reach)).alias("w")).select("key", "blob", "entity", term_of(F.col("w.m")).alias("term"), "w.start", "w.end")
-    context = context.where(F.col("term").rlike(r"\p{L}"))
-    pairs = context.groupBy("term", "entity").agg(F.count_distinct("blob").alias("both")).where(F.col("both") >= support)
-    entities = mentions.select("blob", "mention.entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def _occurrences(base: DataFrame) -> DataFrame:
+    """row, term, start, end of every word outside the mentions, for texts with mentions. Offsets are summed over blocks of
+    words, so that the work stays about linear in a long text."""
+    words = F.split("body", r"\s", -1)  # one blank ends each: empty ones keep the offsets
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 64).cast("int")), lambda i: F.slice(F.col("w"), i * 64 + 1, F.lit(64)))
+    none = lambda kind: F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
+    placed = F.aggregate("blocks", none("at:int,words:array<string>"), lambda a, b: F.struct(
+        F.aggregate(b, a["at"], lambda n, w: n + F.length(w) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), b.alias("words")))).alias("out")), lambda a: a["out"])
+    spans = F.aggregate("block.words", F.struct(F.col("block.at").alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")), lambda a, w: F.struct(
+        (a["at"] + F.length(w) + 1).alias("at"), F.when(w == "", a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), w.alias("m"))))).alias("out")), lambda a: a["out"])
+    rows = base.where(F.size("mentions") > 0).select("row", words.alias("w")).select("row", blocks.alias("blocks"))
+    rows = rows.select("row", F.explode(placed).alias("block")).select("row", F.explode(spans).alias("s"))
+    return rows.select("row", term_of(F.col("s.m")).alias("term"), F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.m")).alias("end"))
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
+    """row, spans of all terms of a text that reveal an entity mentioned in it. Every count is one of distinct texts."""
+    held = base.where(F.size("mentions") > 0)
+    pairs = held.select("blob", F.explode("near").alias("n")).groupBy("n.term", "n.entity").agg(F.count_distinct("blob").alias("both")).where(F.col("both") >= support)
+    mentions = held.select("row", "blob", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
+    entities = mentions.groupBy("entity").agg(F.count_distinct("blob").alias("n_entity"))
     # document frequency of every term: equal texts are one row of equal terms, then partial sums per task
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("blob"), F.array_join(text_terms(F.col("text")), " ").alias("terms")).distinct()
-    terms = texts.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    glued = held.where(F.size("glued") > 0).select("blob", F.array_join("glued", " ").alias("terms")).distinct()
+    terms = texts.union(glued).select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     wanted = pairs.select("term").distinct()
     total = F.lit(float(max(base.select("blob").distinct().count(), 1)))
     risky = (pairs.join(terms.join(wanted, "term", "left_semi"), "term").join(entities, "entity")
              .where(F.log2(F.col("both") * total / (F.greatest("n_term", "both") * F.col("n_entity"))) >= threshold * F.log2(total / F.col("n_entity")))
              .select("term", "entity"))
-    found = context.join(risky, ["term", "entity"]).select("key", "blob", F.struct("start", F.lit("term").alias("kind"), "end").alias("span"))
-    return found.groupBy("key", "blob").agg(F.collect_set("span").alias("terms"))  # words around the mentions of one text
+    # a frequent word is dealt over SALTS tasks
+    places = _occurrences(base).withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    salted = risky.select("term", "entity", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    found = places.join(salted, ["term", "salt"]).join(mentions.select("row", "entity"), ["row", "entity"], "left_semi")
+    return found.select("row", F.struct("start", F.lit("term").alias("kind"), "end").alias("span")).groupBy("row").agg(F.collect_set("span").alias("terms"))
 
 
 def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 5, threshold: float = 0.9, support: int = 3) -> DataFrame:
@@ -136,11 +170,11 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
     gives no rows. One very long text is searched whole, in linear time.
     """
     path = work_path(docs.sparkSession, "pii-base")
-    find_base(docs, key, text).write.parquet(path)
+    find_base(docs, key, text, reach).write.parquet(path)
     base = docs.sparkSession.read.parquet(path)
-    terms = disclosing_terms(docs, base, text, reach, threshold, support).withColumnsRenamed({"key": "k", "blob": "b"})
+    terms = disclosing_terms(docs, base, text, threshold, support)
     plain = F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
-    joined = base.join(terms, F.col("key").eqNullSafe(F.col("k")) & (F.col("blob") == F.col("b")), "left")
+    joined = base.select("row", "key", "blob", "mentions").join(terms, "row", "left")
     # a term inside a base span is that span already
     extra = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists(plain, lambda m: (t["start"] < m["end"]) & (m["start"] < t["end"])))
     return joined.select(F.col("key").alias(key), "blob", in_order(plain, KINDS).alias("base"), in_order(F.concat(plain, extra), KINDS).alias("spans"))

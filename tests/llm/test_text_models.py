@@ -208,6 +208,24 @@ def test_disclosure_counts_distinct_texts(spark):
     assert all(spans == want[dict(rows)[k]] for k, spans in term_spans(spark, rows))
 
 
+def test_disclosure_reaches_whole_texts(spark):
+    mail, path = "jo.doe@mail.example.com", "/".join(["folder"] * 40)
+    texts = [f"{path}Zorblax {path}a{i} {path}b{i} {path}c{i} {path}d{i} {mail} end" for i in range(4)]  # fifth word, beyond any 120 characters
+    texts += [f"start {mail} p q r s Quuxly t{i} " + "filler " * 100 + "Quuxly. \n 中文字\U0001f600 Quuxly" for i in range(4)]
+    texts += [f"p q r s start end filler t{i} other 中文字\U0001f600 {i}" for i in range(60)] + [f"far {'w ' * 20}Farword {mail} u{i}" for i in range(2)]
+    rows = list(enumerate(texts)) + [(None, texts[0])]
+    want = disclosed(texts)
+    assert len(want[texts[0]]) == 1 and len(want[texts[4]]) == 3
+    assert all(spans == want[texts[k or 0]] for k, spans in term_spans(spark, rows))
+    far = [f"Zorblax {' '.join(f'w{i}x{j}' for j in range(28))} {mail}" for i in range(4)] + [f"plain {i}" for i in range(60)]
+    want = disclosed(far, reach=30)
+    assert want[far[0]] == [(0, 7)] and all(spans == want[far[k]] for k, spans in term_spans(spark, list(enumerate(far)), reach=30))
+    touching = [(i, f"n{i} <Zorblax:{mail}>, Zorblax") for i in range(4)] + [(10 + i, f"plain {i}") for i in range(60)]
+    assert all(spans == ([(3, 12), (38, 45)] if k < 10 else []) for k, spans in term_spans(spark, touching))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_of(spark, touching)).collect()}
+    assert clean[2] == "n2 [TERM][EMAIL]>, [TERM]"
+
+
 def test_ledger_scans_only_what_is_new(spark):
     ledger = tempfile.mkdtemp(prefix="ledger-") + "/l"
     docs = docs_of(spark, [(1, "password=abcdef123"), (2, "password=abcdef123"), (3, "nothing"), (4, None), (5, "")])

@@ -1,14 +1,15 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``width`` words, counted in Spark.
 
 1. Documents are dealt into ranges of their key (about ``chars_per_range`` characters each), so ranges are in document
-   order. Each range hashes all its windows, sorts the hashes (ties: key, then position) and sends them, packed and cut
-   by their top bits, to hash buckets.
-2. A bucket merges the sorted runs of all ranges in range order; every window but the first of its hash is marked. Only
-   one bit per window goes back.
+   order. Each range hashes all its windows, sorts the hashes (ties: key, then position) and sends each hash once, for its
+   first window in the range, packed and cut by their top bits, to hash buckets. Later windows of a hash in the same
+   range are repeats whatever other ranges hold, so they are marked there.
+2. A bucket merges the sorted runs of all ranges in range order; every hash that an earlier range has too is marked. Only
+   one bit per hash and range goes back.
 3. Each range meets its bits again (the shuffled documents are reused), merges marked windows into maximal intervals
    and removes the words below them.
 
-A third of all windows may be equal: they are then a third of one bucket, as packed numbers (6 to 8 bytes a window), never rows.
+However many windows are equal, a hash has at most one entry per range in its bucket, as packed numbers (6 to 8 bytes), never rows.
 Hashes have 64 bits: n windows collide with a probability of about n**2 / 2**65 (1e-3 for 2e8 windows).
 """
 
@@ -35,6 +36,13 @@ def _sorted_windows(words: A.Words, width: int) -> tuple[np.ndarray, np.ndarray]
     return at[order], h[order]
 
 
+def _first_of_hash(sorted_hashes: np.ndarray) -> np.ndarray:
+    """Whether each is the first of its equals."""
+    first = np.ones(len(sorted_hashes), bool)
+    first[1:] = sorted_hashes[1:] != sorted_hashes[:-1]
+    return first
+
+
 def pack(sorted_hashes: np.ndarray) -> bytes:
     """Gaps between sorted hashes, little endian, in as many bytes as the widest gap needs (first byte: that number)."""
     gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
@@ -56,6 +64,7 @@ def _emit(width: int, bits: int):
     def emit(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         _, h = _sorted_windows(A.Words(*A.utf8(A.by_key(table)["text"])), width)
+        h = h[_first_of_hash(h)]
         bounds = np.searchsorted(h, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, int)
         lo, hi = np.concatenate([[0], bounds]), np.concatenate([bounds, [len(h)]])
         full = np.flatnonzero(hi > lo)
@@ -65,7 +74,7 @@ def _emit(width: int, bits: int):
 
 
 def _mark(table: pa.Table) -> pa.Table:
-    """Bits of all windows of a bucket but the first of each hash, per range."""
+    """Bits of all entries of a bucket but the first of each hash, per range; a range has each hash once."""
     table = table.sort_by("chunk")
     runs = [unpack(b.as_py()) for b in table["blob"]]
     h = np.concatenate(runs)
@@ -85,8 +94,13 @@ def _remove(width: int, bits: int):
         words = A.Words(*A.utf8(table["text"]))
         n = len(words.start)
         covered = np.zeros(n + 1, np.int32)
+        at, h = _sorted_windows(words, width)
+        first = _first_of_hash(h)
+        again = at[~first]
+        covered[again] += 1
+        covered[again + width] -= 1
         if marks.num_rows:
-            at, h = _sorted_windows(words, width)
+            at, h = at[first], h[first]
             for bucket, blob in zip(marks["bucket"].to_pylist(), marks["marks"].to_pylist(), strict=True):
                 lo = int(np.searchsorted(h, np.uint64(bucket) << np.uint64(64 - bits))) if bits else 0
                 flags = np.unpackbits(np.frombuffer(blob, np.uint8))

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,6 +122,21 @@ def test_substring_dedup(spark, chars):
     assert substring_dedup.substring_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_a_range_sends_each_hash_once():
+    texts = ["x " * 1000, "a b c d e f " * 200, "a b c d e f g"]
+    table = pa.table({"chunk": pa.array([3] * 3, pa.int32()), "key": pa.array([1, 2, 3], pa.int64()), "text": texts})
+    sent = substring_dedup._emit(5, 1)(table)
+    h = np.concatenate([substring_dedup.unpack(b) for b in sent["blob"].to_pylist()])
+    assert len(h) == len(set(h.tolist())) == len({tuple(w[i: i + 5]) for w in map(str.split, texts) for i in range(len(w) - 4)})
+
+
+def test_hot_windows_across_ranges(spark):
+    rows = [(i, f"s{i} " + "x " * 400 + " ".join(f"y{j}" for j in range(i % 5, 12))) for i in range(40)]
+    for chars in (300, 3000, 8_000_000):
+        got = substring_dedup.substring_dedup(docs_of(spark, rows).repartition(4), width=5, chars_per_range=chars).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == removed(rows, 5)
+
+
 def test_packed_hashes():
     rng = np.random.default_rng(1)
     for h in (rng.integers(0, 1 << 63, 1000).astype(np.uint64), np.zeros(5, np.uint64), np.array([2**64 - 1], np.uint64), np.array([0, 2**64 - 1], np.uint64)):

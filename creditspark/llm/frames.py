@@ -33,6 +33,12 @@ def work_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "llm", name, unique=True)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def range_bounds(df: DataFrame, key: str, text: str, chars_per_range: int) -> list[int]:
     """Upper bounds (exclusive of the last range) that cut ``key`` into ranges of about ``chars_per_range`` characters.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import frames, sql
 from .bpe import bpe_decode, bpe_encode
+from .collocation import collocations
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .langid import fit_languages, identify
@@ -116,3 +117,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op11_collocations", sql.collocation())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(frames.table(spark, sf_dir, "documents", "text", "lang"))

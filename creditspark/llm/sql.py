@@ -39,3 +39,30 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text, COUNT(*) AS n
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - COALESCE(kept.n, 0) AS BIGINT) AS n_removed,
   sha256(COALESCE(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def collocation(threshold: int = 30, longest: int = 4, first: int = 2000, scale: int = 2_000_000) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS len, array_to_string(w[s:s + {k - 1}], ' ') AS phrase FROM (SELECT lang, w, UNNEST(range(1, len(w) - {k - 2})) AS s FROM pieces)" for k in range(1, longest + 1))
+    cuts = " UNION ALL ".join(
+        f"SELECT lang, phrase, a, {c} AS cut, array_to_string(w[1:{c}], ' ') AS lp, array_to_string(w[{c + 1}:], ' ') AS rp FROM cand WHERE len > {c}" for c in range(1, longest))
+    inner = " UNION ALL ".join(
+        f"SELECT lang, array_to_string(w[{s}:{s + size - 1}], ' ') AS phrase, a AS around FROM cand WHERE len > {size} AND len >= {s + size - 1}"
+        for size in range(2, longest) for s in range(1, longest - size + 2))
+    return rf"""
+WITH texts AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM (SELECT lang, UNNEST(string_split_regex(t, '[.,;:!?
+-]')) AS p FROM texts)),
+totals AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+f AS (SELECT lang, len, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY lang, len, phrase HAVING COUNT(*) >= {threshold}),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE len > 1),
+cuts AS ({cuts}),
+scored AS (SELECT c.lang, c.phrase, c.a, c.cut, l.a AS l, r.a AS r, CAST((CAST({scale} AS HUGEINT) * c.a) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp),
+least AS (SELECT * FROM scored QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+held AS (SELECT lang, phrase, MAX(around) AS around FROM ({inner}) GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM least s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.around IS NULL OR 100 * CAST(h.around AS HUGEINT) < 80 * CAST(s.a AS HUGEINT))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT k.lang, ROW_NUMBER() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept k JOIN totals t ON t.lang = k.lang)
+WHERE rank <= {first}"""

@@ -85,10 +85,10 @@ def _phrase_names(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 class Bitmap:
-    """Set of hashes by their top bits; bits of hashes that were never added may be set too."""
+    """Set of hashes by their top bits, out of its compressed form; bits of hashes that were never added may be set too."""
 
     def __init__(self, data: bytes, bits: int):
-        self.data, self.shift = np.frombuffer(data, np.uint8), np.uint64(64 - bits)
+        self.data, self.shift = np.frombuffer(zlib.decompress(data), np.uint8), np.uint64(64 - bits)
 
     def holds(self, names: np.ndarray) -> np.ndarray:
         at = (names >> self.shift).astype(np.int64)
@@ -309,7 +309,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     bucket_bits = min(max(0, math.ceil(math.log2(max(1, chars / chars_per_bucket)))), bits - 3)
 
     sc = spark.sparkContext
-    versions = [sc.broadcast(bytes(1 << (bits - 3)))]
+    versions = [sc.broadcast(zlib.compress(bytes(1 << (bits - 3)), 1))]
     state, old, step, last_change = None, None, 0, -1
     while step <= last_change + shards:
         before = versions[step - shards] if step >= shards else None
@@ -325,8 +325,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
             marks[r.bucket * size: (r.bucket + 1) * size] = zlib.decompress(r.flags)
             last_change = step if r.crossed else last_change
         if step >= shards:
-            versions[step - shards].unpersist()
-        versions.append(sc.broadcast(bytes(marks)))
+            versions[step - shards].destroy()  # the counters that it made are written
+        versions.append(sc.broadcast(zlib.compress(bytes(marks), 1)))
         if old:
             remove_path(spark, old)
         state, old, step = path, state, step + 1

@@ -21,6 +21,7 @@ from .simhash import neighbour_likeness
 from .spans import listing
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
+from .vector_codes import compress_vectors, with_label_error
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +123,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_collocations", sql.collocation())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(frames.table(spark, sf_dir, "documents", "text", "lang"))
+
+
+@query("op13_vector_codes", sql.vector_codes())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(frames.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return with_label_error(coded).select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))

@@ -52,7 +52,8 @@ def collocation(threshold: int = 30, longest: int = 4, first: int = 2000, scale:
     return rf"""
 WITH texts AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), '{_UPPER}', '{_LOWER}') AS t FROM documents),
 pieces AS (SELECT lang, regexp_extract_all(p, '[^ 	]+') AS w FROM (SELECT lang, UNNEST(string_split_regex(t, '[.,;:!?
--]')) AS p FROM texts)),
+-
+]')) AS p FROM texts)),
 totals AS (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
 f AS (SELECT lang, len, phrase, COUNT(*) AS a FROM ({grams}) GROUP BY lang, len, phrase HAVING COUNT(*) >= {threshold}),
 cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE len > 1),
@@ -66,3 +67,29 @@ kept AS (SELECT s.* FROM least s LEFT JOIN held h ON h.lang = s.lang AND h.phras
 SELECT lang, rank, phrase, a, l, r, n, score FROM (
   SELECT k.lang, ROW_NUMBER() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept k JOIN totals t ON t.lang = k.lang)
 WHERE rank <= {first}"""
+
+
+def vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Every round's assignment and codebook as one table after another."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (SELECT vec_id, part, entry, d FROM (
+  SELECT x.vec_id, x.part, b.entry, SUM((x.x - b.x) * (x.x - b.x)) AS d FROM points x JOIN book{i} b ON b.part = x.part AND b.dim = x.dim GROUP BY x.vec_id, x.part, b.entry)
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY vec_id, part ORDER BY d, entry) = 1)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.dim, COALESCE(m.x, b.x) AS x FROM book{i} b LEFT JOIN (
+  SELECT n.part, n.entry, p.dim, CAST((SUM(p.x) - ((SUM(p.x) % COUNT(*)) + COUNT(*)) % COUNT(*)) // COUNT(*) AS BIGINT) AS x
+  FROM near{i} n JOIN points p ON p.vec_id = n.vec_id AND p.part = n.part GROUP BY n.part, n.entry, p.dim) m ON m.part = b.part AND m.entry = b.entry AND m.dim = b.dim)""")
+    return f"""
+WITH kept AS (SELECT vec_id, label, [CAST(floor(CAST(e AS DOUBLE) * {scale}) AS BIGINT) for e in embedding] AS v, len(embedding) // {parts} AS size FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0),
+flat AS (SELECT vec_id, size, UNNEST(v) AS x, UNNEST(range(len(v))) AS pos FROM kept),
+points AS MATERIALIZED (SELECT vec_id, pos // size AS part, pos % size AS dim, x FROM flat),
+first AS (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < {entries}),
+book0 AS MATERIALIZED (SELECT p.part, f.entry, p.dim, p.x FROM points p JOIN first f ON f.vec_id = p.vec_id),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(SUM(d) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, dim)) AS sha FROM book{rounds}),
+errors AS (SELECT label, CAST(SUM(error) AS BIGINT) AS label_error FROM kept JOIN coded USING (vec_id) GROUP BY label)
+SELECT k.vec_id, code, error, label_error, sha AS codebooks_sha256
+FROM kept k JOIN coded USING (vec_id) JOIN errors e ON e.label IS NOT DISTINCT FROM k.label CROSS JOIN books"""

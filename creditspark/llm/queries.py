@@ -14,6 +14,7 @@ from .collocation import collocations
 from .decontaminate import find_contamination
 from .jaccard_join import jaccard_components
 from .langid import fit_languages, identify
+from .license_scan import confidence, find_licenses, labels_of
 from .pii import KINDS, find_personal_data
 from .quality import CUT, fit_quality, score_quality
 from .secret_scan import scan_secrets
@@ -125,6 +126,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(frames.table(spark, sf_dir, "documents", "text", "lang"))
 
 
+@query("op12_license_scan")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
+    base = F.filter("detections", lambda d: d["base"])
+    starts = F.transform("base", lambda d: d["start"].cast("long"))
+    return found.select("doc_id", "n_words", "detections", base.alias("base")).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(labels_of(F.col("base")), ",").alias("base_labels"), F.array_join(labels_of(F.col("detections")), ",").alias("labels"), confidence(F.col("detections")).alias("score"))
+
+
 @query("op13_vector_codes", sql.vector_codes())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = compress_vectors(frames.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))

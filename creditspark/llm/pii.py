@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import work_path
-from .spans import in_order, matches, replace_spans
+from .spans import chunks, cut, in_order, let, matches, replace_spans, rewrite, running
 
 KINDS = ["email", "ip", "card", "phone", "term"]
 #: repeated groups are possessive, which changes no match; an e-mail or IP starts at the edge of its run of characters or
@@ -72,7 +72,7 @@ def _entity(kind: str, m: Column) -> Column:
 
 def find_base(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
     """row (a number), key, blob (hash of the text), mentions: array of (start, kind, end, entity) by kind; where there are any,
-    near: the distinct (term, entity) of the ``reach`` words on each side of a mention and of the word parts that touch it,
+    near: the distinct 'term entity' of the ``reach`` words on each side of a mention and of the word parts that touch it,
     body: the text with blanks for the mentions, glued: terms that stand in it only as parts of words.
     """
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -85,34 +85,57 @@ def find_base(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
     rows = rows.select("key", "blob", "text", F.concat(*(mention(k) for k in KINDS[:4])).alias("mentions"))
     held = F.size("mentions") > 0
     rows = rows.select("key", "blob", "text", "mentions", F.when(held, _marked(F.col("text"), F.array_sort("mentions"))).alias("marked"))
-    near = F.array_distinct(F.flatten(F.transform("mentions", lambda m: F.transform(_context(F.col("marked"), m["start"], m["end"], reach), lambda t: F.struct(t.alias("term"), m["entity"].alias("entity"))))))
-    rows = rows.select("key", "blob", "text", "mentions", F.when(held, near).alias("near"), F.translate("marked", MARK, " ").alias("body"))
+    near = F.when(held, _context(F.col("text"), F.col("marked"), F.array_sort("mentions"), reach))
+    rows = rows.select("key", "blob", "text", "mentions", near.alias("near"), F.translate("marked", MARK, " ").alias("body"))
     glued = F.when(held, F.array_except(text_terms(F.col("body")), text_terms(F.col("text"))))
     return rows.select(F.monotonically_increasing_id().alias("row"), "key", "blob", "mentions", "near", "body", glued.alias("glued"))
 
 
 def _marked(text: Column, mentions: Column) -> Column:
     """The text with MARK for every character of a mention but blanks; mentions in order of their starts."""
-    text = F.translate(text, MARK, "\ufffe")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def put(acc: Column, m: Column) -> Column:
-        lo, hi = F.greatest(acc["at"], m["start"]), F.greatest(acc["at"], m["end"])
-        gap = F.substring(text, acc["at"] + 1, lo - acc["at"])
-        return F.struct(hi.alias("at"), F.concat(acc["out"], gap, F.regexp_replace(F.substring(text, lo + 1, hi - lo), _LETTER, MARK)).alias("out"))
+    def put(m: Column, covered: Column, pieces: Column) -> Column:
+        return F.regexp_replace(cut(pieces, F.greatest(covered, m["start"]), F.greatest(covered, m["end"])), _LETTER, MARK)
 
-    return F.aggregate(mentions, start, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return rewrite(F.translate(text, MARK, "\ufffe"), mentions, put)
 
 
-def _context(marked: Column, start: Column, end: Column, reach: int) -> Column:
-    """Terms of the ``reach`` words on each side of a mention, and of the word parts that touch it; words with mentions are none."""
-    side = rf"^[^\s]*+(?:\s++[^\s]++){{0,{reach}}}+"
-    before = F.split(F.reverse(F.regexp_extract(F.reverse(F.substring(marked, F.lit(1), start)), side, 0)), r"\s+", -1)
-    after = F.split(F.regexp_extract(F.substring(marked, end + 1, F.length(marked)), side, 0), r"\s+", -1)
-    whole = F.concat(F.slice(before, F.lit(1), F.size(before) - 1), F.slice(after, F.lit(2), F.size(after)))
-    parts = F.array(F.substring_index(F.element_at(before, -1), MARK, -1), F.substring_index(F.element_at(after, 1), MARK, 1))
-    words = F.concat(F.filter(whole, lambda w: ~F.contains(w, F.lit(MARK))), parts)
-    return F.filter(F.transform(words, term_of), lambda t: t.rlike(r"\p{L}"))
+def _context(text: Column, marked: Column, mentions: Column, reach: int) -> Column:
+    """Distinct 'term entity' of the ``reach`` words on each side of each mention, and of the word parts that touch it; words with
+    mentions are none. Mentions in order of their starts.
+
+    The MARKs are numbered through the text, and two arrays tell of each its word and its run of MARKs, so that a
+    mention finds its neighbours by the numbers of its first and last MARK.
+    """
+    letters = lambda t: F.length(F.regexp_replace(t, r"\s", "")).cast("int")
+    spread = lambda items, count: F.flatten(F.transform(items, lambda x, i: F.array_repeat(i, count(x))))
+    last_word = lambda t: F.element_at(F.split(t, r"\s", -1), -1)
+    first_word = lambda t: F.get(F.split(t, r"\s", -1), F.lit(0))
+
+    def numbered(ms: Column, pieces: Column, before: Column) -> Column:
+        """Mentions with the numbers of their first and last MARK: those covered so far, less what an earlier mention shares."""
+        fresh = F.transform(ms, lambda m, i: letters(cut(pieces, F.greatest(F.get(before, i), m["start"]), F.greatest(F.get(before, i), m["end"]))))
+        first = lambda m, i, so_far: F.get(so_far, i) - letters(cut(pieces, m["start"], F.get(before, i)))
+        return let(running(fresh), lambda so_far: F.transform(ms, lambda m, i: F.struct(
+            m["entity"].alias("entity"), first(m, i, so_far).alias("first"), (first(m, i, so_far) + letters(cut(pieces, m["start"], m["end"])) - 1).alias("last"))))
+
+    def around(m: Column, words: Column, word_of: Column, run_of: Column, gaps: Column) -> Column:
+        lo, hi = F.get(word_of, m["first"]), F.get(word_of, m["last"])
+        before = F.slice(words, F.greatest(lo - reach, F.lit(0)) + 1, F.least(lo, F.lit(reach)))
+        whole = F.concat(before, F.slice(words, hi + 2, F.lit(reach)))
+        run, end = F.get(run_of, m["first"]), F.get(run_of, m["last"])
+        left = F.when(F.coalesce(F.get(run_of, m["first"] - 1) != run, F.lit(True)), last_word(F.get(gaps, run))).otherwise(F.lit(""))
+        right = F.when(F.coalesce(F.get(run_of, m["last"] + 1) != end, F.lit(True)), first_word(F.get(gaps, end + 1))).otherwise(F.lit(""))
+        found = F.concat(F.filter(whole, lambda w: ~F.contains(w, F.lit(MARK))), F.array(left, right))
+        terms = F.filter(F.transform(found, term_of), lambda t: t.rlike(r"\p{L}"))
+        return F.transform(terms, lambda t: F.concat(t, F.lit(" "), m["entity"]))
+
+    places = let(chunks(text), lambda pieces: let(running(F.transform(mentions, lambda m: m["end"]), F.greatest), lambda before: numbered(mentions, pieces, before)))
+    words = F.filter(F.split(marked, r"\s+"), lambda w: w != "")
+    runs = F.regexp_extract_all(marked, F.lit(f"{MARK}++"), F.lit(0))
+    marks = lambda w: F.length(F.regexp_replace(w, f"[^{MARK}]++", ""))
+    return let(words, lambda ws: let(spread(ws, marks), lambda word_of: let(spread(runs, F.length), lambda run_of: let(
+        F.split(marked, f"{MARK}++", -1), lambda gaps: F.array_distinct(F.flatten(F.transform(places, lambda m: around(m, ws, word_of, run_of, gaps))))))))
 
 
 def term_of(word: Column) -> Column:
@@ -126,24 +149,19 @@ def text_terms(text: Column) -> Column:
 
 
 def _occurrences(base: DataFrame) -> DataFrame:
-    """row, term, start, end of every word outside the mentions, for texts with mentions. Offsets are summed over blocks of
-    words, so that the work stays about linear in a long text."""
+    """row, term, start, end of every word outside the mentions, for texts with mentions."""
     words = F.split("body", r"\s", -1)  # one blank ends each: empty ones keep the offsets
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 64).cast("int")), lambda i: F.slice(F.col("w"), i * 64 + 1, F.lit(64)))
-    none = lambda kind: F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<{kind}>>").alias("out"))
-    placed = F.aggregate("blocks", none("at:int,words:array<string>"), lambda a, b: F.struct(
-        F.aggregate(b, a["at"], lambda n, w: n + F.length(w) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), b.alias("words")))).alias("out")), lambda a: a["out"])
-    spans = F.aggregate("block.words", F.struct(F.col("block.at").alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")), lambda a, w: F.struct(
-        (a["at"] + F.length(w) + 1).alias("at"), F.when(w == "", a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), w.alias("m"))))).alias("out")), lambda a: a["out"])
-    rows = base.where(F.size("mentions") > 0).select("row", words.alias("w")).select("row", blocks.alias("blocks"))
-    rows = rows.select("row", F.explode(placed).alias("block")).select("row", F.explode(spans).alias("s"))
+    placed = let(words, lambda ws: let(running(F.transform(ws, lambda w: F.length(w) + 1)), lambda starts: F.filter(
+        F.transform(ws, lambda w, i: F.struct(F.get(starts, i).alias("start"), w.alias("m"))), lambda s: s["m"] != "")))
+    rows = base.where(F.size("mentions") > 0).select("row", F.explode(placed).alias("s"))
     return rows.select("row", term_of(F.col("s.m")).alias("term"), F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.m")).alias("end"))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, text: str, threshold: float, support: int) -> DataFrame:
     """row, spans of all terms of a text that reveal an entity mentioned in it. Every count is one of distinct texts."""
     held = base.where(F.size("mentions") > 0)
-    pairs = held.select("blob", F.explode("near").alias("n")).groupBy("n.term", "n.entity").agg(F.count_distinct("blob").alias("both")).where(F.col("both") >= support)
+    near = held.select("blob", F.explode("near").alias("near")).select("blob", F.split("near", " ", 2).alias("n")).select("blob", F.get("n", F.lit(0)).alias("term"), F.get("n", F.lit(1)).alias("entity"))
+    pairs = near.groupBy("term", "entity").agg(F.count_distinct("blob").alias("both")).where(F.col("both") >= support)
     mentions = held.select("row", "blob", F.explode(F.array_distinct(F.transform("mentions", lambda m: m["entity"]))).alias("entity"))
     entities = mentions.groupBy("entity").agg(F.count_distinct("blob").alias("n_entity"))
     # document frequency of every term: equal texts are one row of equal terms, then partial sums per task
@@ -175,8 +193,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
     terms = disclosing_terms(docs, base, text, threshold, support)
     plain = F.transform("mentions", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end")))
     joined = base.select("row", "key", "blob", "mentions").join(terms, "row", "left")
-    # a term inside a base span is that span already
-    extra = F.filter(F.coalesce("terms", F.array().cast(SPANS)), lambda t: ~F.exists(plain, lambda m: (t["start"] < m["end"]) & (m["start"] < t["end"])))
+    extra = F.coalesce("terms", F.array().cast(SPANS))  # words of the text without its mentions, so none meets a base span
     return joined.select(F.col("key").alias(key), "blob", in_order(plain, KINDS).alias("base"), in_order(F.concat(plain, extra), KINDS).alias("spans"))
 
 

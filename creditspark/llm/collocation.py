@@ -5,13 +5,14 @@
    phrase from the scan on in which both its subphrases (without its last word, without its first) have reached the threshold. Every
    phrase is counted for one full cycle from its activation; one that is then below the threshold is forgotten. The cycles end
    when no phrase has reached the threshold for a whole cycle.
-3. A last scan finds the words of the phrases that are left, and joins give their scores.
+3. A phrase that reaches the threshold remembers one group of slices that it was counted in. A last scan spells each phrase out
+   there and nowhere else, and joins give their scores.
 
 Phrases are named by 64-bit hashes (n of them collide with a probability of about n**2 / 2**65). Tasks add up their
 occurrences before the shuffle, so a frequent phrase is one number a task; counters are merged in buckets by hash, whose
 number grows with the input. What reached the threshold goes to the next scan as a bitmap of fixed size (``bits``), one bit
 a hash: a phrase that shares the bit of an active one is counted too early, which costs time and changes no count, and a
-full bitmap would mean that all phrases are counted. A position whose phrase was active at the shard's last visit has been
+full bitmap would mean that all phrases are counted. A bitmap of (phrase, group) pairs does the same for the spelling. A position whose phrase was active at the shard's last visit has been
 counted, so two bitmaps, the last visit's and the present one, tell what is new.
 """
 
@@ -36,7 +37,7 @@ SHARDS = 4
 #: bits of the bitmap of active phrases: 2 ** 27 bits are 16 MB
 BITS = 27
 CHARS_PER_BUCKET = 4_000_000
-#: occurrences that a task holds before it adds them up
+#: distinct phrases that a task holds before it adds them up
 HELD = 2_000_000
 #: salts of the first rounds of a ranking
 SALTS = (256, 16)
@@ -48,8 +49,11 @@ BREAKS[0x0A:0x0E] = True
 KINDS = ~BREAKS
 KINDS[[0x20, 0x09]] = False
 
-_COUNTS = "bucket int, len int, since int, names binary, counts binary"
-_STATE = _COUNTS + ", flags binary, crossed long"
+#: slices of a group, the unit in which a task adds up and in which a phrase's home is kept
+GROUP = 16
+
+_COUNTS = "bucket int, len int, since int, home long, names binary, counts binary"
+_STATE = "bucket int, len int, since int, names binary, counts binary, homes binary, flags binary, crossed long"
 
 
 # --- words and phrases of a slice
@@ -95,6 +99,12 @@ class Bitmap:
         return (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+def _paired(names: np.ndarray, homes: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """Hashes of (name, home) that keep the name's bucket."""
+    low = np.uint64((1 << (64 - bucket_bits)) - 1)
+    return (names & ~low) | (A.mix(names ^ A.mix(homes.astype(np.uint64))) & low)
+
+
 class Tally:
     """Occurrences by phrase length, added up whenever there are many."""
 
@@ -136,31 +146,37 @@ def _unpack_counts(data: bytes) -> np.ndarray:
 
 # --- tasks
 
-_SHARD = pa.schema([("shard", pa.int32()), ("names", pa.binary()), ("codes", pa.binary()),
-                    ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
+_SHARD = pa.schema([("shard", pa.int32()), ("home", pa.int64()), ("names", pa.binary()), ("codes", pa.binary()), ("words", pa.binary()), ("sizes", pa.binary()),
+                    ("lang", pa.binary()), ("totals", pa.list_(pa.struct([("lang", pa.string()), ("n", pa.int64())])))])
+_SHARD_SQL = "shard int, home long, names binary, codes binary, words binary, sizes binary, lang binary, totals array<struct<lang:string,n:long>>"
 
 
 def _encode(shards: int):
+    """Slices as numbered words: codes (number, and whether the next word is in the same piece) and, per number, hash, spelling and language."""
+
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = TaskContext.get().partitionId()
+        task, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
             for words, h, joined, lang, langs in _slices(batch):
                 if not len(h):
                     continue
-                names, code = np.unique(h, return_inverse=True)
-                codes = (code.astype(np.uint32) << np.uint32(1)) | joined
-                totals = [{"lang": langs[i], "n": int(n)} for i, n in enumerate(np.bincount(lang)) if n]
-                yield pa.RecordBatch.from_pylist([{"shard": turn % shards, "names": names.tobytes(), "codes": codes.astype("<u4").tobytes(), "totals": totals}], _SHARD)
+                names, first, code = np.unique(h, return_index=True, return_inverse=True)
+                size = words.end[first] - words.start[first]
+                count = np.bincount(lang, minlength=len(langs))
+                yield pa.RecordBatch.from_pylist([{
+                    "shard": (task + turn) % shards, "home": task << 24 | turn // (GROUP * shards) * shards + turn % shards, "names": names.tobytes(),
+                    "codes": ((code.astype(np.uint32) << np.uint32(1)) | joined).astype("<u4").tobytes(), "words": words.buf[A.ragged(words.start[first], size)[0]].tobytes(),
+                    "sizes": size.astype("<u4").tobytes(), "lang": lang[first].astype("<u2").tobytes(), "totals": [{"lang": name, "n": int(n)} for name, n in zip(langs, count, strict=True)]}], _SHARD)
                 turn += 1
     return encode
 
 
 def _scan(step: int, longest: int, bucket_bits: int, bits: int, now, before):
     """Counts what is active by bitmap ``now`` and was not by ``before`` (the bitmap of the shard's last visit, None if there was none)."""
-    schema = pa.schema([("bucket", pa.int32()), ("len", pa.int32()), ("since", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("len", pa.int32()), ("since", pa.int32()), ("home", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
 
-    def send(tally: Tally) -> Iterator[pa.RecordBatch]:
-        rows = [{"bucket": b, "len": length, "since": step, "names": pack(names[lo:hi]), "counts": _pack_counts(counts[lo:hi])}
+    def send(tally: Tally, home: int | None) -> Iterator[pa.RecordBatch]:
+        rows = [{"bucket": b, "len": length, "since": step, "home": home, "names": pack(names[lo:hi]), "counts": _pack_counts(counts[lo:hi])}
                 for length, names, counts in tally.flush() for b, lo, hi in _by_bucket(names, bucket_bits)]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -168,9 +184,12 @@ def _scan(step: int, longest: int, bucket_bits: int, bits: int, now, before):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = Bitmap(now.value, bits)
         earlier = Bitmap(before.value, bits) if before is not None else None
-        tally = Tally()
+        tally, home = Tally(), None
         for batch in batches:
-            for names, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at_home, names, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at_home != home or tally.held >= HELD:
+                    yield from send(tally, home)
+                    home = at_home
                 names, codes = np.frombuffer(names, np.uint64), np.frombuffer(codes, "<u4")
                 word, joined = codes >> 1, (codes[:-1] & 1).astype(bool)
                 h = names[word]
@@ -189,15 +208,20 @@ def _scan(step: int, longest: int, bucket_bits: int, bits: int, now, before):
                     has[at] = active.holds(phrase)
                     if earlier:
                         had[at] = done & earlier.holds(phrase)
-                if tally.held >= HELD:
-                    yield from send(tally)
-        yield from send(tally)
+        yield from send(tally, home)
     return scan
 
 
 def _merge(step: int, shards: int, threshold: int, longest: int, bucket_bits: int, bits: int):
     """Adds up a bucket's counters; of those whose cycle is over, the ones below the threshold go."""
 
+    def homes_of(row: int, size: int, table: pa.Table) -> np.ndarray:
+        """Of a task's counts its group; of counters that reached the threshold theirs; -1 of the others."""
+        if (home := table["home"][row].as_py()) is not None:
+            return np.full(size, home, np.int64)
+        kept = table["homes"][row].as_py()
+        return _unpack_counts(kept) if kept is not None else np.full(size, -1, np.int64)
+
     def merge(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         length, since = table["len"].to_numpy(), table["since"].to_numpy()
@@ -210,82 +234,85 @@ def _merge(step: int, shards: int, threshold: int, longest: int, bucket_bits: in
             runs = [unpack(table["names"][int(i)].as_py()) for i in held]
             names, counts = np.concatenate(runs), np.concatenate([_unpack_counts(table["counts"][int(i)].as_py()) for i in held])
             begun = np.repeat(since[held], [len(r) for r in runs])
+            homes = np.concatenate([homes_of(int(i), len(r), table) for i, r in zip(held, runs, strict=True)])
             order = np.argsort(names, kind="stable")
-            names, counts, begun = names[order], counts[order], begun[order]
+            names, counts, begun, homes = names[order], counts[order], begun[order], homes[order]
             first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
             total, old = np.add.reduceat(counts, first), np.add.reduceat(np.where(begun < step, counts, 0), first)
-            names, begun = names[first], np.minimum.reduceat(begun, first)
+            names, begun, homes = names[first], np.minimum.reduceat(begun, first), np.maximum.reduceat(homes, first)
             reached = total >= threshold
             if k < longest:
                 crossed += int((reached & (old < threshold)).sum())
             marks[(names[reached] >> np.uint64(64 - bits)).astype(np.int64) & (len(marks) - 1)] = True
-            stays = reached | (begun + shards - 1 > step)
-            for s in np.unique(begun[stays]):
-                mine = stays & (begun == s)
-                rows.append((bucket, k, int(s), pack(names[mine]), _pack_counts(total[mine]), None, None))
-        rows.append((bucket, 0, step, None, None, zlib.compress(np.packbits(marks).tobytes(), 1), crossed))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "len", "since", "names", "counts", "flags", "crossed"])
+            for s in np.unique(begun):
+                for mine in ((begun == s) & reached, (begun == s) & ~reached):
+                    done = s + shards - 1 <= step
+                    if mine.any() and (reached[mine][0] or not done):
+                        rows.append((bucket, k, int(s), pack(names[mine]), _pack_counts(total[mine]), _pack_counts(homes[mine]) if reached[mine][0] else None, None, None))
+        rows.append((bucket, 0, step, None, None, None, zlib.compress(np.packbits(marks).tobytes(), 1), crossed))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                        names=["bucket", "len", "since", "names", "counts", "homes", "flags", "crossed"])
     return merge
 
 
-def _finished(threshold: int):
-    schema = pa.schema([("name", pa.int64()), ("a", pa.int64())])
+def _pair_bits(bucket_bits: int, bits: int):
+    """The bits of (phrase, home) of a bucket's finished phrases."""
 
-    def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for names, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = _unpack_counts(counts)
-                mine = counts >= threshold
-                yield pa.RecordBatch.from_arrays([pa.array(unpack(names)[mine].view(np.int64)), pa.array(counts[mine])], schema=schema)
-    return finished
+    def pair_bits(table: pa.Table) -> pa.Table:
+        marks = np.zeros(1 << (bits - bucket_bits), bool)
+        for names, homes in zip(table["names"].to_pylist(), table["homes"].to_pylist(), strict=True):
+            pairs = _paired(unpack(names), _unpack_counts(homes), bucket_bits)
+            marks[(pairs >> np.uint64(64 - bits)).astype(np.int64) & (len(marks) - 1)] = True
+        return pa.table({"bucket": table["bucket"][:1], "flags": pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())})
+    return pair_bits
 
 
-def _spell(longest: int, bits: int, marks):
-    """name, lang, len and words of the phrases that the bitmap holds, once for every ``HELD`` of them that a task meets."""
-    schema = pa.schema([("name", pa.int64()), ("lang", pa.string()), ("len", pa.int32()), ("phrase", pa.string())])
+def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("name", pa.int64()), ("a", pa.int64())])
+    for batch in batches:
+        for names, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(unpack(names).view(np.int64)), pa.array(_unpack_counts(counts))], schema=schema)
+
 
-    def texts(words: A.Words, at: np.ndarray, length: int) -> pa.Array:
-        each = (at[:, None] + np.arange(length)).ravel()
-        size = words.end[each] - words.start[each] + 1  # with the blank or break after the word
-        size[length - 1:: length] -= 1
-        index, offsets = A.ragged(words.start[each], size)
-        out = words.buf[index]
-        inner = np.ones(len(each), bool)
-        inner[length - 1:: length] = False
-        out[offsets[1:][inner] - 1] = A.SPACE
-        return A.text_array(offsets[:: length], out)
-
-    def send(parts: list) -> pa.RecordBatch:
-        names = np.concatenate([p[0] for p in parts])
-        _, first = np.unique(names, return_index=True)
-        lang, length, phrase = (pa.concat_arrays([p[i] for p in parts]).take(pa.array(first)) for i in (1, 2, 3))
-        return pa.RecordBatch.from_arrays([pa.array(names[first].view(np.int64)), lang, length, phrase], schema=schema)
+def _spell(longest: int, bucket_bits: int, bits: int, marks, pairs):
+    """name, lang, len and words of the phrases of bitmap ``marks`` in the slices of their homes."""
+    schema = pa.schema([("name", pa.int64()), ("lang", pa.string()), ("len", pa.int32()), ("phrase", pa.string())])
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, parts, held = Bitmap(marks.value, bits), [], 0
+        kept, at_home = Bitmap(marks.value, bits), Bitmap(pairs.value, bits)
         for batch in batches:
-            for words, h, joined, lang, langs in _slices(batch):
-                at, has = np.arange(len(h)), None
+            for row in batch.to_pylist():
+                names, codes = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["codes"], "<u4")
+                size = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+                start = np.cumsum(size) - size
+                text = np.append(np.frombuffer(row["words"], np.uint8), np.uint8(A.SPACE))
+                langs = pa.array([t["lang"] for t in row["totals"]], pa.string())
+                lang = np.frombuffer(row["lang"], "<u2").astype(np.int64)
+                word, joined = (codes >> 1).astype(np.int64), (codes[:-1] & 1).astype(bool)
+                h, has = names[word], np.zeros(0, bool)
                 for length in range(1, longest + 1):
-                    if length > 1:
-                        at = np.flatnonzero(joined[:-1] & has[:-1] & has[1:])
-                    if not len(at):
-                        break
-                    names = _phrase_names(h, at, length)
-                    mine = kept.holds(names)
+                    at = np.arange(len(h)) if length == 1 else np.flatnonzero(joined & has[:-1] & has[1:])
+                    phrase = _phrase_names(h, at, length)
+                    mine = kept.holds(phrase)
                     has = np.zeros(len(h), bool)
                     has[at[mine]] = True
-                    names, first = np.unique(names[mine], return_index=True)
-                    if len(names):
-                        where = at[mine][first]
-                        parts.append((names, pa.array(langs, pa.string()).take(pa.array(lang[where])), pa.array(np.full(len(names), length, np.int32)), texts(words, where, length)))
-                        held += len(names)
-            if held >= HELD // 4:
-                yield send(parts)
-                parts, held = [], 0
-        if parts:
-            yield send(parts)
+                    phrase, first = np.unique(phrase[mine], return_index=True)
+                    here = at_home.holds(_paired(phrase, np.full(len(phrase), row["home"], np.int64), bucket_bits))
+                    phrase, first = phrase[here], at[mine][first[here]]
+                    if not len(phrase):
+                        if not has.any():
+                            break
+                        continue
+                    each = word[(first[:, None] + np.arange(length)).ravel()]
+                    # every word and the byte after it, which becomes the blank; the last word without
+                    more = np.ones(len(each), np.int64)
+                    more[length - 1:: length] = 0
+                    index, offsets = A.ragged(start[each], size[each] + more)
+                    out = text[index]
+                    out[offsets[1:][more == 1] - 1] = A.SPACE
+                    yield pa.RecordBatch.from_arrays([pa.array(phrase.view(np.int64)), langs.take(pa.array(lang[word[first]])), pa.array(np.full(len(phrase), length, np.int32)),
+                                                      A.text_array(offsets[:: length], out)], schema=schema)
     return spell
 
 
@@ -302,39 +329,47 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     prepare(spark)
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
     coded = work_path(spark, "dic-shards")
-    kind = "shard int, names binary, codes binary, totals array<struct<lang:string,n:long>>"
-    rows.mapInArrow(_encode(shards), kind).write.partitionBy("shard").parquet(coded)
-    coded = spark.read.schema(kind).parquet(coded)
+    rows.mapInArrow(_encode(shards), _SHARD_SQL).write.partitionBy("shard").parquet(coded)
+    coded = spark.read.schema(_SHARD_SQL).parquet(coded)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bucket_bits = min(max(0, math.ceil(math.log2(max(1, chars / chars_per_bucket)))), bits - 3)
 
+    def bitmap(flags: DataFrame) -> bytes:
+        """One bitmap out of its buckets' parts; the driver holds no more than that."""
+        marks = bytearray(1 << (bits - 3))
+        size = len(marks) >> bucket_bits
+        for r in flags.select("bucket", "flags").toLocalIterator():
+            marks[r.bucket * size: (r.bucket + 1) * size] = zlib.decompress(r.flags)
+        return zlib.compress(bytes(marks), 1)
+
     sc = spark.sparkContext
     versions = [sc.broadcast(zlib.compress(bytes(1 << (bits - 3)), 1))]
     state, old, step, last_change = None, None, 0, -1
     while step <= last_change + shards:
         before = versions[step - shards] if step >= shards else None
-        slices = coded.where(F.col("shard") == step % shards).select("names", "codes")
+        slices = coded.where(F.col("shard") == step % shards).select("home", "names", "codes")
         sent = slices.mapInArrow(_scan(step, longest, bucket_bits, bits, versions[step], before), _COUNTS)
-        if state:
-            sent = sent.union(spark.read.parquet(state).where("len > 0").select("bucket", "len", "since", "names", "counts"))
+        have = spark.read.parquet(state).where("len > 0").drop("flags", "crossed") if state else spark.createDataFrame([], "bucket int, homes binary")
+        sent = sent.unionByName(have, allowMissingColumns=True)
         path = work_path(spark, f"dic-counters-{step}")
         sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE).write.parquet(path)
-        marks = bytearray(1 << (bits - 3))
-        size = len(marks) >> bucket_bits
-        for r in spark.read.parquet(path).where("len = 0").select("bucket", "flags", "crossed").toLocalIterator():  # together at most one bitmap
-            marks[r.bucket * size: (r.bucket + 1) * size] = zlib.decompress(r.flags)
-            last_change = step if r.crossed else last_change
+        flags = spark.read.parquet(path).where("len = 0")
+        if flags.where("crossed > 0").count():
+            last_change = step
         if step >= shards:
             versions[step - shards].destroy()  # the counters that it made are written
-        versions.append(sc.broadcast(zlib.compress(bytes(marks), 1)))
+        versions.append(sc.broadcast(bitmap(flags)))
         if old:
             remove_path(spark, old)
         state, old, step = path, state, step + 1
-    counters = spark.read.parquet(state).where("len > 0").select("names", "counts").mapInArrow(_finished(threshold), "name long, a long")
-    spelt = rows.mapInArrow(_spell(longest, bits, versions[-1]), "name long, lang string, len int, phrase string").distinct()
+    finished = spark.read.parquet(state).where("homes is not null")
+    pairs = sc.broadcast(bitmap(finished.select("bucket", "names", "homes").groupBy("bucket").applyInArrow(_pair_bits(bucket_bits, bits), "bucket int, flags binary")))
+    counters = finished.select("names", "counts").mapInArrow(_finished, "name long, a long")
+    slices = coded.select("home", "names", "codes", "words", "sizes", "lang", "totals")
+    spelt = slices.mapInArrow(_spell(longest, bucket_bits, bits, versions[-1], pairs), "name long, lang string, len int, phrase string").distinct()
     path = work_path(spark, "dic-phrases")
     spelt.join(counters, "name").select("lang", "phrase", "len", "a").write.parquet(path)
-    totals = coded.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n"))
+    totals = coded.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")).where("n > 0")
     return spark.read.parquet(path), totals
 
 

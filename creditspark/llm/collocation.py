@@ -1,6 +1,6 @@
 """Phrase collocations by dynamic itemset counting.
 
-1. Texts are cut into pieces and words once; slices of documents are written as numbered words, dealt over ``shards`` shards.
+1. Texts are cut into pieces and words once; slices of documents are written as numbered words. The files are dealt over ``shards`` shards.
 2. Shards are scanned in turn, over and over. A scan counts all lengths at once: the words on the first visit, and a longer
    phrase from the scan on in which both its subphrases (without its last word, without its first) have reached the threshold. Every
    phrase is counted for one full cycle from its activation; one that is then below the threshold is forgotten. The cycles end
@@ -164,7 +164,7 @@ def _encode(shards: int):
                 size = words.end[first] - words.start[first]
                 count = np.bincount(lang, minlength=len(langs))
                 yield pa.RecordBatch.from_pylist([{
-                    "shard": (task + turn) % shards, "home": task << 24 | turn // (GROUP * shards) * shards + turn % shards, "names": names.tobytes(),
+                    "shard": task % shards, "home": task << 24 | turn // GROUP, "names": names.tobytes(),
                     "codes": ((code.astype(np.uint32) << np.uint32(1)) | joined).astype("<u4").tobytes(), "words": words.buf[A.ragged(words.start[first], size)[0]].tobytes(),
                     "sizes": size.astype("<u4").tobytes(), "lang": lang[first].astype("<u2").tobytes(), "totals": [{"lang": name, "n": int(n)} for name, n in zip(langs, count, strict=True)]}], _SHARD)
                 turn += 1
@@ -329,7 +329,8 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     prepare(spark)
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
     coded = work_path(spark, "dic-shards")
-    rows.mapInArrow(_encode(shards), _SHARD_SQL).write.partitionBy("shard").parquet(coded)
+    # a file has one shard, so its statistics spare the scans of the others; a folder per shard would sort the slices in memory
+    rows.mapInArrow(_encode(shards), _SHARD_SQL).write.parquet(coded)
     coded = spark.read.schema(_SHARD_SQL).parquet(coded)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bucket_bits = min(max(0, math.ceil(math.log2(max(1, chars / chars_per_bucket)))), bits - 3)

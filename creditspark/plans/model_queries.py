@@ -40,6 +40,13 @@ def _smote_sql() -> str:
     axes = " UNION ALL ".join(
         f"SELECT loan_id, {t} AS t, " + " + ".join(f"{c} * CAST({w} AS DOUBLE)" for c, w in zip(qf, R.axis(t, len(qf)))) + " AS p FROM mino"
         for t in range(R.PROJECTIONS))
+    rounds = "".join(f"""members{i} AS MATERIALIZED (SELECT ka AS m, kb AS v FROM near{i} UNION SELECT m, v FROM (SELECT kb AS m, ka AS v FROM near{i}
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY kb ORDER BY d2, {mix2_sql('kb', 'ka', R.PAIR_SEED)}, ka) <= {R.NEAR})),
+pairs{i} AS (SELECT a.v AS ka, b.v AS kb FROM members{i} a JOIN members{i} b ON a.m = b.m WHERE a.v <> b.v
+  UNION SELECT ka, kb FROM near{i} UNION SELECT kb, ka FROM near{i}),
+near{i + 1} AS MATERIALIZED (SELECT ka, kb, {dist} AS d2 FROM pairs{i} p JOIN mino a ON a.loan_id = p.ka JOIN mino b ON b.loan_id = p.kb
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY ka ORDER BY d2, {mix2_sql('ka', 'kb', R.PAIR_SEED)}, kb) <= {R.NEAR}),
+""" for i in range(R.ROUNDS))
     # + 0: DuckDB keeps the sign of a zero
     interp = ", ".join(f"ROUND(a.{c} + g.u * (b.{c} - a.{c}), 6) + CAST(0 AS DOUBLE) AS {c}" for c in qf)
     base = ", ".join(f"ROUND({c}, 6) AS {c}" for c in qf)
@@ -58,9 +65,10 @@ placed AS (SELECT loan_id, t, ROW_NUMBER() OVER (PARTITION BY t ORDER BY p, loan
 steps AS (SELECT UNNEST(generate_series(-{R.RANKS}, {R.RANKS})) AS step),
 cand AS (SELECT DISTINCT a.loan_id AS ka, b.loan_id AS kb FROM placed a CROSS JOIN steps s
   JOIN placed b ON b.t = a.t AND b.place = a.place + s.step WHERE a.loan_id <> b.loan_id),
-nn AS (SELECT ka, kb, rn - 1 AS r FROM (
-  SELECT c.ka, c.kb, ROW_NUMBER() OVER (PARTITION BY c.ka ORDER BY {dist}, c.kb) AS rn
-  FROM cand c JOIN mino a ON a.loan_id = c.ka JOIN mino b ON b.loan_id = c.kb) WHERE rn <= {SMOTE_K}),
+near0 AS MATERIALIZED (SELECT ka, kb, {dist} AS d2 FROM cand c JOIN mino a ON a.loan_id = c.ka JOIN mino b ON b.loan_id = c.kb
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY ka ORDER BY d2, kb) <= {R.NEAR}),
+{rounds}
+nn AS (SELECT ka, kb, ROW_NUMBER() OVER (PARTITION BY ka ORDER BY d2, {mix2_sql('ka', 'kb', R.PAIR_SEED)}, kb) - 1 AS r FROM near{R.ROUNDS} QUALIFY r < {SMOTE_K}),
 kk AS (SELECT ka, COUNT(*) AS k FROM nn GROUP BY ka),
 gen AS (SELECT loan_id, c, UNNEST(generate_series(1, c)) AS copy_no FROM copies WHERE c > 0),
 draws AS (SELECT gen.loan_id, gen.copy_no,

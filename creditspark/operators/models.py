@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import assign_nearest, silhouette_sq
+from .ledger import FitLedger, data_digest, setting_name
 
 # ---- Fixed values (the reference's settings) --------------------------------
 # Boosted-tree defaults of the reference's library.
@@ -90,7 +91,10 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> Da
 
 
 def prefix_model(model: PipelineModel, n: int) -> PipelineModel:
-    """The model after its first ``n`` boosting rounds: boosting is sequential, so it equals a fit with n rounds."""
+    """The model after its first ``n`` boosting rounds: boosting is sequential, so it equals a fit with n rounds.
+
+    Needs a classic session (not Spark Connect): the shorter model is made through the JVM gateway.
+    """
     gbt = model.stages[-1]
     sc = SparkContext._active_spark_context
     java, gw = gbt._java_obj, sc._gateway
@@ -106,42 +110,58 @@ def prefix_model(model: PipelineModel, n: int) -> PipelineModel:
 
 def grid_search(train: DataFrame, features: Sequence[str], label: str = "loan_status",
                 grid: dict[str, list] | None = None, folds: int = 5, parallelism: int = 4,
-                seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+                seed: int = 42, ledger: str | None = None, max_fits: int | None = None) -> tuple[PipelineModel | None, DataFrame]:
     """M2 cross-validated grid search scored by accuracy. Returns the best model (first maximum in grid order), refitted on all
     rows, and a table of every setting with its mean fold accuracy.
 
     Settings that differ only in ``n_estimators`` share one fit of the longest run per fold; the shorter
     ones are read from its first rounds (288 settings of the full grid are 48 fits a fold).
+
+    With ``ledger`` (a lasting folder) each fit is committed there and fits that it has are not run again, so a run that was killed
+    goes on where it stopped, and runs of ``max_fits`` fits each add up to the whole grid. It holds results per content of ``train``: keep
+    that table as a stage. While fits are missing there is no model, and the settings they belong to have no accuracy.
     """
     grid = grid or GBT_GRID
     names = list(grid)
     settings = [dict(zip(names, v)) for v in itertools.product(*[grid[n] for n in names])]
     rest = [n for n in names if n != "n_estimators"]
+    rounds = lambda s: int(s.get("n_estimators", GBT_DEFAULTS["n_estimators"]))
+    shared = lambda s: {n: s[n] for n in rest}
     data = train.select(*features, F.col(label).cast("double").alias(label),
                         F.pmod(F.xxhash64(F.lit(seed), *features), F.lit(folds)).alias("_fold")).persist(StorageLevel.MEMORY_AND_DISK)
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
-    jobs = list(itertools.product(dict.fromkeys(tuple(s[n] for n in rest) for s in settings), range(folds)))
+    sizes: dict[str, list[int]] = {}
+    for s in settings:
+        sizes.setdefault(setting_name(shared(s)), []).append(rounds(s))
 
     def run(job) -> dict:
-        values, fold = job
-        sizes = sorted({int(s.get("n_estimators", GBT_DEFAULTS["n_estimators"])) for s in settings if tuple(s[n] for n in rest) == values})
-        fitted = gbt_pipeline(features, label, seed, **{**dict(zip(rest, values)), "n_estimators": sizes[-1]}).fit(data.where(F.col("_fold") != fold))
+        setting, fold = job
+        name = setting_name(setting)
+        wanted = sorted(set(sizes[name]))
+        fitted = gbt_pipeline(features, label, seed, **{**setting, "n_estimators": wanted[-1]}).fit(data.where(F.col("_fold") != fold))
         held = data.where(F.col("_fold") == fold)
-        return {(values, fold, n): ev.evaluate(prefix_model(fitted, n).transform(held)) for n in sizes}
+        accuracy = {n: ev.evaluate(prefix_model(fitted, n).transform(held)) for n in wanted}
+        if book:
+            book.commit(setting, fold, accuracy)
+        return {(name, fold, n): a for n, a in accuracy.items()}
 
-    found: dict = {}
     try:
+        book = FitLedger(train.sparkSession, ledger, data_digest(data.drop("_fold")), folds, seed) if ledger else None
+        found = book.known() if book else {}
+        distinct = list({setting_name(shared(s)): shared(s) for s in settings}.values())
+        jobs = [(s, f) for s, f in itertools.product(distinct, range(folds)) if any((setting_name(s), f, n) not in found for n in sizes[setting_name(s)])]
         with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            for part in pool.map(run, jobs):
+            for part in pool.map(run, jobs[:max_fits]):
                 found.update(part)
         rows, best = [], None
         for i, s in enumerate(settings):
-            n = int(s.get("n_estimators", GBT_DEFAULTS["n_estimators"]))
-            mean = sum(found[tuple(s[x] for x in rest), f, n] for f in range(folds)) / folds
-            rows.append((i, *[float(v) if isinstance(v, float) else v for v in s.values()], float(mean)))
-            if best is None or mean > best[0]:
+            parts = [found.get((setting_name(shared(s)), f, rounds(s))) for f in range(folds)]
+            mean = None if None in parts else sum(parts) / folds
+            rows.append((i, *[float(v) if isinstance(v, float) else v for v in s.values()], mean))
+            if mean is not None and (best is None or mean > best[0]):
                 best = mean, s
-        model = gbt_pipeline(features, label, seed, **best[1]).fit(data)
+        whole = all(r[-1] is not None for r in rows)
+        model = gbt_pipeline(features, label, seed, **best[1]).fit(data) if whole else None
     finally:
         data.unpersist()
     schema = "setting int, " + ", ".join(

@@ -111,18 +111,21 @@ def train_classifier(raw: DataFrame, stage_dir: str, seed: int = 42, split_first
 
 
 def tune_classifier(raw: DataFrame, stage_dir: str, grid: dict[str, list] | None = None, folds: int = 5, seed: int = 42,
-                    parallelism: int = 4, **untuned) -> tuple[ClassifierBundle, ClassifierBundle, DataFrame, DataFrame]:
+                    parallelism: int = 4, ledger: str | None = None, max_fits: int | None = None,
+                    **untuned) -> tuple[ClassifierBundle, ClassifierBundle | None, DataFrame, DataFrame]:
     """M2 + V8: the model with default settings, the best of the grid refitted on all training rows, the table of all
     settings, and the before/after table of both on the same held-out rows.
 
+    ``ledger`` and ``max_fits`` are those of ``grid_search``; while fits are missing there is no tuned model and no row of it.
+
     As in the reference, folds are cut after oversampling: a synthetic row and its parents may fall into different
     folds, so fold accuracies are optimistic; the held-out rows are not touched by it.
     """
     p = prepare_classifier(raw, stage_dir, seed)
     plain = M.fit_gbt(p.balanced, p.features, LABEL, seed, **untuned)
-    best, table = M.grid_search(p.balanced, p.features, LABEL, grid, folds, parallelism, seed)
-    scored = {name: write_stage(p.score(m), name, f"{stage_dir}/scored_{name}") for name, m in (("untuned", plain), ("tuned", best))}
-    return p.bundle(plain), p.bundle(best), table, V.stage_comparison(scored)
+    best, table = M.grid_search(p.balanced, p.features, LABEL, grid, folds, parallelism, seed, ledger, max_fits)
+    scored = {name: write_stage(p.score(m), name, f"{stage_dir}/scored_{name}") for name, m in (("untuned", plain), ("tuned", best)) if m is not None}
+    return p.bundle(plain), p.bundle(best) if best is not None else None, table, V.stage_comparison(scored)
 
 
 # ---- clusterer ------------------------------------------------------------------

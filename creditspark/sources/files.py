@@ -57,6 +57,11 @@ def write_loan_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "stages", name)
 

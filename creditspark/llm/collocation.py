@@ -34,11 +34,11 @@ from .frames import prepare, remove_path, work_path
 from .substring_dedup import pack, unpack
 
 SHARDS = 4
-#: bits of the bitmap of active phrases: 2 ** 27 bits are 16 MB
+#: log2 of the most bits of the bitmap of active phrases (2 ** 27 bits are 16 MB); a text of fewer characters has a bit each
 BITS = 27
 CHARS_PER_BUCKET = 4_000_000
-#: distinct phrases that a task holds before it adds them up
-HELD = 2_000_000
+#: distinct phrases that a task holds before it adds them up, bytes of a slice
+HELD, SLICE = 1_000_000, 500_000
 #: salts of the first rounds of a ranking
 SALTS = (256, 16)
 NO_LANG = "und"
@@ -70,7 +70,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[A.Words, np.ndarray, np.nda
     """(words, their hashes with the language mixed in, whether the next word stands in the same piece, language index per word, languages)."""
     offsets, raw = A.utf8(batch.column(0))
     names, code, hashes = _lang_codes(batch.column(1))
-    for lo, hi in A.cuts(offsets):
+    for lo, hi in A.cuts(offsets, SLICE):
         words = A.Words(offsets[lo: hi + 1] - offsets[lo], raw[offsets[lo]: offsets[hi]], lower=True, kinds=KINDS)
         lang = np.repeat(code[lo:hi], words.n_words)
         ends = BREAKS[words.buf]
@@ -333,6 +333,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     rows.mapInArrow(_encode(shards), _SHARD_SQL).write.parquet(coded)
     coded = spark.read.schema(_SHARD_SQL).parquet(coded)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(bits, max(16, int(chars).bit_length()))
     bucket_bits = min(max(0, math.ceil(math.log2(max(1, chars / chars_per_bucket)))), bits - 3)
 
     def bitmap(flags: DataFrame) -> bytes:

@@ -38,7 +38,7 @@ SHARDS = 4
 BITS = 27
 CHARS_PER_BUCKET = 4_000_000
 #: distinct phrases that a task holds before it adds them up, bytes of a slice
-HELD, SLICE = 1_000_000, 500_000
+HELD, SLICE = 1_000_000, 150_000
 #: salts of the first rounds of a ranking
 SALTS = (256, 16)
 NO_LANG = "und"
@@ -50,7 +50,7 @@ KINDS = ~BREAKS
 KINDS[[0x20, 0x09]] = False
 
 #: slices of a group, the unit in which a task adds up and in which a phrase's home is kept
-GROUP = 16
+GROUP = 64
 
 _COUNTS = "bucket int, len int, since int, home long, names binary, counts binary"
 _STATE = "bucket int, len int, since int, names binary, counts binary, homes binary, flags binary, crossed long"

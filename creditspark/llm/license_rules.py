@@ -21,7 +21,9 @@ BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2
 
 #: every rule's text holds one of these, at the start of a word
 STEMS = ["licen", "unlicen", "sublicen", "copyright", "copyleft", "spdx", "public domain", "creative", "creativecommons", "cc ", "cc0", "gpl", "lgpl", "agpl", "gnu", "permission",
-         "redistribution", "as is", "wtfpl", "opensource", "apache", "mozilla", "boost", "bsd", "all rights", "warranty", "sil open"]
+         "redistribution", "software is", "wtfpl", "opensource", "apache", "mozilla", "boost", "bsd", "all rights", "warranty", "asl", "mpl", "eupl", "ofl", "0bsd", "gfdl", "commons",
+         "neither the name", "proprietary", "reproduced", "same terms", "plainly marked", "unencumbered", "remotely", "advertising materials", "attribution", "eclipse", "scripts sil",
+         "openssl project"]
 
 SIGNATURES = """
 mit | text | permission granted deal | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?: the software)? to deal in the software without restriction
@@ -33,7 +35,7 @@ mit | name | x11 licen | x11 licen[cs]e
 mit | name | expat licen | expat licen[cs]e
 mit-0 | title | mit attribution | mit no attribution(?: licen[cs]e)?
 mit-0 | title | mit 0 | mit 0 licen[cs]e
-apache-2 | text | apache compliance | you may not use this file except in compliance with the license you may obtain a copy of the license at
+apache-2 | text | compliance obtain | you may not use this file except in compliance with the license you may obtain a copy of the license at
 apache-2 | title | apache licen | apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?
 apache-2 | title | apache licen | apache 2(?: 0)?(?: open source| software)? licen[cs]e
 apache-2 | url | apache licen | apache org licen[cs]es licen[cs]e 2 0(?: html| txt)?
@@ -42,47 +44,47 @@ apache-2 | name | asl | asl 2 0
 apache-1.1 | title | apache licen | apache(?: software)? licen[cs]e(?: version| v)? ?1 1
 apache-1.0 | title | apache licen | apache(?: software)? licen[cs]e(?: version| v)? ?1 0
 apache | name | apache licen | apache(?: software)? licen[cs]e
-agpl-3 | title | affero version | (?:gnu )?affero general public licen[cs]e(?: agpl)? (?:version |v )?v?3(?: 0)?
+agpl-3 | title | affero public | (?:gnu )?affero general public licen[cs]e(?: agpl)? (?:version |v )?v?3(?: 0)?
 agpl-3 | text | network remotely | if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network
 agpl-3 | url | gnu agpl | gnu org licen[cs]es agpl(?: 3 0)?(?: html| txt| en html)?
 agpl-3 | name | agpl | agpl ?v? ?3(?: 0)?(?: or later| only)?
 agpl-3 | name | agplv3 | agplv3(?: or later)?
 agpl | title | affero | (?:gnu )?affero general public licen[cs]e
 agpl | name | agpl licen | agpl licen[cs]e
-lgpl-3 | title | lesser general version | (?:gnu )?lesser general public licen[cs]e(?: lgpl)? (?:version |v )?v?3(?: 0)?
+lgpl-3 | title | lesser general public | (?:gnu )?lesser general public licen[cs]e(?: lgpl)? (?:version |v )?v?3(?: 0)?
 lgpl-3 | url | gnu lgpl | gnu org licen[cs]es lgpl 3 0(?: html| txt| en html)?
 lgpl-3 | name | lgpl | lgpl ?v? ?3(?: 0)?(?: or later| only)?
 lgpl-3 | name | lgplv3 | lgplv3
-lgpl-2.1 | title | lesser general version | (?:gnu )?lesser general public licen[cs]e(?: lgpl)? (?:version |v )?v?2 1
+lgpl-2.1 | title | lesser general public | (?:gnu )?lesser general public licen[cs]e(?: lgpl)? (?:version |v )?v?2 1
 lgpl-2.1 | url | gnu lgpl | gnu org licen[cs]es(?: old licen[cs]es)? lgpl 2 1(?: html| txt| en html)?
 lgpl-2.1 | name | lgpl | lgpl ?v? ?2 1(?: or later| only)?
 lgpl-2.1 | text | library lesser redistribute | this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license
 lgpl-2.0 | title | library general | (?:gnu )?library general public licen[cs]e(?: lgpl)?(?: (?:version |v )?v?2(?: 0)?)?
 lgpl | title | lesser general | (?:gnu )?lesser general public licen[cs]e
 lgpl | name | lgpl licen | lgpl licen[cs]e
-gpl-3 | title | gnu general version | (?:gnu )?general public licen[cs]e(?: gpl)?(?: as published by the free software foundation(?: either)?)? (?:version |v )?v?3(?: 0)?
+gpl-3 | title | general public | (?:gnu )?general public licen[cs]e(?: gpl)?(?: as published by the free software foundation(?: either)?)? (?:version |v )?v?3(?: 0)?
 gpl-3 | url | gnu gpl | gnu org licen[cs]es gpl 3 0(?: html| txt| en html)?
 gpl-3 | name | gpl | gpl ?v? ?3(?: 0)?(?: or later| only)?
 gpl-3 | name | gplv3 | gplv3(?: or later)?
-gpl-2 | title | gnu general version | (?:gnu )?general public licen[cs]e(?: gpl)?(?: as published by the free software foundation(?: either)?)? (?:version |v )?v?2(?: 0)?
+gpl-2 | title | general public | (?:gnu )?general public licen[cs]e(?: gpl)?(?: as published by the free software foundation(?: either)?)? (?:version |v )?v?2(?: 0)?
 gpl-2 | url | gnu gpl | gnu org licen[cs]es(?: old licen[cs]es)? gpl 2 0(?: html| txt| en html)?
 gpl-2 | name | gpl | gpl ?v? ?2(?: 0)?(?: or later| only)?
 gpl-2 | name | gplv2 | gplv2(?: or later)?
-gpl-1 | title | gnu general version | (?:gnu )?general public licen[cs]e(?: gpl)? (?:version |v )?v?1(?: 0)?
+gpl-1 | title | general public | (?:gnu )?general public licen[cs]e(?: gpl)? (?:version |v )?v?1(?: 0)?
 gpl | text | program redistribute foundation | this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation
 gpl | text | program hope useful | this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose
 gpl | text | received general | you should have received a copy of the gnu (?:lesser |library |affero )?general public license along with this (?:program|library)
 gpl | title | gnu general | gnu general public licen[cs]e
-gpl | url | gnu licen | gnu org (?:licen[cs]es|copyleft) gpl(?: html| txt)?
+gpl | url | gnu org gpl | gnu org (?:licen[cs]es|copyleft) gpl(?: html| txt)?
 gpl | name | gpl licen | gpl licen[cs]e
 gpl | name | gnu gpl | gnu gpl
-gfdl-1.3 | title | gnu documentation version | gnu free documentation licen[cs]e(?: gfdl)? (?:version |v )?v?1 3
-gfdl-1.2 | title | gnu documentation version | gnu free documentation licen[cs]e(?: gfdl)? (?:version |v )?v?1 2
+gfdl-1.3 | title | gnu documentation | gnu free documentation licen[cs]e(?: gfdl)? (?:version |v )?v?1 3
+gfdl-1.2 | title | gnu documentation | gnu free documentation licen[cs]e(?: gfdl)? (?:version |v )?v?1 2
 gfdl | title | gnu documentation | gnu free documentation licen[cs]e
 gfdl | url | gnu fdl | gnu org licen[cs]es fdl(?: 1 [123])?(?: html| txt)?
 gfdl | name | gfdl | gfdl(?: 1 [123])?
 bsd-4-clause | text | advertising materials acknowledgement | all advertising materials mentioning features or use of this software must display the following acknowledgement
-bsd-4-clause | title | bsd clause | (?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?
+bsd-4-clause | title | bsd | (?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?
 bsd-3-clause | text | endorse promote | neither the name of (?:the )?[^ ]+(?: [^ ]+){0,12} nor the names of its contributors may be used to endorse or promote products derived from this software
 bsd-3-clause | title | bsd clause | (?:bsd 3 clause|3 clause bsd|three clause bsd)(?: new| revised)?(?: licen[cs]e)?
 bsd-3-clause | title | bsd licen | (?:new|modified|revised) bsd(?: style)? licen[cs]e
@@ -141,7 +143,7 @@ php | title | php licen | php licen[cs]e
 zlib | text | altered plainly misrepresented | altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 zlib | title | zlib licen | zlib(?: libpng)? licen[cs]e
 libpng | title | libpng licen | libpng licen[cs]e(?: version 2)?
-bsl-1 | text | boost permission | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+bsl-1 | text | permission organization | permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
 bsl-1 | title | boost software | boost software licen[cs]e(?: version)?(?: 1 0)?
 bsl-1 | url | boost licen | boost org licen[cs]e 1 0 txt
 unlicense | text | unencumbered public domain | this is free and unencumbered software released into the public domain
@@ -150,15 +152,15 @@ unlicense | url | unlicense org | unlicense org(?: unlicense)?
 wtfpl | title | fuck public | do what the fuck you want to public licen[cs]e(?: version 2)?
 wtfpl | name | wtfpl | wtfpl(?: ?v? ?2)?
 cc0-1 | title | cc0 | cc0(?: 1 0)?(?: universal)?(?: public domain dedication)?
-cc0-1 | title | creative zero | creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?(?: licen[cs]e)?
+cc0-1 | title | creative commons | creative commons (?:cc0|zero)(?: 1 0)?(?: universal)?(?: licen[cs]e)?
 cc0-1 | url | creativecommons publicdomain | creativecommons org publicdomain zero 1 0
 public-domain | notice | public domain | (?:released|placed|dedicated|donated|put|is)(?: in)?(?: in)?(?:to)? the public domain
 public-domain | url | creativecommons publicdomain | creativecommons org publicdomain mark 1 0
 public-domain | name | public domain | public domain
-cc-by-nc-nd | title | creative attribution derivative | (?:creative commons )?attribution non ?commercial no ?deriv(?:ative|ative work|ative works|atives|s)(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
+cc-by-nc-nd | title | attribution non | (?:creative commons )?attribution non ?commercial no ?deriv(?:ative|ative work|ative works|atives|s)(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
 cc-by-nc-nd | url | creativecommons by nc nd | creativecommons org licen[cs]es by nc nd(?: [1-4] [05])?
 cc-by-nc-nd | name | cc by nc nd | cc by nc nd(?: [1-4] [05])?
-cc-by-nc-sa | title | creative attribution alike | (?:creative commons )?attribution non ?commercial share ?alike(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
+cc-by-nc-sa | title | attribution share | (?:creative commons )?attribution non ?commercial share ?alike(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
 cc-by-nc-sa | url | creativecommons by nc sa | creativecommons org licen[cs]es by nc sa(?: [1-4] [05])?
 cc-by-nc-sa | name | cc by nc sa | cc by nc sa(?: [1-4] [05])?
 cc-by-nc | title | creative attribution | creative commons attribution non ?commercial(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
@@ -166,14 +168,14 @@ cc-by-nc | url | creativecommons by nc | creativecommons org licen[cs]es by nc(?
 cc-by-nd | title | creative attribution | creative commons attribution no ?deriv(?:ative|ative work|ative works|atives|s)(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
 cc-by-nd | url | creativecommons by nd | creativecommons org licen[cs]es by nd(?: [1-4] [05])?
 cc-by-nd | name | cc by nd | cc by nd(?: [1-4] [05])?
-cc-by-sa | title | creative attribution alike | creative commons attribution share ?alike(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
+cc-by-sa | title | creative attribution share | creative commons attribution share ?alike(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
 cc-by-sa | url | creativecommons by sa | creativecommons org licen[cs]es by sa(?: [1-4] [05])?
 cc-by-sa | name | cc by sa | cc by sa(?: [1-4] [05])?
 cc-by | title | creative attribution | creative commons attribution(?: (?:[1-4] 0))?(?: international| unported| generic)?(?: licen[cs]e)?
 cc-by | url | creativecommons by | creativecommons org licen[cs]es by [1-4] [05]
 cc-by | name | cc by | cc by(?: [1-4] [05])?
 creative-commons | title | creative commons licen | creative commons(?: public)? licen[cs]e
-ofl-1.1 | title | sil open font | (?:sil )?open font licen[cs]e(?: ofl)?(?: version)?(?: 1 1)?
+ofl-1.1 | title | open font | (?:sil )?open font licen[cs]e(?: ofl)?(?: version)?(?: 1 1)?
 ofl-1.1 | url | sil ofl | scripts sil org ofl
 ofl-1.1 | name | ofl | ofl 1 1
 odbl-1 | title | open database | open (?:data commons open )?database licen[cs]e(?: odbl)?(?: v?1 0)?
@@ -187,22 +189,22 @@ sleepycat | title | sleepycat | sleepycat(?: public)? licen[cs]e
 openssl | title | openssl licen | openssl licen[cs]e
 openssl | text | openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
 w3c | title | w3c licen | w3c software(?: notice)?(?: and)? licen[cs]e
-ncsa | title | illinois ncsa | (?:university of illinois )?ncsa open source licen[cs]e
+ncsa | title | ncsa open | (?:university of illinois )?ncsa open source licen[cs]e
 unicode | title | unicode licen | unicode(?: data files and software| license agreement)? licen[cs]e(?: v3)?
 upl-1 | title | universal permissive | universal permissive licen[cs]e(?: (?:version )?1 0)?
 vim | title | vim licen | vim licen[cs]e
 tcl | title | tcl licen | tcl(?: tk)? licen[cs]e
 postgresql | title | postgresql licen | postgresql licen[cs]e
 ijg | title | jpeg group licen | independent jpeg group licen[cs]e
-beerware | title | beer ware | beer ?ware licen[cs]e
+beerware | title | beer | beer ?ware licen[cs]e
 sspl-1 | title | server side public | server side public licen[cs]e(?: (?:version )?v?1)?
 busl-1.1 | title | business source | business source licen[cs]e(?: (?:version )?1 1)?
 elastic-2 | title | elastic licen | elastic licen[cs]e(?: (?:version )?v?2(?: 0)?)?
 commons-clause | title | commons clause | commons clause(?: licen[cs]e)?(?: condition)?
-openrail | title | rail licen | (?:creativeml )?open ?rail(?: m)? licen[cs]e
-proprietary | text | confidential proprietary reproduction | (?:confidential and proprietary|proprietary and confidential)
+openrail | title | open licen | (?:creativeml )?open ?rail(?: ?m)? licen[cs]e
+proprietary | text | confidential proprietary | (?:confidential and proprietary|proprietary and confidential)
 proprietary | notice | rights reserved | all rights reserved
-proprietary | notice | permission prior written | (?:may not be|no part (?:of )?(?:this )?[^ ]+(?: [^ ]+){0,3} may be) reproduced(?: [^ ]+){0,8} without(?: the)? (?:express |prior )*(?:written )?permission
+proprietary | notice | reproduced without permission | (?:may not be|no part (?:of )?(?:this )?[^ ]+(?: [^ ]+){0,3} may be) reproduced(?: [^ ]+){0,8} without(?: the)? (?:express |prior )*(?:written )?permission
 """
 
 #: identifiers that make tag rules ("SPDX-License-Identifier: ..."): label, then the identifier's words

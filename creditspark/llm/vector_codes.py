@@ -305,5 +305,5 @@ def with_label_error(coded: DataFrame, label: str = "label") -> DataFrame:
     path = work_path(coded.sparkSession, "vectors-coded")
     coded.write.parquet(path)
     coded = coded.sparkSession.read.parquet(path)
-    sums = coded.groupBy(F.col(label).alias("of")).agg(F.try_sum("error").alias("label_error"))
+    sums = coded.groupBy(F.col(label).alias("of")).agg(F.when(F.count("error") == F.count(F.lit(1)), F.try_sum("error")).alias("label_error"))
     return coded.join(sums, F.col(label).eqNullSafe(F.col("of"))).drop("of")

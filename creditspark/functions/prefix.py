@@ -19,10 +19,11 @@ from ..session import default_parallelism, shared_path
 
 def cumulative_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], *,
                     ascending: bool = True, n_buckets: int | None = None,
-                    prefix: str = "cum_") -> DataFrame:
+                    prefix: str = "cum_", following: Sequence[str] = ()) -> DataFrame:
     """Add ``cum_<c>``: sum of ``c`` over all rows up to and including this one.
 
-    ``order_col`` must be unique per row (group by it first).
+    ``order_col`` must be unique per row (group by it first). For each column c of ``following`` also ``next_<c>``, its value in the
+    next row (null in the last one), and ``is_first``: a range's last row gets the first row of the next range that has rows.
     """
     p = max(1, n_buckets or default_parallelism(df.sparkSession))
     v = F.col(order_col)
@@ -38,8 +39,10 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], *,
         asc_bucket = F.lit(0)
     bucket = asc_bucket if ascending else (F.lit(nb - 1) - asc_bucket)
     keyed = df.withColumn("_bucket", bucket)
+    edge = F.min_by if ascending else F.max_by
+    first = [edge(c, v).alias(f"_first_{c}") for c in following]
     totals = {r["_bucket"]: r for r in
-              keyed.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()}
+              keyed.groupBy("_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols], *first).collect()}
     offsets = {c: [] for c in sum_cols}
     running = {c: 0 for c in sum_cols}
     for b in range(nb):
@@ -47,12 +50,20 @@ def cumulative_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], *,
             offsets[c].append(running[c])
             if b in totals and totals[b][c] is not None:
                 running[c] += totals[b][c]
-    w = (Window.partitionBy("_bucket").orderBy(v.asc() if ascending else v.desc())
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    order = Window.partitionBy("_bucket").orderBy(v.asc() if ascending else v.desc())
+    w = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = keyed
     for c in sum_cols:
         off = F.element_at(F.array(*[F.lit(x) for x in offsets[c]]), F.col("_bucket") + 1)
         out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + off)
+    for c in following:
+        carried, ahead = [], None
+        for b in reversed(range(nb)):
+            carried.append(F.lit(ahead).cast(df.schema[c].dataType))
+            ahead = totals[b][f"_first_{c}"] if b in totals else ahead
+        out = out.withColumn(f"next_{c}", F.coalesce(F.lead(c).over(order), F.element_at(F.array(*carried[::-1]), F.col("_bucket") + 1)))
+    if following:
+        out = out.withColumn("is_first", (F.row_number().over(order) == 1) & (F.col("_bucket") == min(totals, default=0)))
     return out.drop("_bucket")
 
 

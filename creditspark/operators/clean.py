@@ -7,29 +7,65 @@ expressions, so the transform is a narrow, codegen'd projection with no join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_quantiles
 
 
-def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep_min: str | None = None) -> DataFrame:
+#: Digests of repeated rows are broadcast up to this number (16 bytes each), and joined by a shuffle beyond it.
+BROADCAST_DIGESTS = 1 << 18
+
+
+def row_digest(cols: Sequence[str]) -> list[Column]:
+    """128 bits of a row as two 64-bit hashes; which columns are null is hashed too, as a null leaves a hash as it was."""
+    nulls = F.concat_ws("", *(F.col(c).isNull().cast("int").cast("string") for c in cols))
+    return [F.xxhash64(F.lit(seed), *cols, nulls) for seed in (1, 2)]
+
+
+def in_repeated(df: DataFrame, cols: Sequence[str], digest: Callable[[Sequence[str]], list[Column]] = row_digest) -> DataFrame | None:
+    """``df`` with a flag ``_rep``: whether another row has this row's digest over ``cols``; None if no row has.
+
+    Only digests are grouped, so a row's 16 bytes are shuffled and not the row. Equal rows have equal digests; rows that
+    are flagged may still differ, and are compared by whoever asks.
+    """
+    hashed = [h.alias(f"_d{i}") for i, h in enumerate(digest(cols))]
+    names = [f"_d{i}" for i in range(len(hashed))]
+    groups = df.select(*hashed).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*names, F.lit(True).alias("_rep"))
+    groups = materialize(groups, "repeated_digests")
+    n = groups.count()
+    if n == 0:
+        return None
+    marked = df.select("*", *hashed).join(F.broadcast(groups) if n <= BROADCAST_DIGESTS else groups, names, "left")
+    return marked.drop(*names).withColumn("_rep", F.coalesce("_rep", F.lit(False)))
+
+
+def drop_duplicates(df: DataFrame, subset: Sequence[str] | None = None, keep_min: str | None = None,
+                    digest: Callable[[Sequence[str]], list[Column]] = row_digest) -> DataFrame:
     """C1 drop duplicate rows (NULLs compare equal).
 
     With ``keep_min`` the surviving row of each duplicate group is the one with
     the smallest value of that key column (a deterministic "keep first").
+
+    Rows whose digest no other row has stay where they are; only the others are shuffled and compared, column by column.
     """
-    if keep_min is None:
-        return df.dropDuplicates(list(subset) if subset else None)
     subset = list(subset or [c for c in df.columns if c != keep_min])
+    marked = in_repeated(df, subset, digest)
+    if marked is None:
+        return df
+    single, repeated = marked.where("NOT _rep").drop("_rep"), marked.where("_rep").drop("_rep")
+    if keep_min is None:
+        return single.unionByName(repeated.dropDuplicates(subset))
     others = [c for c in df.columns if c not in subset and c != keep_min]
     if not others:
-        return df.groupBy(*subset).agg(F.min(keep_min).alias(keep_min)).select(*df.columns)
-    # carry the other columns of the smallest-key row (struct order: key first)
-    first = F.min(F.struct(F.col(keep_min).alias(keep_min), *[F.col(c) for c in others])).alias("_first")
-    return df.groupBy(*subset).agg(first).select(*subset, "_first.*").select(*df.columns)
+        kept = repeated.groupBy(*subset).agg(F.min(keep_min).alias(keep_min))
+    else:
+        # carry the other columns of the smallest-key row (struct order: key first)
+        first = F.min(F.struct(F.col(keep_min).alias(keep_min), *[F.col(c) for c in others])).alias("_first")
+        kept = repeated.groupBy(*subset).agg(first).select(*subset, "_first.*")
+    return single.unionByName(kept.select(*df.columns))
 
 
 def fit_stats(df: DataFrame, means: Sequence[str] = (), quantiles: dict[str, Sequence[float]] | None = None

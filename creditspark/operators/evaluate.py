@@ -84,13 +84,18 @@ def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     return materialize(g, "score_counts")
 
 
-def roc_points(df: DataFrame, label: str = "label", score: str = "score", digits: int = 6) -> DataFrame:
+def roc_points(df: DataFrame, label: str = "label", score: str = "score", digits: int = 6, drop_intermediate: bool = True) -> DataFrame:
     """V4 ROC curve: one point per distinct score threshold (score >= t is
-    positive), plus the (0, 0) start at threshold +inf. Intermediate collinear
-    points are kept."""
+    positive), plus the (0, 0) start at threshold +inf.
+
+    ``drop_intermediate`` leaves out the points whose step is the step of the point after them (same positives, same negatives): they lie
+    on a straight line, so the curve and its area stay. The first and the last threshold are kept.
+    """
     g = _score_counts(df, label, score)
     tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    cum = cumulative_sums(g, "score", ["pos", "neg"], ascending=False)
+    cum = cumulative_sums(g, "score", ["pos", "neg"], ascending=False, following=["pos", "neg"] if drop_intermediate else ())
+    if drop_intermediate:
+        cum = cum.where(F.col("is_first") | F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")))
     totals = tot.first()
     p_all, n_all = float(totals["P"] or 0), float(totals["N"] or 0)
     rate = lambda c, t: (F.col(c) / F.lit(t)) if t > 0 else F.lit(None).cast("double")

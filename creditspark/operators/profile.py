@@ -6,13 +6,14 @@ columns are fused into the same ``agg`` so the table is scanned once per pass.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exact_quantiles
+from .clean import in_repeated, row_digest
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -96,10 +97,14 @@ def distinct_report(df: DataFrame, exclude: Sequence[str] = (), approx: bool = F
     return out.orderBy("column_type", F.desc("unique_values"), "column_name")
 
 
-def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """P7 rows minus distinct rows (NULLs compare equal, as pandas does)."""
+def duplicate_count(df: DataFrame, cols: Sequence[str] | None = None,
+                    digest: Callable[[Sequence[str]], list[Column]] = row_digest) -> DataFrame:
+    """P7 rows minus distinct rows (NULLs compare equal, as pandas does). Only rows whose digest occurs twice are compared."""
     cols = list(cols or df.columns)
-    return (df.groupBy(*cols).count()
+    marked = in_repeated(df.select(*cols), cols, digest)
+    if marked is None:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicates"))
+    return (marked.where("_rep").groupBy(*cols).count()
             .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicates")))
 
 

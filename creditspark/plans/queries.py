@@ -412,8 +412,8 @@ def q_standard_scale(spark, sf):
 
 @register("scale_with_saved_stats", f"""
 WITH {S.engineered_cte()},
-train AS (SELECT * FROM engineered WHERE NOT {S.split_pred()}),
-test AS (SELECT * FROM engineered WHERE {S.split_pred()}),
+train AS (SELECT * FROM engineered WHERE NOT {S.split_pred('engineered')}),
+test AS (SELECT * FROM engineered WHERE {S.split_pred('engineered')}),
 {S.scaled_cte(source='test', fit_on='train', name='tscaled')}
 SELECT loan_id, loan_status, {', '.join(f'ROUND({S.q(f)}, 6) AS {S.q(f)}' for f in S.feature_names())} FROM tscaled""")
 def q_scale_with_saved_stats(spark, sf):
@@ -488,6 +488,21 @@ c AS (SELECT score, SUM(pos) OVER (ORDER BY score DESC) AS cp, SUM(neg) OVER (OR
 SELECT 'inf'::DOUBLE AS threshold, 0.0 AS fpr, 0.0 AS tpr
 UNION ALL SELECT score AS threshold, ROUND(cn / CAST(t.n AS DOUBLE), 6) AS fpr, ROUND(cp / CAST(t.p AS DOUBLE), 6) AS tpr FROM c, t""")
 def q_roc_points(spark, sf):
+    return V.roc_points(evals(spark, sf), drop_intermediate=False)
+
+
+@register("roc_curve", f"""
+WITH {S.eval_cte()},
+g AS (SELECT score, SUM(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos, SUM(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS neg
+  FROM evals GROUP BY score),
+t AS (SELECT SUM(pos) AS p, SUM(neg) AS n FROM g),
+c AS (SELECT score, pos, neg, SUM(pos) OVER (ORDER BY score DESC) AS cp, SUM(neg) OVER (ORDER BY score DESC) AS cn, LAG(score) OVER (ORDER BY score DESC) AS before,
+  LEAD(pos) OVER (ORDER BY score DESC) AS next_pos, LEAD(neg) OVER (ORDER BY score DESC) AS next_neg FROM g)
+SELECT 'inf'::DOUBLE AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL SELECT score AS threshold, ROUND(cn / CAST(t.n AS DOUBLE), 6) AS fpr, ROUND(cp / CAST(t.p AS DOUBLE), 6) AS tpr FROM c, t
+WHERE before IS NULL OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""")
+def q_roc_curve(spark, sf):
+    """V4 as plotted: without the points on a straight line between their neighbours."""
     return V.roc_points(evals(spark, sf))
 
 
@@ -564,7 +579,7 @@ def q_inertia(spark, sf):
 # ---- 7. sampling ----------------------------------------------------------------
 @register("train_test_split", f"""
 WITH {S.loan_book_cte()}
-SELECT loan_id, CASE WHEN {S.split_pred()} THEN 'test' ELSE 'train' END AS split FROM loan_book""")
+SELECT loan_id, CASE WHEN {S.split_pred('loan_book')} THEN 'test' ELSE 'train' END AS split FROM loan_book""")
 def q_train_test_split(spark, sf):
     return R.with_split(loan_book(spark, sf), KEY).select(KEY, "split")
 
@@ -577,8 +592,8 @@ UNION ALL SELECT 'train', loan_status, CAST(COUNT(*) AS BIGINT) FROM cleaned WHE
 UNION ALL SELECT 'test', loan_status, CAST(COUNT(*) AS BIGINT) FROM cleaned WHERE {S.split_pred()} GROUP BY loan_status""")
 def q_class_balance(spark, sf):
     lb = loan_book(spark, sf)
-    test = R.split_flag(KEY)
-    of_cleaned = R.class_balance_flags(PR.clean_loans(lb), {"cleaned": F.lit(True), "train": ~test, "test": test})
+    split = R.with_split(PR.clean_loans(lb), KEY)
+    of_cleaned = R.class_balance_flags(split, {"cleaned": F.lit(True), "train": F.col("split") == "train", "test": F.col("split") == "test"})
     return R.class_balance({"raw": lb}).unionByName(of_cleaned)
 
 

@@ -147,8 +147,10 @@ def scaled_cte(source: str = "engineered", fit_on: str | None = None, name: str
 {name} AS (SELECT {source}.loan_id, {source}.loan_status, {cols} FROM {source}, {name}_st)"""
 
 
-def split_pred(key: str = "loan_id", seed: int = 42, test_fraction: float = 0.2) -> str:
-    return f"({mix_sql(key, seed)} % 1000 < {int(round(1000 * test_fraction))})"
+def split_pred(table: str = "cleaned", key: str = "loan_id", seed: int = 42, test_fraction: float = 0.2) -> str:
+    """Test rows of ``table``: those of the smallest (hash, key), a fifth rounded up."""
+    n = f"(COUNT(*) OVER () * {int(round(1000 * test_fraction))} + 999) // 1000"
+    return f"{key} IN (SELECT {key} FROM {table} QUALIFY ROW_NUMBER() OVER (ORDER BY {mix_sql(key, seed)}, {key}) <= {n})"
 
 
 def eval_cte() -> str:

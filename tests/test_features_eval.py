@@ -73,6 +73,30 @@ def test_auc_with_ties(spark):
     assert pts[0.9] == (0.0, 0.5) and pts[0.5] == (0.5, 1.0) and pts[0.1] == (1.0, 1.0)
 
 
+def test_roc_curve_without_points_on_lines(spark):
+    import random
+    rng = random.Random(4)
+    rows = [(s / 50, int(rng.random() < s / 60)) for s in range(50) for _ in range(1 + s % 2)] + [(2.0 + i, 1) for i in range(40)] + [(-1.0 - i, 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "score double, label int").repartition(5)
+    pos, neg = {}, {}
+    for s, y in rows:
+        pos[s], neg[s] = pos.get(s, 0) + y, neg.get(s, 0) + 1 - y
+    order = sorted(pos, reverse=True)
+    step = [(pos[s], neg[s]) for s in order]
+    want = {s for i, s in enumerate(order) if i in (0, len(order) - 1) or step[i] != step[i + 1]}
+    every = {r.threshold: (r.fpr, r.tpr) for r in V.roc_points(df, digits=12, drop_intermediate=False).collect()}
+    kept = {r.threshold: (r.fpr, r.tpr) for r in V.roc_points(df, digits=12).collect()}
+    assert set(kept) == want | {float("inf")} and len(kept) < len(every) and all(every[t] == p for t, p in kept.items())
+    curve = [kept[t] for t in sorted(kept, reverse=True)]
+    area = sum((x1 - x0) * (y0 + y1) / 2 for (x0, y0), (x1, y1) in zip(curve, curve[1:]))
+    assert abs(area - V.roc_auc(df, digits=12).first()[0]) < 1e-9
+
+
+def test_roc_curve_of_one_score(spark):
+    df = spark.createDataFrame([(0.5, 1), (0.5, 0)], "score double, label int")
+    assert sorted(tuple(r) for r in V.roc_points(df).collect()) == [(0.5, 1.0, 1.0), (float("inf"), 0.0, 0.0)]
+
+
 def test_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(0.5, 1), (0.7, 1)], "score double, label int")
     assert V.roc_auc(df).first()[0] is None

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from creditspark.operators import clean as C
 from creditspark.operators import profile as P
 
@@ -25,6 +28,33 @@ def test_duplicates_nulls_equal(spark):
     assert C.drop_duplicates(df).count() == 4
 
 
+@pytest.mark.parametrize("digest", [C.row_digest, lambda cols: [F.lit(1), F.lit(2)], lambda cols: [F.xxhash64(cols[0]), F.lit(2)]])
+@pytest.mark.parametrize("limit", [1 << 18, 0])
+def test_duplicates_by_digest_are_exact(spark, digest, limit, monkeypatch):
+    """Whatever rows share a digest (all of them, in the second case), and whether digests are broadcast or shuffled."""
+    monkeypatch.setattr(C, "BROADCAST_DIGESTS", limit)
+    rows = [(i, i % 7 if i % 5 else None, None if i % 3 else "x", [0.0, -0.0, float("nan"), None][i % 4]) for i in range(90)] + [(100, None, "1", 1.5), (101, 1, None, 1.5)]
+    df = spark.createDataFrame(rows, "id long, a int, b string, c double")
+    bare = df.drop("id")
+    plain = bare.dropDuplicates()
+    as_text = lambda d: sorted(str(tuple(r)).replace("-0.0", "0.0") for r in d.collect())
+    assert as_text(C.drop_duplicates(bare, digest=digest)) == as_text(plain)
+    assert P.duplicate_count(bare, digest=digest).first()[0] == len(rows) - plain.count()
+    first = df.groupBy("a", "b", "c").agg(F.min("id").alias("id"))
+    assert as_text(C.drop_duplicates(df, ["a", "b", "c"], "id", digest).select("id")) == as_text(first.select("id"))
+
+
+def test_no_repeated_digest_moves_no_row(spark):
+    df = spark.range(1000).selectExpr("id", "id * 3 AS x", "cast(id AS string) AS s")
+    assert P.duplicate_count(df).first()[0] == 0
+    out = C.drop_duplicates(df, ["x", "s"], "id")
+    assert out.count() == 1000 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    # one repeated row: its digest is broadcast, the other rows stay where they are
+    more = df.unionByName(df.limit(1))
+    plan = C.drop_duplicates(more, ["id", "x", "s"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in plan and "broadcast" in plan
+
+
 def test_drop_duplicates_keep_min(spark):
     out = C.drop_duplicates(_df(spark), subset=["age", "home", "x"], keep_min="id").orderBy("id").collect()
     assert [r["id"] for r in out] == [1, 3, 4, 5]

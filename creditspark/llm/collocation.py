@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
-from .frames import prepare, remove_path, work_path
+from .frames import batch_rows, prepare, remove_path, work_path
 from .substring_dedup import pack, unpack
 
 SHARDS = 4
@@ -39,6 +39,8 @@ BITS = 27
 CHARS_PER_BUCKET = 4_000_000
 #: distinct phrases that a task holds before it adds them up, bytes of a slice
 HELD, SLICE = 1_000_000, 150_000
+#: slices of an Arrow batch
+BATCH = 24
 #: salts of the first rounds of a ranking
 SALTS = (256, 16)
 NO_LANG = "und"
@@ -186,7 +188,7 @@ def _scan(step: int, longest: int, bucket_bits: int, bits: int, now, before):
         earlier = Bitmap(before.value, bits) if before is not None else None
         tally, home = Tally(), None
         for batch in batches:
-            for at_home, names, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at_home, names, codes in zip(batch.column(0).to_pylist(), *((x.as_buffer() for x in batch.column(i)) for i in (1, 2)), strict=True):
                 if at_home != home or tally.held >= HELD:
                     yield from send(tally, home)
                     home = at_home
@@ -346,31 +348,32 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
 
     sc = spark.sparkContext
     versions = [sc.broadcast(zlib.compress(bytes(1 << (bits - 3)), 1))]
-    state, old, step, last_change = None, None, 0, -1
-    while step <= last_change + shards:
-        before = versions[step - shards] if step >= shards else None
-        slices = coded.where(F.col("shard") == step % shards).select("home", "names", "codes")
-        sent = slices.mapInArrow(_scan(step, longest, bucket_bits, bits, versions[step], before), _COUNTS)
-        have = spark.read.parquet(state).where("len > 0").drop("flags", "crossed") if state else spark.createDataFrame([], "bucket int, homes binary")
-        sent = sent.unionByName(have, allowMissingColumns=True)
-        path = work_path(spark, f"dic-counters-{step}")
-        sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE).write.parquet(path)
-        flags = spark.read.parquet(path).where("len = 0")
-        if flags.where("crossed > 0").count():
-            last_change = step
-        if step >= shards:
-            versions[step - shards].destroy()  # the counters that it made are written
-        versions.append(sc.broadcast(bitmap(flags)))
-        if old:
-            remove_path(spark, old)
-        state, old, step = path, state, step + 1
-    finished = spark.read.parquet(state).where("homes is not null")
-    pairs = sc.broadcast(bitmap(finished.select("bucket", "names", "homes").groupBy("bucket").applyInArrow(_pair_bits(bucket_bits, bits), "bucket int, flags binary")))
-    counters = finished.select("names", "counts").mapInArrow(_finished, "name long, a long")
-    slices = coded.select("home", "names", "codes", "words", "sizes", "lang", "totals")
-    spelt = slices.mapInArrow(_spell(longest, bucket_bits, bits, versions[-1], pairs), "name long, lang string, len int, phrase string").distinct()
-    path = work_path(spark, "dic-phrases")
-    spelt.join(counters, "name").select("lang", "phrase", "len", "a").write.parquet(path)
+    with batch_rows(spark, BATCH):
+        state, old, step, last_change = None, None, 0, -1
+        while step <= last_change + shards:
+            before = versions[step - shards] if step >= shards else None
+            slices = coded.where(F.col("shard") == step % shards).select("home", "names", "codes")
+            sent = slices.mapInArrow(_scan(step, longest, bucket_bits, bits, versions[step], before), _COUNTS)
+            have = spark.read.parquet(state).where("len > 0").drop("flags", "crossed") if state else spark.createDataFrame([], "bucket int, homes binary")
+            sent = sent.unionByName(have, allowMissingColumns=True)
+            path = work_path(spark, f"dic-counters-{step}")
+            sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE).write.parquet(path)
+            flags = spark.read.parquet(path).where("len = 0")
+            if flags.where("crossed > 0").count():
+                last_change = step
+            if step >= shards:
+                versions[step - shards].destroy()  # the counters that it made are written
+            versions.append(sc.broadcast(bitmap(flags)))
+            if old:
+                remove_path(spark, old)
+            state, old, step = path, state, step + 1
+        finished = spark.read.parquet(state).where("homes is not null")
+        pairs = sc.broadcast(bitmap(finished.select("bucket", "names", "homes").groupBy("bucket").applyInArrow(_pair_bits(bucket_bits, bits), "bucket int, flags binary")))
+        counters = finished.select("names", "counts").mapInArrow(_finished, "name long, a long")
+        slices = coded.select("home", "names", "codes", "words", "sizes", "lang", "totals")
+        spelt = slices.mapInArrow(_spell(longest, bucket_bits, bits, versions[-1], pairs), "name long, lang string, len int, phrase string").distinct()
+        path = work_path(spark, "dic-phrases")
+        spelt.join(counters, "name").select("lang", "phrase", "len", "a").write.parquet(path)
     totals = coded.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")).where("n > 0")
     return spark.read.parquet(path), totals
 

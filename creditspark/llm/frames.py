@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,17 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it Arrow batches have at most ``rows`` rows, for tables whose rows are some 100 KB each."""
+    before = spark.conf.get(_BATCH_KEY)
+    spark.conf.set(_BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return read_table(spark, sf_dir, name, list(columns) or None)
 

@@ -87,8 +87,8 @@ def materialize(df: DataFrame, name: str = "materialized") -> DataFrame:
     parquet below the shared checkpoint folder and read it back (survives
     executor loss; columnar, so each later pass reads only its columns)."""
     from ..session import shared_path
-    from ..sources.files import write_stage
-    return write_stage(df, name, shared_path(df.sparkSession, "stages", name, unique=True))
+    from ..sources.files import write_once
+    return write_once(df, shared_path(df.sparkSession, "stages", name, unique=True))
 
 
 def fit_mean(df: DataFrame, col: str) -> float | None:

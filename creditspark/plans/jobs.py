@@ -21,6 +21,7 @@ from ..operators import models as M
 from ..operators import sampling as R
 from ..sources import KEY, LABEL
 from ..sources.files import load_model, nan_to_null, save_model, write_stage
+from ..sources.versions import commit, current, new_folder
 from . import prepare as PR
 
 PCA_NAMES = ["PCA1", "PCA2"]
@@ -36,25 +37,29 @@ class ClassifierBundle:
     model: PipelineModel
 
     def save(self, spark: SparkSession, path: str) -> str:
-        self.imputation.to_df(spark).write.mode("overwrite").parquet(f"{path}/imputation")
-        self.encoders.one_hot.to_df(spark).write.mode("overwrite").parquet(f"{path}/one_hot")
-        self.encoders.labels.to_df(spark).write.mode("overwrite").parquet(f"{path}/labels")
-        self.scaler.to_df(spark).write.mode("overwrite").parquet(f"{path}/scaler")
-        spark.createDataFrame(list(enumerate(self.features)), "position int, feature string") \
-            .write.mode("overwrite").parquet(f"{path}/features")
-        save_model(self.model, f"{path}/model")
+        """One version of the bundle as a whole (``sources.versions``): a save that fails half way leaves the version before."""
+        folder = new_folder(spark, path)
+        self.imputation.to_df(spark).write.parquet(f"{folder}/imputation")
+        self.encoders.one_hot.to_df(spark).write.parquet(f"{folder}/one_hot")
+        self.encoders.labels.to_df(spark).write.parquet(f"{folder}/labels")
+        self.scaler.to_df(spark).write.parquet(f"{folder}/scaler")
+        spark.createDataFrame(list(enumerate(self.features)), "position int, feature string").write.parquet(f"{folder}/features")
+        save_model(self.model, f"{folder}/model")
+        commit(spark, path, folder, checked=True)
         return path
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "ClassifierBundle":
-        feats = [r["feature"] for r in sorted(spark.read.parquet(f"{path}/features").collect(),
+        """The newest whole version; its files must be those that were saved."""
+        folder = current(spark, path, check=True)
+        feats = [r["feature"] for r in sorted(spark.read.parquet(f"{folder}/features").collect(),
                                               key=lambda r: r["position"])]
         return ClassifierBundle(
-            PR.Imputation.from_df(spark.read.parquet(f"{path}/imputation")),
-            PR.Encoders(Fe.OneHotModel.from_df(spark.read.parquet(f"{path}/one_hot")),
-                        Fe.LabelEncoderModel.from_df(spark.read.parquet(f"{path}/labels"))),
-            feats, Fe.ScalerModel.from_df(spark.read.parquet(f"{path}/scaler")),
-            load_model(f"{path}/model"))
+            PR.Imputation.from_df(spark.read.parquet(f"{folder}/imputation")),
+            PR.Encoders(Fe.OneHotModel.from_df(spark.read.parquet(f"{folder}/one_hot")),
+                        Fe.LabelEncoderModel.from_df(spark.read.parquet(f"{folder}/labels"))),
+            feats, Fe.ScalerModel.from_df(spark.read.parquet(f"{folder}/scaler")),
+            load_model(f"{folder}/model"))
 
 
 @dataclass
@@ -148,16 +153,20 @@ class ClusterBundle:
         return V.assign_nearest(df.select("*", *comps), PCA_NAMES, self.centroids, "cluster")
 
     def save(self, spark: SparkSession, path: str) -> str:
-        self.scaler.to_df(spark).write.mode("overwrite").parquet(f"{path}/scaler")
-        self.pca.to_df(spark).write.mode("overwrite").parquet(f"{path}/pca")
-        M.centroids_df(spark, self.centroids, PCA_NAMES).write.mode("overwrite").parquet(f"{path}/centroids")
+        """One version of the bundle as a whole, as ``ClassifierBundle.save``."""
+        folder = new_folder(spark, path)
+        self.scaler.to_df(spark).write.parquet(f"{folder}/scaler")
+        self.pca.to_df(spark).write.parquet(f"{folder}/pca")
+        M.centroids_df(spark, self.centroids, PCA_NAMES).write.parquet(f"{folder}/centroids")
+        commit(spark, path, folder, checked=True)
         return path
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "ClusterBundle":
-        cents = {r["cluster"]: [r[n] for n in PCA_NAMES] for r in spark.read.parquet(f"{path}/centroids").collect()}
-        return ClusterBundle(Fe.ScalerModel.from_df(spark.read.parquet(f"{path}/scaler")),
-                             Fe.PCAModel2.from_df(spark.read.parquet(f"{path}/pca")), cents)
+        folder = current(spark, path, check=True)
+        cents = {r["cluster"]: [r[n] for n in PCA_NAMES] for r in spark.read.parquet(f"{folder}/centroids").collect()}
+        return ClusterBundle(Fe.ScalerModel.from_df(spark.read.parquet(f"{folder}/scaler")),
+                             Fe.PCAModel2.from_df(spark.read.parquet(f"{folder}/pca")), cents)
 
 
 def pca_points(cleaned: DataFrame) -> tuple[DataFrame, Fe.ScalerModel, Fe.PCAModel2]:

@@ -15,7 +15,7 @@ from ..operators import models as M
 from ..operators import sampling as R
 from ..session import shared_path
 from ..sources import KEY, LABEL, loan_book
-from ..sources.files import write_stage
+from ..sources.files import read_stage, write_stage
 from . import jobs as J
 from . import sql as S
 from . import prepare as PR
@@ -247,7 +247,7 @@ def _bundles(spark, sf, name):
     run = _stage_dir(spark, name)
     lb = loan_book(spark, sf)
     clf, _ = J.train_classifier(lb, run)
-    clu, _ = J.train_clusterer(spark.read.parquet(f"{run}/data_outlier"), run)
+    clu, _ = J.train_clusterer(read_stage(spark, "data_outlier", f"{run}/data_outlier"), run)
     return lb, clf, clu, run
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_path
+from .versions import commit, current, new_folder
 
 # Schema of the raw loan table as a CSV file (no inference at scale).
 RAW_SCHEMA = T.StructType([
@@ -57,29 +58,34 @@ def write_loan_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def stage_path(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "stages", name)
 
 
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """Persist a table below a path of its own and read it back, which cuts the lineage."""
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def write_stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Persist a stage table as parquet in the shared folder and read it back.
 
     Reading back cuts the lineage: later jobs restart from the files, not from
-    the plan that produced them.
+    the plan that produced them. Writing a stage again adds a version (``versions``): tables read
+    before keep their rows, ``df`` may read the stage it replaces, and a write that fails leaves the stage as it was.
     """
     spark = df.sparkSession
     path = path or stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    folder = new_folder(spark, path)
+    out = write_once(df, folder)
+    commit(spark, path, folder)
+    return out
 
 
 def read_stage(spark: SparkSession, name: str, path: str | None = None) -> DataFrame:
-    return spark.read.parquet(path or stage_path(spark, name))
+    """The newest version of a stage."""
+    return spark.read.parquet(current(spark, path or stage_path(spark, name)))
 
 
 def save_model(model: PipelineModel, path: str) -> str:

@@ -19,7 +19,8 @@ from creditspark.operators import models as M  # noqa: E402
 from creditspark.plans import jobs as J  # noqa: E402
 from creditspark.session import get_spark  # noqa: E402
 from creditspark.sources import KEY, LABEL, loan_book  # noqa: E402
-from creditspark.sources.files import path_exists, save_model  # noqa: E402
+from creditspark.sources.files import save_model  # noqa: E402
+from creditspark.sources.versions import path_exists  # noqa: E402
 
 
 def main() -> None:

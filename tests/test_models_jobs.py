@@ -11,6 +11,7 @@ from creditspark.plans import jobs as J
 from creditspark.plans import prepare as PR
 from creditspark.session import shared_path
 from creditspark.sources import KEY, LABEL, loan_book
+from creditspark.sources.files import read_stage
 from creditspark.streaming import start_scoring_stream
 
 from .conftest import SF_SMALL
@@ -21,7 +22,7 @@ def bundles(spark):
     run = shared_path(spark, "tests", "bundles", unique=True)
     lb = loan_book(spark, SF_SMALL)
     clf, scored = J.train_classifier(lb, run, n_estimators=10, max_depth=3)
-    clu, pts = J.train_clusterer(spark.read.parquet(f"{run}/data_outlier"), run, k=4)
+    clu, pts = J.train_clusterer(read_stage(spark, "data_outlier", f"{run}/data_outlier"), run, k=4)
     return lb, clf, scored, clu, pts, run
 
 

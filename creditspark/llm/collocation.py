@@ -20,12 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ SHARDS = 4
 BITS = 27
 CHARS_PER_BUCKET = 4_000_000
 #: distinct phrases that a task holds before it adds them up, bytes of a slice
-HELD, SLICE = 1_000_000, 150_000
+HELD, SLICE = 500_000, 150_000
 #: slices of an Arrow batch
 BATCH = 24
 #: salts of the first rounds of a ranking
@@ -101,6 +103,26 @@ class Bitmap:
         return (self.data[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
 
+#: the bitmaps that this worker used last, by name
+_OPEN: dict[str, Bitmap] = {}
+
+
+@dataclass(frozen=True)
+class Sent:
+    """A broadcast bitmap; a worker decompresses it once for all its tasks."""
+
+    name: str
+    bits: int
+    data: Broadcast
+
+    def open(self) -> Bitmap:
+        found = _OPEN.pop(self.name, None) or Bitmap(self.data.value, self.bits)
+        _OPEN[self.name] = found
+        while len(_OPEN) > 2:
+            del _OPEN[next(iter(_OPEN))]
+        return found
+
+
 def _paired(names: np.ndarray, homes: np.ndarray, bucket_bits: int) -> np.ndarray:
     """Hashes of (name, home) that keep the name's bucket."""
     low = np.uint64((1 << (64 - bucket_bits)) - 1)
@@ -124,9 +146,8 @@ class Tally:
     def flush(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         for length, parts in sorted(self.parts.items()):
             names, which = np.unique(np.concatenate([n for n, _ in parts]), return_inverse=True)
-            counts = np.zeros(len(names), np.int64)
-            np.add.at(counts, which, np.concatenate([c for _, c in parts]))
-            yield length, names, counts
+            # sums of a task's counts, far below 2 ** 53
+            yield length, names, np.bincount(which, np.concatenate([c for _, c in parts]), len(names)).astype(np.int64)
         self.parts, self.held = {}, 0
 
 
@@ -173,7 +194,7 @@ def _encode(shards: int):
     return encode
 
 
-def _scan(step: int, longest: int, bucket_bits: int, bits: int, now, before):
+def _scan(step: int, longest: int, bucket_bits: int, now: Sent, before: Sent | None):
     """Counts what is active by bitmap ``now`` and was not by ``before`` (the bitmap of the shard's last visit, None if there was none)."""
     schema = pa.schema([("bucket", pa.int32()), ("len", pa.int32()), ("since", pa.int32()), ("home", pa.int64()), ("names", pa.binary()), ("counts", pa.binary())])
 
@@ -184,10 +205,9 @@ def _scan(step: int, longest: int, bucket_bits: int, bits: int, now, before):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        active = Bitmap(now.value, bits)
-        earlier = Bitmap(before.value, bits) if before is not None else None
         tally, home = Tally(), None
         for batch in batches:
+            active, earlier = now.open(), before.open() if before else None
             for at_home, names, codes in zip(batch.column(0).to_pylist(), *((x.as_buffer() for x in batch.column(i)) for i in (1, 2)), strict=True):
                 if at_home != home or tally.held >= HELD:
                     yield from send(tally, home)
@@ -277,13 +297,13 @@ def _finished(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(unpack(names).view(np.int64)), pa.array(_unpack_counts(counts))], schema=schema)
 
 
-def _spell(longest: int, bucket_bits: int, bits: int, marks, pairs):
+def _spell(longest: int, bucket_bits: int, marks: Sent, pairs: Sent):
     """name, lang, len and words of the phrases of bitmap ``marks`` in the slices of their homes."""
     schema = pa.schema([("name", pa.int64()), ("lang", pa.string()), ("len", pa.int32()), ("phrase", pa.string())])
 
     def spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, at_home = Bitmap(marks.value, bits), Bitmap(pairs.value, bits)
         for batch in batches:
+            kept, at_home = marks.open(), pairs.open()
             for row in batch.to_pylist():
                 names, codes = np.frombuffer(row["names"], np.uint64), np.frombuffer(row["codes"], "<u4")
                 size = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
@@ -338,22 +358,23 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     bits = min(bits, max(16, int(chars).bit_length()))
     bucket_bits = min(max(0, math.ceil(math.log2(max(1, chars / chars_per_bucket)))), bits - 3)
 
-    def bitmap(flags: DataFrame) -> bytes:
+    run = uuid.uuid4().hex
+
+    def bitmap(name: str, flags: DataFrame | None) -> Sent:
         """One bitmap out of its buckets' parts; the driver holds no more than that."""
         marks = bytearray(1 << (bits - 3))
         size = len(marks) >> bucket_bits
-        for r in flags.select("bucket", "flags").toLocalIterator():
+        for r in flags.select("bucket", "flags").toLocalIterator() if flags else ():
             marks[r.bucket * size: (r.bucket + 1) * size] = zlib.decompress(r.flags)
-        return zlib.compress(bytes(marks), 1)
+        return Sent(f"{run}-{name}", bits, spark.sparkContext.broadcast(zlib.compress(bytes(marks), 1)))
 
-    sc = spark.sparkContext
-    versions = [sc.broadcast(zlib.compress(bytes(1 << (bits - 3)), 1))]
+    versions = [bitmap("none", None)]
     with batch_rows(spark, BATCH):
         state, old, step, last_change = None, None, 0, -1
         while step <= last_change + shards:
             before = versions[step - shards] if step >= shards else None
             slices = coded.where(F.col("shard") == step % shards).select("home", "names", "codes")
-            sent = slices.mapInArrow(_scan(step, longest, bucket_bits, bits, versions[step], before), _COUNTS)
+            sent = slices.mapInArrow(_scan(step, longest, bucket_bits, versions[step], before), _COUNTS)
             have = spark.read.parquet(state).where("len > 0").drop("flags", "crossed") if state else spark.createDataFrame([], "bucket int, homes binary")
             sent = sent.unionByName(have, allowMissingColumns=True)
             path = work_path(spark, f"dic-counters-{step}")
@@ -362,16 +383,16 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
             if flags.where("crossed > 0").count():
                 last_change = step
             if step >= shards:
-                versions[step - shards].destroy()  # the counters that it made are written
-            versions.append(sc.broadcast(bitmap(flags)))
+                versions[step - shards].data.destroy()  # the counters that it made are written
+            versions.append(bitmap(str(step), flags))
             if old:
                 remove_path(spark, old)
             state, old, step = path, state, step + 1
         finished = spark.read.parquet(state).where("homes is not null")
-        pairs = sc.broadcast(bitmap(finished.select("bucket", "names", "homes").groupBy("bucket").applyInArrow(_pair_bits(bucket_bits, bits), "bucket int, flags binary")))
+        pairs = bitmap("pairs", finished.select("bucket", "names", "homes").groupBy("bucket").applyInArrow(_pair_bits(bucket_bits, bits), "bucket int, flags binary"))
         counters = finished.select("names", "counts").mapInArrow(_finished, "name long, a long")
         slices = coded.select("home", "names", "codes", "words", "sizes", "lang", "totals")
-        spelt = slices.mapInArrow(_spell(longest, bucket_bits, bits, versions[-1], pairs), "name long, lang string, len int, phrase string").distinct()
+        spelt = slices.mapInArrow(_spell(longest, bucket_bits, versions[-1], pairs), "name long, lang string, len int, phrase string").distinct()
         path = work_path(spark, "dic-phrases")
         spelt.join(counters, "name").select("lang", "phrase", "len", "a").write.parquet(path)
     totals = coded.select(F.explode("totals").alias("t")).groupBy("t.lang").agg(F.sum("t.n").alias("n")).where("n > 0")

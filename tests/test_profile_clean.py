@@ -28,6 +28,19 @@ def test_duplicates_nulls_equal(spark):
     assert C.drop_duplicates(df).count() == 4
 
 
+def test_distinct_by_bitmaps_is_exact(spark):
+    values = [0, -1, 1, 32767, 32768, 32769, -32768, -32769, 5, 5, None, 100_000]
+    rows = [(v, None if v is None else v * 10**12, i % 3, None) for i, v in enumerate(values * 3)]
+    df = spark.createDataFrame(rows, "near int, far long, few short, none long")
+    assert P.dense_columns(df, df.columns) == ["near", "few"]
+    for c, n in (("near", 10), ("few", 3), ("none", 0), ("far", 10)):  # right for any column, small for dense ones
+        assert P.bitmap_distinct(df, c).first()[1] == n
+    rep = {r["column_name"]: (r["column_type"], r["unique_values"]) for r in P.distinct_report(df).collect()}
+    assert rep == {"near": ("numeric", 10), "far": ("numeric", 10), "few": ("numeric", 3), "none": ("numeric", 0)}
+    only = P.distinct_report(df.select("near", "few"))
+    assert "Expand" not in only._jdf.queryExecution().optimizedPlan().toString() and only.count() == 2
+
+
 @pytest.mark.parametrize("digest", [C.row_digest, lambda cols: [F.lit(1), F.lit(2)], lambda cols: [F.xxhash64(cols[0]), F.lit(2)]])
 @pytest.mark.parametrize("limit", [1 << 18, 0])
 def test_duplicates_by_digest_are_exact(spark, digest, limit, monkeypatch):

@@ -5,6 +5,8 @@ of them; SMOTE, PCA, scoring features and the text mapping have full SQL twins."
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -184,6 +186,68 @@ def q_kmeans_tuning(spark, sf):
     return _round_all(table.withColumn("best", is_best))
 
 
+#: tuned segmentations by (application, table folder), as ``_TUNED``
+_TUNED_CLUSTERS: dict = {}
+
+
+def _tuned_clusters(spark, sf):
+    """(key, PCA1, PCA2, cluster) of the refit with the best of all 80 settings, the table of settings, the best one, the centres."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _TUNED_CLUSTERS:
+        run = _stage_dir(spark, "tuned_segmentation")
+        bundle, pts, table = J.tune_clusterer(cleaned(spark, sf), run)
+        write_stage(pts, "segments", f"{run}/segments")
+        _TUNED_CLUSTERS[key] = run, [r.asDict() for r in table.collect()], bundle.centroids  # 80 rows
+    run, table, centres = _TUNED_CLUSTERS[key]
+    return read_stage(spark, "segments", f"{run}/segments"), table, centres
+
+
+@register("tuned_segmentation")
+def q_tuned_segmentation(spark, sf):
+    """M7: K-means refitted with the tuned settings, every cleaned row with its components and cluster."""
+    return _round_all(_tuned_clusters(spark, sf)[0])
+
+
+@register("tuned_segmentation_check", f"""
+WITH {S.cleaned_cte()} SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, 80 AS settings, TRUE AS clusters_of_the_best, TRUE AS first_of_the_best, 0 AS not_nearest FROM cleaned""")
+def q_tuned_segmentation_check(spark, sf):
+    """M6 and M7: of 80 settings the first with the largest silhouette is refitted; every row is at its nearest centre."""
+    pts, table, centres = _tuned_clusters(spark, sf)
+    scores = [r["silhouette"] for r in table]
+    best = table[scores.index(max(scores))]
+    order = list(itertools.product(*M.KMEANS_GRID.values()))
+    settings = [tuple(r[n] for n in M.KMEANS_GRID) for r in table]
+    point = lambda c: (F.col("PCA1") - c[0]) ** 2 + (F.col("PCA2") - c[1]) ** 2
+    least = F.least(*[point(c) for c in centres.values()])
+    own = F.coalesce(*[F.when(F.col("cluster") == i, point(c)) for i, c in centres.items()])
+    return pts.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(set(settings))).alias("settings"), F.lit(len(centres) == best["n_clusters"]).alias("clusters_of_the_best"),
+                   F.lit(settings == order).alias("first_of_the_best"), F.count_if(own > least + 1e-9).cast("int").alias("not_nearest"))
+
+
+#: A bundle of round numbers, for the SQL twin of M8.
+FIXED_BUNDLE = J.ClusterBundle(
+    Fe.ScalerModel(dict(zip(Fe.CLUSTER_FEATURES, (45.3, 10007.0, 0.51, 11.3))), dict(zip(Fe.CLUSTER_FEATURES, (16.7, 8191.3, 0.53, 7.9)))),
+    Fe.PCAModel2(list(Fe.CLUSTER_FEATURES), [[0.5, 0.5, 0.5, 0.5], [0.5, -0.5, 0.5, -0.5]]),
+    {0: [-1.0, 0.0], 1: [0.5, -0.5], 2: [1.5, 1.0], 3: [-0.25, 0.75]})
+
+
+def _fixed_assign_sql() -> str:
+    b = FIXED_BUNDLE
+    z = [f"COALESCE((CAST({c} AS DOUBLE) - {b.scaler.means[c]}) / {b.scaler.stds[c]}, 0.0)" for c in b.pca.columns]
+    parts = ", ".join(f"{' + '.join(f'{e} * ({w})' for e, w in zip(z, ws))} AS {n}" for n, ws in zip(J.PCA_NAMES, b.pca.loadings))
+    far = " UNION ALL ".join(f"SELECT *, {i} AS cluster, (PCA1 - ({c[0]})) * (PCA1 - ({c[0]})) + (PCA2 - ({c[1]})) * (PCA2 - ({c[1]})) AS d FROM p" for i, c in b.centroids.items())
+    return f"""WITH {S.loan_book_cte()}, p AS (SELECT loan_id, {parts} FROM loan_book)
+SELECT loan_id, ROUND(PCA1, 6) AS PCA1, ROUND(PCA2, 6) AS PCA2, cluster FROM ({far}) QUALIFY ROW_NUMBER() OVER (PARTITION BY loan_id ORDER BY d, cluster) = 1"""
+
+
+@register("cluster_assign", _fixed_assign_sql())
+def q_cluster_assign(spark, sf):
+    """M8: new rows get clusters by a saved scaler, loadings and centroids (here fixed ones), saved and loaded on the way."""
+    path = f"{_stage_dir(spark, 'cluster_assign')}/bundle"
+    FIXED_BUNDLE.save(spark, path)
+    return _round_all(J.ClusterBundle.load(spark, path).assign(loan_book(spark, sf)).select(KEY, *J.PCA_NAMES, "cluster"))
+
+
 # ---- M1-M3, M9, S3 ------------------------------------------------------------------
 @register("gbt_scores")
 def q_gbt_scores(spark, sf):

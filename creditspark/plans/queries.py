@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import mix
@@ -159,6 +160,16 @@ def q_null_report_nonzero(spark, sf):
     return P.null_report(loan_book(spark, sf), nonzero_only=True)
 
 
+@register("report_order", f"""
+WITH {S.loan_book_cte()}, r AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS missing_values FROM loan_book" for c in S.LOAN_COLUMNS)})
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY missing_values DESC, column_name) AS BIGINT) AS place, column_name, missing_values FROM r""")
+def q_report_order(spark, sf):
+    """The order in which the null report's rows come."""
+    report = C.sort_report(P.null_report(loan_book(spark, sf)).select("column_name", "missing_values"), "missing_values", "column_name")
+    at = Window.orderBy(F.monotonically_increasing_id())  # a dozen rows, numbered as they come
+    return report.withColumn("place", F.row_number().over(at).cast("long"))
+
+
 @register("distinct_report", f"WITH {S.loan_book_cte()} " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, '{'numeric' if c in S.NUMERIC_RAW else 'categorical'}' AS column_type, "
     f"CAST(COUNT(DISTINCT {c}) AS BIGINT) AS unique_values, "

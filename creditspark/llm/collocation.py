@@ -41,8 +41,8 @@ BITS = 27
 CHARS_PER_BUCKET = 4_000_000
 #: distinct phrases that a task holds before it adds them up, bytes of a slice
 HELD, SLICE = 500_000, 150_000
-#: slices of an Arrow batch
-BATCH = 24
+#: slices of a Parquet or Arrow batch, bytes of a Parquet row group: tasks buffer that much
+BATCH, ROW_GROUP = 24, 16 << 20
 #: salts of the first rounds of a ranking
 SALTS = (256, 16)
 NO_LANG = "und"
@@ -352,7 +352,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
     coded = work_path(spark, "dic-shards")
     # a file has one shard, so its statistics spare the scans of the others; a folder per shard would sort the slices in memory
-    rows.mapInArrow(_encode(shards), _SHARD_SQL).write.parquet(coded)
+    rows.mapInArrow(_encode(shards), _SHARD_SQL).write.option("parquet.block.size", ROW_GROUP).parquet(coded)
     coded = spark.read.schema(_SHARD_SQL).parquet(coded)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(bits, max(16, int(chars).bit_length()))
@@ -378,7 +378,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
             have = spark.read.parquet(state).where("len > 0").drop("flags", "crossed") if state else spark.createDataFrame([], "bucket int, homes binary")
             sent = sent.unionByName(have, allowMissingColumns=True)
             path = work_path(spark, f"dic-counters-{step}")
-            sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE).write.parquet(path)
+            sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE).write.option("parquet.block.size", ROW_GROUP).parquet(path)
             flags = spark.read.parquet(path).where("len = 0")
             if flags.where("crossed > 0").count():
                 last_change = step

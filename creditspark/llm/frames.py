@@ -28,13 +28,16 @@ def prepare(spark: SparkSession) -> None:
 
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it Arrow batches have at most ``rows`` rows, for tables whose rows are some 100 KB each."""
-    before = spark.conf.get(_BATCH_KEY)
-    spark.conf.set(_BATCH_KEY, str(rows))
+    """Within it Parquet and Arrow batches have at most ``rows`` rows, for tables whose rows are some 100 KB each."""
+    keys = (_BATCH_KEY, "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
     try:
+        for k in keys:
+            spark.conf.set(k, str(rows))
         yield
     finally:
-        spark.conf.set(_BATCH_KEY, before)
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

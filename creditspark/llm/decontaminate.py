@@ -1,26 +1,31 @@
 """Benchmark decontamination with a generalised suffix automaton of the normalised test items.
 
-The items are cut into blocks of at most ``block_words`` words (a longer item into pieces that overlap by one window less
-one word, so no window is lost); each block becomes one automaton. Documents stream through it word by word: the longest
-match that ends at a word is tracked along suffix links, and wherever it reaches a whole window the window's words are
-hit. Documents never move: there is no shuffle, and a block's automaton (a bounded size) travels with the tasks. More
-blocks are further passes over the same rows, one after another in the same narrow plan.
+The items are cut into pieces of at most ``block_words`` words (pieces of one item overlap by one window less one word, so no
+window is lost) and dealt over blocks of about that size, which are written. A block's words are broadcast and each worker builds their
+automaton once. Documents stream through it word by word: the longest match that ends at a word is tracked along suffix
+links, and wherever it reaches a whole window the window's words are hit. Documents never move: there is no shuffle. More
+blocks are further passes over the same rows; after every ``PASSES`` of them the rows are written with their marks, so neither
+the plan nor the driver, which holds one block at a time, grows with the benchmark.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrays as A
-from .frames import prepare
+from .frames import prepare, work_path
 
 WINDOW = 10
+#: blocks in one narrow plan, and automata that a worker keeps
+PASSES = 4
 #: bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z; everything else becomes a space
 NORMAL = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -140,23 +145,33 @@ class SuffixAutomaton:
         return spans, items, longest
 
 
-def item_blocks(items: DataFrame, item: str, text: str, width: int, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most ``block_words`` words, streamed one partition at a time."""
+def _pieces(width: int, block_words: int):
+    """item, part, n, words (normal, one blank between two) of items in pieces."""
+    schema = pa.schema([("item", pa.string()), ("part", pa.int32()), ("n", pa.int64()), ("words", pa.binary())])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = normal_words(text)
+                step = max(1, block_words - (width - 1))
+                for part, at in enumerate(range(0, max(1, len(words) - (width - 1) if len(words) > block_words else 1), step)):
+                    piece = words[at: at + block_words]
+                    if piece:
+                        rows.append({"item": item, "part": part, "n": len(piece), "words": b" ".join(piece)})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+    return pieces
+
+
+def item_blocks(items: DataFrame, item: str, text: str, width: int, block_words: int) -> tuple[DataFrame, int]:
+    """(item, part, n, words, block), written, and the number of blocks: pieces dealt by hash over blocks of about ``block_words`` words."""
     rows = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    block, filled = [], 0
-    for row in rows.toLocalIterator():
-        words = normal_words(row.text)
-        at = 0
-        while at == 0 or at + width - 1 < len(words):
-            part = words[at: at + block_words]
-            if filled and filled + len(part) > block_words:
-                yield block
-                block, filled = [], 0
-            block.append((row.item, part))
-            filled += len(part)
-            at += max(1, len(part) - (width - 1)) if len(part) == block_words else len(words) + width
-    if block:
-        yield block
+    path = work_path(items.sparkSession, "benchmark-pieces")
+    rows.mapInArrow(_pieces(width, block_words), "item string, part int, n long, words binary").write.parquet(path)
+    pieces = items.sparkSession.read.parquet(path)
+    n = max(1, math.ceil((pieces.agg(F.sum("n")).first()[0] or 0) / block_words))
+    return pieces.withColumn("block", F.pmod(F.xxhash64("item", "part"), F.lit(n)).cast("int")), n
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
@@ -173,10 +188,24 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> str:
 _MARKS = "struct<n_words:long,spans:array<struct<start:int,end:int>>,items:array<string>,longest:int>"
 
 
-def _scan(automaton: SuffixAutomaton):
+#: the automata that this worker built last, by name
+_BUILT: dict[str, SuffixAutomaton] = {}
+
+
+def _automaton(name: str, block: Broadcast, width: int) -> SuffixAutomaton:
+    """The automaton of a broadcast block; a worker builds it once for all its tasks."""
+    found = _BUILT.pop(name, None) or SuffixAutomaton([(item, words.split()) for item, words in block.value], width)
+    _BUILT[name] = found
+    while len(_BUILT) > PASSES:
+        del _BUILT[next(iter(_BUILT))]
+    return found
+
+
+def _scan(name: str, block: Broadcast, width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = automaton.vocab.get
         for batch in batches:
+            automaton = _automaton(name, block, width)
+            get = automaton.vocab.get
             texts, found = batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("marks")).to_pylist()
             for i, old in enumerate(found):
                 words = (texts[i].as_py() or "").encode().translate(NORMAL).split()
@@ -214,12 +243,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     Null text has no words; items with null text are ignored, a null item id reads 'null'. Repeated items or rows give the
     same marks once each. Without items (or rows) nothing is marked. One very long text is scanned whole.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     kind = docs.select(F.struct("*").alias("doc")).schema["doc"].dataType.simpleString()
     out = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"), F.lit(None).cast(_MARKS).alias("marks"))
-    blocks = list(map(lambda b: SuffixAutomaton(b, width), item_blocks(items, item, item_text, width, block_words))) or [SuffixAutomaton([], width)]
-    for automaton in blocks:
-        out = out.mapInArrow(_scan(automaton), f"doc {kind}, text string, marks {_MARKS}")
+    blocks, n = item_blocks(items, item, item_text, width, block_words)
+    run = uuid.uuid4().hex
+    for i in range(n):
+        if i and i % PASSES == 0:
+            path = work_path(spark, f"benchmark-marks-{i}")
+            out.write.parquet(path)
+            out = spark.read.schema(out.schema).parquet(path)
+        words = sorted((r.item, bytes(r.words)) for r in blocks.where(F.col("block") == i).select("item", "words").collect())  # one block
+        out = out.mapInArrow(_scan(f"{run}-{i}", spark.sparkContext.broadcast(words), width), f"doc {kind}, text string, marks {_MARKS}")
     return out
 
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -83,7 +83,8 @@ def cluster(v: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = 500, clusters: int = 4, reject: float = 0.001, dims: int = DIMS) -> LanguageModel:
     """Learns from every row with a non-null language and a text; ``sample`` bounds the documents a language for the clusters.
 
-    Of a language with more rows those with the smallest key hashes (about ``sample``) are clustered. ``reject``: share of the sample that may fall
+    Of a language with more keys the ``sample`` ones with the smallest hashes are clustered, each with the first of its texts, so
+    repeated keys do not widen the sample. ``reject``: share of the sample that may fall
     outside a language's reach. No learning rows: a model without languages, which answers 'und'.
     """
     prepare(docs.sparkSession)
@@ -104,11 +105,13 @@ def fit_languages(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     for r in found:
         df[r.slot] = r.n  # slot -1, the last, counts the documents
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    keyed = rows.withColumn("h", F.xxhash64("key"))
+    first = keyed.select("lang", "h").distinct().withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample)
+    last = {r.lang: r.h for r in first.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # one row a language
+    if not last:
         return LanguageModel([], idf, np.zeros((0, dims), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.create_map(*(x for name, n in sorted(counts.items()) for x in (F.lit(name), F.lit(min(1.0, sample / n)))))
-    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003).select("lang", "text")
+    bound = F.create_map(*(x for name, h in sorted(last.items()) for x in (F.lit(name), F.lit(h))))
+    some = keyed.where(F.col("h") <= bound[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

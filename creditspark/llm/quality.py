@@ -130,7 +130,7 @@ def _features(limit: int = 1_000_000):
             for lo, hi in A.cuts(offsets, limit):
                 f = text_features(offsets[lo: hi + 1] - offsets[lo], raw[offsets[lo]: offsets[hi]])
                 values = A.list_array(np.arange(0, f.size + 1, f.shape[1]), pa.array(f.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), values], ["label", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), values], ["label", "h", "features"])
     return features
 
 
@@ -138,19 +138,20 @@ def fit_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
                 max_labelled: int = 20_000) -> QualityModel:
     """Learns from a sample of the labelled documents.
 
-    ``max_labelled`` bounds it: of more label rows, those with the smallest hashes of their key (about as many) are taken.
-    Rows with a null key or label teach nothing; repeated label rows count again. Only text is read from ``docs``.
+    ``max_labelled`` bounds it exactly: of more (key, label) pairs those with the smallest key hashes are taken, and of more documents
+    with these keys those with the smallest hashes of key and text. Rows with a null key or label teach nothing; repeated label rows and
+    repeated rows of a key and text teach once, so one key that holds a third of either table is one pair or a few. Only text is read from ``docs``.
     """
     prepare(docs.sparkSession)
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna()
-    n = known.count()
-    if n > max_labelled:
-        known = known.where(F.pmod(F.xxhash64("key"), F.lit(1_000_003)) < int(1_000_003 * max_labelled / n))
-    # at most about max_labelled rows of two numbers: a proven bound for the broadcast
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key").select("label", "text")
-    got = sorted(rows.mapInArrow(_features(), "label int, features array<double>").collect())  # any partitioning gives the same model
-    x = np.array([r.features for r in got]).reshape(len(got), len(FEATURES))
-    return fit_pairs(x, np.array([r.label for r in got], int), quantile)
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna().distinct()
+    if known.count() > max_labelled:
+        known = known.orderBy(F.xxhash64("key"), "key", "label").limit(max_labelled)
+    # at most max_labelled rows of two numbers: a proven bound for the broadcast
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key").select("label", "text", F.xxhash64("key", "text").alias("h"))
+    found = rows.mapInArrow(_features(), "label int, h long, features array<double>").dropDuplicates(["h", "label"])
+    got = sorted((r.label, r.features) for r in found.orderBy("h", "label").limit(max_labelled).collect())  # any partitioning gives the same model
+    x = np.array([f for _, f in got]).reshape(len(got), len(FEATURES))
+    return fit_pairs(x, np.array([y for y, _ in got], int), quantile)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", limit: int = 1_000_000) -> DataFrame:

@@ -11,8 +11,8 @@ from tests.test_session import REPO, SCRIPT
 
 def test_names():
     names = [n for n in entry.queries() if n.startswith("op") or n == "pipeline"]
-    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 11)), "pipeline"])
-    assert {"op1_decontamination", "op3_substring_dedup"} <= set(entry.oracle_sql())
+    assert sorted(n.split("_")[0] for n in names) == sorted([*(f"op{i}" for i in range(1, 14)), "pipeline"])
+    assert {"op1_decontamination", "op3_substring_dedup", "op11_collocations", "op13_vector_codes"} <= set(entry.oracle_sql())
 
 
 def test_workers_import_from_any_folder():

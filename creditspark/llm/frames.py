@@ -55,18 +55,32 @@ def remove_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: key ranges of equal row numbers that are measured, for each range that is wanted
+FINE = 16
+
+
 def range_bounds(df: DataFrame, key: str, text: str, chars_per_range: int) -> list[int]:
     """Upper bounds (exclusive of the last range) that cut ``key`` into ranges of about ``chars_per_range`` characters.
 
-    One aggregate: its result has one number per range, so it grows with the input divided by the range size.
+    Characters are summed over FINE times as many ranges of equal row numbers, and these are joined up to the wanted size: long texts that
+    stand together get ranges of their own. Only a fine range that is larger by itself (one key with very many or very long
+    texts) exceeds it. The driver holds FINE numbers per range, which grows with the input divided by the range size.
     """
     size = F.coalesce(F.length(text), F.lit(0)).cast("long")
     total, rows = df.agg(F.sum(size), F.count(key)).first()
     n = math.ceil((total or 0) / chars_per_range)
     if n < 2 or rows < 2:
         return []
-    at = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0]
-    return sorted(set(at))
+    n *= FINE
+    fine = sorted(set(df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 5 * n))).first()[0]))
+    sizes = {r[0]: r[1] for r in df.groupBy(range_index(F.col(key), fine).alias("at")).agg(F.sum(size)).collect()}
+    bounds, held = [], 0
+    for i, bound in enumerate(fine):
+        held += sizes.get(i, 0)
+        if held + sizes.get(i + 1, 0) > chars_per_range:
+            bounds.append(bound)
+            held = 0
+    return bounds
 
 
 def range_index(key: Column, bounds: list[int]) -> Column:

@@ -18,7 +18,7 @@ from .license_scan import confidence, find_licenses, labels_of
 from .pii import KINDS, find_personal_data
 from .quality import CUT, fit_quality, score_quality
 from .secret_scan import scan_secrets
-from .simhash import neighbour_likeness
+from .simhash import neighbour_likeness, with_near_counts
 from .spans import listing
 from .substring_dedup import substring_dedup
 from .token_store import read_tokens, write_tokens
@@ -112,7 +112,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbour_likeness(frames.table(spark, sf_dir, "documents", "doc_id", "text"))
+    path = frames.work_path(spark, "op7-fingerprints")
+    neighbour_likeness(frames.table(spark, sf_dir, "documents", "doc_id", "text")).write.parquet(path)
+    return with_near_counts(spark.read.parquet(path), F.col("doc_id") % 50 == 0)
 
 
 @query("op10_jaccard_join")

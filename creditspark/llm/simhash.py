@@ -112,6 +112,19 @@ def search(queries: DataFrame, stored: DataFrame, radius: int = 3, lead: int = 1
     return pairs.select("query", "found", "distance").distinct()
 
 
+def with_near_counts(rows: DataFrame, is_query: Column, radius: int = 3, fingerprint: str = "fingerprint") -> DataFrame:
+    """Adds n_near: for the rows of ``is_query`` how many other rows have a fingerprint within ``radius`` bits, null for the rest.
+
+    ``rows`` is read several times: a written table. Rows with one fingerprint are one class of known size, so copies are
+    counted and not paired; rows that are no queries take no part in the last join.
+    """
+    asked, rest = rows.where(F.coalesce(is_query, F.lit(False))), rows.where(~F.coalesce(is_query, F.lit(False)))
+    classes = rows.groupBy(F.col(fingerprint).alias("found")).agg(F.count(F.lit(1)).alias("n"))
+    near = search(asked, classes.withColumnRenamed("found", fingerprint), radius, 1, fingerprint).join(classes, "found")
+    counts = near.groupBy(F.col("query").alias(fingerprint)).agg((F.sum("n") - 1).alias("n_near"))
+    return asked.join(counts, fingerprint).select(*rows.columns, "n_near").unionByName(rest.withColumn("n_near", F.lit(None).cast("long")))
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (dest, key, text, own), sorted by dest and falling key: each own row with the row after it."""
     waiting: list[tuple[int, int | None, str, bool]] = []

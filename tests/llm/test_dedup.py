@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -184,6 +185,22 @@ def test_fingerprint_likeness_and_search(spark):
     assert {tuple(x) for x in simhash.search(asked, prints, 3, lead=2).collect()} == few
 
 
+def test_near_counts_against_brute_force(spark):
+    r = queries.op7(spark, SF).collect()
+    rng = random.Random(6)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(128), n))
+    made = [(i, f"{flip(base[i % 12], i % 6):032x}") for i in range(150)] + [(i, "0" * 32) for i in range(150, 260)]  # copies of one class
+    df = spark.createDataFrame(made, "doc_id long, fingerprint string").repartition(4)
+    counted = simhash.with_near_counts(df, F.col("doc_id") % 50 == 0).collect()
+    for rows in (r, counted):
+        prints = [int(x.fingerprint, 16) for x in rows]
+        assert len(rows) == len({x.doc_id for x in rows})
+        for x, p in zip(rows, prints):
+            assert x.n_near == (sum((p ^ o).bit_count() <= 3 for o in prints) - 1 if x.doc_id % 50 == 0 else None)
+    assert len(counted) == 260
+
+
 # --- 10: n-gram Jaccard join
 
 def shingles(text, width):

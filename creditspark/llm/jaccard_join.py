@@ -36,6 +36,8 @@ from .frames import prepare, work_path
 #: queries of a block; shingles of a group (a larger set is a group by itself)
 BLOCK = 256
 GROUP_SHINGLES = 500_000
+#: sets that a task remembers, so as to give the tokens of copies once
+NODES_SEEN = 200_000
 
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, width: int) -> list[np.ndarray]:
@@ -132,15 +134,23 @@ def _signatures(width: int, percent: int):
 
 
 def _tokens(width: int, percent: int):
-    """All (token, node) of the rows' sets."""
+    """All (token, node) of the rows' sets; copies of a set that a task meets give them once, so that a much copied text does not
+    crowd the partitions of its tokens."""
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             offsets, raw = A.utf8(batch.column(0))
             for lo, hi in A.cuts(offsets):
-                sets = [s for s in shingle_sets(offsets[lo: hi + 1] - offsets[lo], raw[offsets[lo]: offsets[hi]], width) if len(s)]
-                if sets:
-                    made = [tokens_of(s, percent)[0] for s in sets]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat([node_of(s) for s in sets], [len(m) for m in made]))], ["token", "node"])
+                made, nodes = [], []
+                for s in shingle_sets(offsets[lo: hi + 1] - offsets[lo], raw[offsets[lo]: offsets[hi]], width):
+                    if len(s) and (node := node_of(s)) not in seen:
+                        seen.add(node)
+                        made.append(tokens_of(s, percent)[0])
+                        nodes.append(node)
+                if len(seen) > NODES_SEEN:
+                    seen.clear()  # some come again, which the distinct after the shuffle takes out
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.repeat(nodes, [len(m) for m in made]))], ["token", "node"])
     return tokens
 
 

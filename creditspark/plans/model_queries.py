@@ -15,6 +15,7 @@ from ..operators import evaluate as V
 from ..operators import features as Fe
 from ..operators import models as M
 from ..operators import sampling as R
+from ..operators.celltree import silhouette_euclidean
 from ..session import shared_path
 from ..sources import KEY, LABEL, loan_book
 from ..sources.files import read_stage, write_stage
@@ -231,13 +232,13 @@ FIXED_BUNDLE = J.ClusterBundle(
     {0: [-1.0, 0.0], 1: [0.5, -0.5], 2: [1.5, 1.0], 3: [-0.25, 0.75]})
 
 
-def _fixed_assign_sql() -> str:
+def _fixed_assign_sql(rounded: bool = True) -> str:
     b = FIXED_BUNDLE
     z = [f"COALESCE((CAST({c} AS DOUBLE) - {b.scaler.means[c]}) / {b.scaler.stds[c]}, 0.0)" for c in b.pca.columns]
     parts = ", ".join(f"{' + '.join(f'{e} * ({w})' for e, w in zip(z, ws))} AS {n}" for n, ws in zip(J.PCA_NAMES, b.pca.loadings))
     far = " UNION ALL ".join(f"SELECT *, {i} AS cluster, (PCA1 - ({c[0]})) * (PCA1 - ({c[0]})) + (PCA2 - ({c[1]})) * (PCA2 - ({c[1]})) AS d FROM p" for i, c in b.centroids.items())
     return f"""WITH {S.loan_book_cte()}, p AS (SELECT loan_id, {parts} FROM loan_book)
-SELECT loan_id, ROUND(PCA1, 6) AS PCA1, ROUND(PCA2, 6) AS PCA2, cluster FROM ({far}) QUALIFY ROW_NUMBER() OVER (PARTITION BY loan_id ORDER BY d, cluster) = 1"""
+SELECT loan_id, {'ROUND(PCA1, 6) AS PCA1, ROUND(PCA2, 6) AS PCA2' if rounded else 'PCA1, PCA2'}, cluster FROM ({far}) QUALIFY ROW_NUMBER() OVER (PARTITION BY loan_id ORDER BY d, cluster) = 1"""
 
 
 @register("cluster_assign", _fixed_assign_sql())
@@ -248,6 +249,24 @@ def q_cluster_assign(spark, sf):
     return _round_all(J.ClusterBundle.load(spark, path).assign(loan_book(spark, sf)).select(KEY, *J.PCA_NAMES, "cluster"))
 
 
+def _fixed_silhouette_sql() -> str:
+    return f"""WITH s AS MATERIALIZED ({_fixed_assign_sql(False)}),
+sizes AS (SELECT cluster AS c, COUNT(*) AS size FROM s GROUP BY cluster),
+d AS (SELECT a.loan_id, a.cluster, b.cluster AS c, SUM(SQRT((a.PCA1 - b.PCA1) * (a.PCA1 - b.PCA1) + (a.PCA2 - b.PCA2) * (a.PCA2 - b.PCA2))) AS total
+  FROM s a CROSS JOIN s b GROUP BY a.loan_id, a.cluster, b.cluster),
+m AS (SELECT loan_id, MAX(CASE WHEN c = cluster THEN size END) AS size, MAX(CASE WHEN c = cluster AND size > 1 THEN total / (size - 1) END) AS a,
+  MIN(CASE WHEN c <> cluster THEN total / size END) AS b FROM d JOIN sizes USING (c) GROUP BY loan_id)
+SELECT ROUND(AVG(CASE WHEN size = 1 OR GREATEST(a, b) = 0 THEN 0.0 ELSE (b - a) / GREATEST(a, b) END), 3) AS silhouette, TRUE AS bound_is_small FROM m"""
+
+
+@register("silhouette_euclidean", _fixed_silhouette_sql())
+def q_silhouette_euclidean(spark, sf):
+    """V6 with Euclidean distances, of the loan book's two components and clusters by a fixed bundle; a proven bound of at most 0.02."""
+    pts = FIXED_BUNDLE.assign(loan_book(spark, sf)).select(*J.PCA_NAMES, "cluster")
+    got = silhouette_euclidean(pts, tuple(J.PCA_NAMES), digits=None)
+    return got.select(F.round("silhouette", 3).alias("silhouette"), (F.col("error_bound") <= 0.02).alias("bound_is_small"))
+
+
 # ---- M1-M3, M9, S3 ------------------------------------------------------------------
 @register("gbt_scores")
 def q_gbt_scores(spark, sf):

@@ -69,9 +69,8 @@ def test_collocations_brute_force(spark, options):
     assert found_collocations(df, threshold=6, **options) == want
 
 
-def test_collocations_in_files_of_one_shard_each(spark, monkeypatch):
-    # slices of a few words, so that a phrase becomes active in the middle of a cycle
-    monkeypatch.setattr(collocation, "SLICE", 300)
+def test_collocations_in_files_of_one_shard_each(spark):
+    # seven files in four shards: phrases become active in the middle of a cycle
     rows = phrase_rows(2, 60)
     df = spark.createDataFrame(rows, "text string, lang string").repartition(7)
     assert found_collocations(df, threshold=5, first=10) == brute_collocations(rows, 5, first=10)

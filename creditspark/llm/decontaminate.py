@@ -243,6 +243,11 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     Null text has no words; items with null text are ignored, a null item id reads 'null'. Repeated items or rows give the
     same marks once each. Without items (or rows) nothing is marked. One very long text is scanned whole.
     """
+    return _passes(docs, items, text, item, item_text, width, block_words)
+
+
+def _passes(docs: DataFrame, items: DataFrame, text: str, item: str, item_text: str, width: int, block_words: int, finish=None) -> DataFrame:
+    """The marked rows; with ``finish`` (batches of doc, text, marks to batches of doc, text) what it makes of them, in the last pass's own workers."""
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.select(F.struct("*").alias("doc")).schema["doc"].dataType.simpleString()
@@ -255,7 +260,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
             out.write.parquet(path)
             out = spark.read.schema(out.schema).parquet(path)
         words = sorted((r.item, bytes(r.words)) for r in blocks.where(F.col("block") == i).select("item", "words").collect())  # one block
-        out = out.mapInArrow(_scan(f"{run}-{i}", spark.sparkContext.broadcast(words), width), f"doc {kind}, text string, marks {_MARKS}")
+        scan = _scan(f"{run}-{i}", spark.sparkContext.broadcast(words), width)
+        if finish and i == n - 1:
+            return out.mapInArrow(lambda batches, scan=scan: finish(scan(batches)), f"doc {kind}, text string")
+        out = out.mapInArrow(scan, f"doc {kind}, text string, marks {_MARKS}")
     return out
 
 
@@ -266,17 +274,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item: s
     Spans of more than ``max_span`` words are cut out of the text; a document whose hit words are more than
     ``max_coverage`` of its words goes as a whole. Clean documents keep their exact text (null stays null).
     """
-    marked = find_contamination(docs, items, text, item, item_text, width, block_words)
-    kind = docs.select(F.struct("*").alias("doc")).schema["doc"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            texts, marks, keep = batch.column(1).to_pylist(), batch.column(2).to_pylist(), []
             for i, m in enumerate(marks):
-                if spans := [(s["start"], s["end"]) for s in m["spans"] if s["end"] - s["start"] > max_span]:
-                    texts[i] = _without(texts[i].encode(), spans)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc", "text"])
+                spans = [(s["start"], s["end"]) for s in m["spans"]]
+                keep.append(sum(b - a for a, b in spans) <= max_coverage * m["n_words"])
+                if keep[-1] and (long := [(a, b) for a, b in spans if b - a > max_span]):
+                    texts[i] = _without(texts[i].encode(), long)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    hit = F.aggregate("marks.spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
-    kept = marked.where(hit <= F.lit(max_coverage) * F.col("marks.n_words")).mapInArrow(cut, f"doc {kind}, text string")
+    kept = _passes(docs, items, text, item, item_text, width, block_words, cut)
     return kept.select(*(F.col("text").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns))

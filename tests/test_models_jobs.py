@@ -144,3 +144,25 @@ def test_kmeans_tuning_shares_restarts_and_refits(spark, bundles):
     best = max(rows, key=lambda r: r["silhouette"])     # max keeps the first of equal values
     assert len(clu.centroids) == best["n_clusters"]
     assert V.silhouette_sq(pts, J.PCA_NAMES, "cluster", None).first()[0] == pytest.approx(best["silhouette"], abs=1e-6)
+
+
+def test_runs_side_by_side_equal_the_estimator_and_share_their_passes(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in rng.normal(size=(400, 2))], "a double, b double").repartition(3).localCheckpoint()
+    runs = [(2, "random", 1), (3, "k-means++", 1), (4, "random", 7)]
+    passes = []
+    sums = M._cluster_sums
+    monkeypatch.setattr(M, "_cluster_sums", lambda now, dims: passes.append(len(now)) or sums(now, dims))
+    got = M.kmeans_runs(df, ["a", "b"], runs, [2, 40], spark_tol=1e-3)
+    assert len(got) == 6 and passes[0] == 3 and len(passes) <= 40
+    vec = M._vectors(df, ["a", "b"]).persist()
+    for k, init, seed in runs:
+        for n in (2, 40):
+            want = KMeans(k=k, seed=seed, maxIter=n, initMode=M._INIT[init], tol=1e-3, featuresCol="features").fit(vec)
+            cost, centres = got[k, init, seed, n]
+            assert abs(cost - want.summary.trainingCost) < 1e-6
+            assert np.allclose(list(centres.values()), want.clusterCenters(), atol=1e-9)
+    vec.unpersist()

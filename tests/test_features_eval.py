@@ -127,3 +127,39 @@ def test_encoders_roundtrip_keep_order(spark):
     assert list(oh2.categories) == ["zz", "aa"] and oh2.categories == oh.categories
     assert le2.columns == ["g"]
     assert [(r["value"], r["code"]) for r in le2.codes.orderBy("code").collect()] == [("P", 0), ("Q", 1)]
+
+
+def test_encoders_read_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("b", "y", "Q"), ("a", None, "P"), (None, "x", "P"), ("a", "y", None)], "zz string, aa string, g string").mapInArrow(count, "zz string, aa string, g string")
+    oh, le = Fe.fit_encoders(df, ["zz", "aa"], ["g", "aa"])
+    assert seen.value == 4
+    assert oh.categories == {"zz": ["a", "b"], "aa": ["x", "y"]}
+    assert sorted(tuple(r) for r in le.codes.collect()) == [(0, "g", 0, "P"), (0, "g", 1, "Q"), (1, "aa", 0, "x"), (1, "aa", 1, "y")]
+
+
+def test_raw_rows_are_made_once(spark):
+    from creditspark.plans import prepare as PR
+    from creditspark.sources import KEY
+
+    row = (30, 50_000, "RENT", 4.0, "1-URGENT", "A", 9_000, 5.5, 0, 0.18, "N", 3)
+    for twice in (False, True):
+        rows = [(i, 20 + i, *row[1:]) for i in range(8)] + [(8, 21 if twice else 28, *row[1:]), (9, None, *row[1:7], None, *row[8:])]
+        seen = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen=seen):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        raw = spark.createDataFrame(rows, f"{KEY} long, person_age int, person_income long, person_home_ownership string, person_emp_length double, loan_intent string, loan_grade string, "
+                                    "loan_amnt long, loan_int_rate double, loan_status int, loan_percent_income double, cb_person_default_on_file string, cb_person_cred_hist_length int")
+        got = PR.clean_loans(raw.mapInArrow(count, raw.schema)).collect()
+        assert sorted(r[KEY] for r in got) == [*range(8)] + [8] * (not twice)
+        assert seen.value == len(rows)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditspark.llm import frames
-from creditspark.llm.bpe import bpe_decode, bpe_encode
+from creditspark.llm.bpe import bpe_round_trip
 from creditspark.llm.decontaminate import decontaminate
 from creditspark.llm.jaccard_join import keep_one
 from creditspark.llm.quality import filter_quality, fit_quality
@@ -51,7 +51,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of their decoded bytes (the text again)."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    tokens = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    tokens = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return tokens.select("doc.doc_id", "doc.lang", "doc.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                          sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha256("decoded").alias("decoded_sha256"))
 

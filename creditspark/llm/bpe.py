@@ -296,6 +296,36 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", slice_bytes: int
     return rows.mapInArrow(_encode(path, slice_bytes), f"doc {kind}, ids array<int>, ends array<int>")
 
 
+#: rows that are decoded at once
+DECODED_ROWS = 500
+
+
+def _decoded(ids: pa.Array, v: Vocabulary) -> pa.Array:
+    """The bytes of each list of ids (null: empty)."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(v.sizes[flat])])
+    return A.binary_array(upto[np.concatenate([[0], np.cumsum(n)])], v.decode(flat))
+
+
+def bpe_round_trip(docs: DataFrame, path: str, text: str = "text", slice_bytes: int = 1_000_000) -> DataFrame:
+    """``doc``, ``ids`` and ``ends`` of :func:`bpe_encode` and ``decoded`` (the bytes of the ids) of :func:`bpe_decode`, by one Python worker
+    a task: the two after each other have two, with the vocabulary in both, and send the ids to the JVM and back."""
+    prepare(docs.sparkSession)
+    rest = [c for c in docs.columns if c != text]
+    rows = docs.select(F.struct(*rest).alias("doc"), F.col(text).alias("text"))
+    kind = rows.schema["doc"].dataType.simpleString()
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for batch in _encode(path, slice_bytes)(batches):
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(lo, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column(1), v)], ["doc", "ids", "ends", "decoded"])
+
+    return rows.mapInArrow(both, f"doc {kind}, ids array<int>, ends array<int>, decoded binary")
+
+
 def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds ``to``: the bytes of the ids (null ids: empty). The other columns stay; one named ``to`` is replaced."""
     prepare(tokens.sparkSession)
@@ -306,15 +336,9 @@ def bpe_decode(tokens: DataFrame, path: str, ids: str = "ids", to: str = "decode
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
-            column = batch.column(1)
-            step = 500
-            for lo in range(0, batch.num_rows, step):
-                part = column.slice(lo, step)
-                flat = part.flatten().to_numpy(zero_copy_only=False)
-                n = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-                upto = np.concatenate([[0], np.cumsum(v.sizes[flat])])
-                at = upto[np.concatenate([[0], np.cumsum(n)])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, step), A.binary_array(at, v.decode(flat))], ["doc", "decoded"])
+            for lo in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(lo, DECODED_ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), _decoded(part.column(1), v)], ["doc", "decoded"])
 
     return rows.mapInArrow(decode, f"doc {kind}, decoded binary").select("doc.*", F.col("decoded").alias(to))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import work_path
+from .frames import kept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,15 +23,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """(node, component): the least node that each linked node reaches; nodes without links are not listed.
 
-    Each round is written to the shared folder, which cuts the lineage; rounds grow with the logarithm of the longest chain.
+    Each round is kept on the executors' disks, which cuts the lineage; rounds grow with the logarithm of the longest chain.
     """
-    spark = links.sparkSession
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     seen = None
     for _ in range(max_rounds):
-        path = work_path(spark, "stars")
-        edges.write.parquet(path)
-        edges = spark.read.parquet(path)
+        edges = kept(edges)
         state = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import arrays as A
 from .components import components
-from .frames import prepare, work_path
+from .frames import kept, prepare, work_path
 
 #: queries of a block; shingles of a group (a larger set is a group by itself)
 BLOCK = 256
@@ -249,7 +249,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     signed = _written(rows.mapInArrow(_signatures(width, percent), "key long, n int, node long, classes array<struct<c:int,least:int,empty:int>>"), "jaccard-sets")
     own = signed.where("n > 0 AND key IS NOT NULL")
-    sets = _written(own.groupBy("node").agg(F.min("key").alias("key")), "jaccard-nodes")
+    sets = kept(own.groupBy("node").agg(F.min("key").alias("key")))
     of_token = Window.partitionBy("token")
     tokens = rows.where("key IS NOT NULL").select("text").mapInArrow(_tokens(width, percent), "token long, node long")
     # copies of a set give its tokens again: a token counts where it has two different nodes
@@ -261,20 +261,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rare = _written(rare.withColumn("pivot", F.min("node").over(of_token)), "jaccard-rare")
 
     # nodes against the pivots of their tokens, where both have as many tokens in common as a link needs
-    pairs = _written(_enough_in_common(rare.where("node <> pivot").select("pivot", "node").distinct(), shared, sizes, percent), "jaccard-pairs")
+    pairs = kept(_enough_in_common(rare.where("node <> pivot").select("pivot", "node").distinct(), shared, sizes, percent))
     texts = _texts(rows, sizes.join(rare.select("node").distinct(), "node", "left_semi"))
     stars = _links(pairs.select(F.col("pivot").alias("group"), "node", F.col("node").alias("component")),
                    pairs.select(F.col("pivot").alias("group")).distinct().select("group", F.col("group").alias("node"), F.col("group").alias("component")), texts, width, percent)
-    links = _written(stars, "jaccard-links")
-    labels = _written(components(links, "a", "b"), "jaccard-labels")
+    links = kept(stars)
+    labels = kept(components(links, "a", "b"))
 
     # links between components, away from the pivots
     rest = rare.where("node <> pivot").join(labels, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
     several = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     rest = _written(rest.join(several, "token"), "jaccard-rest")
     if not rest.isEmpty():
-        links = _written(links.unionAll(_matrix_links(rest, texts, sizes, width, percent)), "jaccard-links")
-        labels = _written(components(links, "a", "b"), "jaccard-labels")
+        links = kept(links.unionAll(_matrix_links(rest, texts, sizes, width, percent)))
+        labels = kept(components(links, "a", "b"))
     named = sets.join(labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("key").alias("first"))
     found = named.select("node", "component").join(least, "component").select("node", "first")
@@ -323,15 +323,15 @@ def _matrix_links(rest: DataFrame, texts: DataFrame, sizes: DataFrame, width: in
     for _ in range(2):
         of_token = rest.select("token", "node").join(name, "node").groupBy("token").agg(F.min("name").alias("name"))
         name = rest.select("token", "node").join(of_token, "token").groupBy("node").agg(F.min("name").alias("name"))
-    name = _written(name.join(sizes.select("node", "n"), "node").join(rest.groupBy("node").agg(F.first("component").alias("component")), "node"), "jaccard-names")
+    name = kept(name.join(sizes.select("node", "n"), "node").join(rest.groupBy("node").agg(F.first("component").alias("component")), "node"))
     blocks = name.groupBy("name").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("long").alias("blocks"))
     place = name.join(blocks, "name").select("node", "component", F.xxhash64("name", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("group"))
-    place = _written(place, "jaccard-groups")
+    place = kept(place)
     matrix = rest.join(place.select("node", "group"), "node").groupBy("token", "group").agg(F.max("component").alias("top"))
     # a pair is looked at from its smaller component
     asked = rest.join(matrix, "token").where(F.col("component") < F.col("top")).select("group", "node", "component").distinct()
-    asked = _written(asked, "jaccard-queries")
-    members = _written(place.join(asked.select("group").distinct(), "group", "left_semi"), "jaccard-members")
+    asked = kept(asked)
+    members = kept(place.join(asked.select("group").distinct(), "group", "left_semi"))
     return _links(asked, members, texts, width, percent)
 
 

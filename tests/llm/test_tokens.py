@@ -83,6 +83,21 @@ def test_bpe_frames(spark, library):
     assert bpe.bpe_encode(docs.limit(0), RANKS).count() == 0
 
 
+def test_round_trip_has_one_worker_a_task(spark, library):
+    import corpus_pipeline
+
+    docs = with_clashes(docs_of(spark, AWKWARD)).repartition(3)
+    got = bpe.bpe_round_trip(docs, RANKS)
+    assert got.columns == ["doc", "ids", "ends", "decoded"] and got.schema["doc"].dataType == bpe.bpe_encode(docs, RANKS).schema["doc"].dataType
+    two = bpe.bpe_decode(bpe.bpe_encode(docs, RANKS), RANKS)
+    assert sorted((str(r.doc), r.ids, r.ends, bytes(r.decoded)) for r in got.collect()) == sorted((str(r.doc), r.ids, r.ends, bytes(r.decoded)) for r in two.collect())
+    many = docs_of(spark, [(i, f"word {i}") for i in range(2 * bpe.DECODED_ROWS + 1)]).coalesce(1)
+    assert all(bytes(r.decoded) == f"word {r.doc.doc_id}".encode() and r.ids == library.encode_ordinary(f"word {r.doc.doc_id}") for r in bpe.bpe_round_trip(many, RANKS).collect())
+    assert bpe.bpe_round_trip(docs.limit(0), RANKS).count() == 0
+    stage = corpus_pipeline.byte_bpe(spark, docs.selectExpr("doc_id", "'en' lang", "'a' source", "text"), SF)
+    assert stage._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_op2_query(spark, library):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = queries.op2(spark, SF).collect()

@@ -41,8 +41,8 @@ BITS = 27
 CHARS_PER_BUCKET = 4_000_000
 #: distinct phrases that a task holds before it adds them up, bytes of a slice
 HELD, SLICE = 500_000, 150_000
-#: slices of a Parquet or Arrow batch, bytes of a Parquet row group: tasks buffer that much
-BATCH, ROW_GROUP = 24, 16 << 20
+#: texts and slices of a Parquet or Arrow batch, bytes of a Parquet row group: tasks buffer that much
+TEXTS, BATCH, ROW_GROUP = 64, 8, 16 << 20
 #: salts of the first rounds of a ranking
 SALTS = (256, 16)
 NO_LANG = "und"
@@ -70,6 +70,19 @@ def _lang_codes(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return names, np.asarray(coded.indices, np.int64), np.array(hashes, np.uint64)
 
 
+def _joined(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``size`` bytes or little more, so that small batches make whole slices."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[A.Words, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
     """(words, their hashes with the language mixed in, whether the next word stands in the same piece, language index per word, languages)."""
     offsets, raw = A.utf8(batch.column(0))
@@ -179,7 +192,7 @@ def _encode(shards: int):
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, turn = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in _joined(batches, 10 * SLICE):
             for words, h, joined, lang, langs in _slices(batch):
                 if not len(h):
                     continue
@@ -340,6 +353,13 @@ def _spell(longest: int, bucket_bits: int, marks: Sent, pairs: Sent):
 
 # --- the operator
 
+def _write(rows: DataFrame, path: str) -> None:
+    """Rows of some 100 KB as Parquet: row groups and pages are measured after every few rows instead of the first 100, so that they
+    are no larger than they should be, and no dictionary of such values is tried."""
+    options = {"parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": BATCH, "parquet.enable.dictionary": "false"}
+    rows.write.options(**options).parquet(path)
+
+
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", threshold: int = 30, longest: int = 4, shards: int = SHARDS,
                      bits: int = BITS, chars_per_bucket: int = CHARS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, len, a) of all phrases of 1 to ``longest`` words with a >= ``threshold``, and (lang, n): all words of each language.
@@ -351,10 +371,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
     prepare(spark)
     rows = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"))
     coded = work_path(spark, "dic-shards")
-    # a file has one shard, so its statistics spare the scans of the others; a folder per shard would sort the slices in memory
-    rows.mapInArrow(_encode(shards), _SHARD_SQL).write.option("parquet.block.size", ROW_GROUP).parquet(coded)
+    with batch_rows(spark, TEXTS):
+        # a file has one shard, so its statistics spare the scans of the others; a folder per shard would sort the slices in memory
+        _write(rows.mapInArrow(_encode(shards), _SHARD_SQL), coded)
+        chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     coded = spark.read.schema(_SHARD_SQL).parquet(coded)
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(bits, max(16, int(chars).bit_length()))
     bucket_bits = min(max(0, math.ceil(math.log2(max(1, chars / chars_per_bucket)))), bits - 3)
 
@@ -378,7 +399,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", th
             have = spark.read.parquet(state).where("len > 0").drop("flags", "crossed") if state else spark.createDataFrame([], "bucket int, homes binary")
             sent = sent.unionByName(have, allowMissingColumns=True)
             path = work_path(spark, f"dic-counters-{step}")
-            sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE).write.option("parquet.block.size", ROW_GROUP).parquet(path)
+            _write(sent.groupBy("bucket").applyInArrow(_merge(step, shards, threshold, longest, bucket_bits, bits), _STATE), path)
             flags = spark.read.parquet(path).where("len = 0")
             if flags.where("crossed > 0").count():
                 last_change = step

@@ -6,8 +6,11 @@ import random
 import re
 import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +85,36 @@ def test_collocations_empty(spark):
     assert found_collocations(spark.createDataFrame([(None, "en"), (" \n", None)], "text string, lang string"), shards=2) == []
 
 
+def test_collocations_write_small_row_groups(spark, monkeypatch):
+    # tasks buffer a batch of texts and a row group: both have to be small from the first row on
+    rng, paths, seen = random.Random(3), [], []
+    work, encode = collocation.work_path, collocation._encode
+    conf = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    monkeypatch.setattr(collocation, "work_path", lambda spark, name: paths.append(work(spark, name)) or paths[-1])
+    monkeypatch.setattr(collocation, "_encode", lambda shards: seen.append([int(spark.conf.get(k)) for k in conf]) or encode(shards))
+    monkeypatch.setattr(collocation, "ROW_GROUP", 1 << 19)
+    rows = [(" ".join(f"{rng.randrange(16**6):06x}" for _ in range(15_000)), "en") for _ in range(20)]
+    collocation.prepare(spark)
+    before = [spark.conf.get(k) for k in conf]
+    phrases, totals = collocation.frequent_phrases(spark.createDataFrame(rows, "text string, lang string").coalesce(1), shards=1)
+    assert phrases.count() == 0 and [tuple(r) for r in totals.collect()] == [("en", 300_000)]
+    assert max(seen[0]) <= collocation.TEXTS and [spark.conf.get(k) for k in conf] == before
+    (file,) = Path(next(x for x in paths if "dic-shards" in x).removeprefix("file:")).glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    sizes = [meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)]
+    row = sum(sizes) / meta.num_rows
+    assert meta.num_rows == 20 and max(sizes) < 2 * (1 << 19) + 2 * row and len(sizes) >= 5
+
+
+def test_small_batches_make_whole_slices():
+    texts = [None, "", *(f"{i} " * 100 for i in range(50)), "x" * 9_000, "end"]
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array(texts[i: i + 3], pa.string()), "lang": pa.array(["en"] * len(texts[i: i + 3]), pa.string())}) for i in range(0, len(texts), 3)]
+    joined = list(collocation._joined([batches[0].slice(0, 0), *batches], 5_000))
+    assert [t for b in joined for t in b.column(0).to_pylist()] == texts
+    assert all(5_000 <= b.nbytes for b in joined[:-1]) and 2 < len(joined) < len(batches)
+    assert list(collocation._joined([], 5_000)) == [] and sum(b.num_rows for b in collocation._joined([batches[0].slice(0, 0)], 5_000)) == 0
+
+
 def test_scores_are_exact(spark):
     big = 3 * 10**17
     phrases = spark.createDataFrame([("en", "a", 1, big), ("en", "b", 1, big - 1), ("en", "a b", 2, big - 2)], "lang string, phrase string, len int, a long")
